@@ -65,10 +65,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     grams = windows.select(F.posexplode("grams").alias("at", "gram"), "item_id", "size", "words")
     # short items have shingles of their own length; there are at most `shingle` lengths
     lengths = sorted(r[0] for r in windows.select(F.least("size", F.lit(shingle)).cast("int")).distinct().collect())
-    every = tables.sent(spark, tables.bloom_of(grams.select("gram"), bits=23))
+    every = tables.sent(spark, tables.bloom_of(grams.select("gram"), bits=23).words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = every.value
+        bloom = tables.Bloom(every.value)
         for batch in batches:
             held = []
             for _, _, data, at in chunks(batch.column(0), LOWER):
@@ -85,11 +85,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rare = known.groupBy("item_id", "size", "words").agg(F.min(F.struct("n", "gram", "at")).alias("p")).where("p.n > 0")
     rare = tables.cut(rare.select("item_id", "size", "words", "p.gram", "p.at"))
-    prefix = tables.sent(spark, tables.bloom_of(rare.select("gram"), bits=23))
+    prefix = tables.sent(spark, tables.bloom_of(rare.select("gram"), bits=23).words)
     reach = max(0, window - shingle)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = prefix.value
+        bloom = tables.Bloom(prefix.value)
         for batch in batches:
             digs = batch.column(1).to_numpy()
             total = np.zeros(len(digs), np.int64)

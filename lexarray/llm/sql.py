@@ -38,14 +38,14 @@ _BAD = ", ".join(f"case when {' or '.join([f'({_METRIC[r.metric]}) < {r.low}'] *
 #: The rows and columns of the quality rules over a relation src(doc_id, text), keyed by rid.
 _OP4 = rf"""
 q0 as (select src.*, row_number() over () rid from src),
-q1 as (select rid, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) l from q0),
+q1 as (select rid, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from q0),
 q2 as (select rid, i, array_to_string(w[i:i + 7], ' ') g from (select rid, w, unnest(range(1, len(w) - 6)) i from q1)),
 q3 as (select rid, i from q2 qualify count(*) over (partition by rid, g) > 1),
 q4 as (select rid, count(distinct p) n from (select rid, unnest(range(i, i + 8)) p from q3) group by rid),
 q5 as (select q1.rid, len(w) n_words, len(array_to_string(w, '')) word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(l) n_lines,
-  len(l) - len(list_distinct(l)) n_dup_lines, coalesce(n, 0) n_repeat_words, len(list_filter(w, x -> lower(x) in ({_STOP}))) n_stop, len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) n_letter
+  len(l) - len(list_distinct(l)) n_dup_lines, coalesce(n, 0) n_repeat_words, len(list_filter(w, lambda x: lower(x) in ({_STOP}))) n_stop, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) n_letter
   from q1 left join q4 using (rid)),
-q6 as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, list_filter([{_BAD}], x -> x is not null) failed from q5),
+q6 as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, list_filter([{_BAD}], lambda x: x is not null) failed from q5),
 q7 as (select q0.* exclude (rid), q6.* exclude (rid), not base_failed and len(failed) = 0 kept from q0 join q6 using (rid))"""
 
 OP4 = f"""with src as (select * from documents),{_OP4}
@@ -57,7 +57,7 @@ with recursive d as (select doc_id, row_number() over () rid, regexp_extract_all
 sh as (select rid, doc_id, list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)]) s from d where len(w) > 0),
 u as (select rid, doc_id, len(s) n, unnest(s) g from sh),
 pairs as (select a.rid a, b.rid b from u a join u b using (g) where a.rid < b.rid group by a.rid, b.rid, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-both as (select a, b from pairs union select b, a from pairs),
-reach(a, b) as (select rid, rid from sh union select reach.a, both.b from reach join both on reach.b = both.a),
+paired as (select a, b from pairs union select b, a from pairs),
+reach(a, b) as (select rid, rid from sh union select reach.a, paired.b from reach join paired on reach.b = paired.a),
 comp as (select reach.a rid, min(sh.doc_id) c from reach join sh on sh.rid = reach.b group by reach.a)
 select doc_id, cast(coalesce(len(s), 0) as bigint) n_shingles, coalesce(c, doc_id) component_id from d left join (select rid, s from sh) using (rid) left join comp using (rid)"""
