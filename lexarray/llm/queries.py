@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexarray.llm import sql
 from lexarray.llm.decontamination import contamination
+from lexarray.llm.language import identify
+from lexarray.llm.lm import lm_scores
 from lexarray.llm.ngram_join import ngram_components
 from lexarray.llm.quality import quality_rules
 
@@ -24,12 +26,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op7_language_id, op8_lm_scoring, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
