@@ -94,11 +94,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = tables.cut(rows.mapInArrow(prefixes, "id long, n long, k long, sig long, tokens array<long>"))
     real = base.where("n > 0 and id is not null")
     every = real.select("k", F.explode("tokens").alias("token"))
-    shared = tables.cut(every.groupBy("token").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 <> k1").select("token"))
-    filtered = tables.sent(spark, tables.bloom_of(shared))
+    shared = tables.cut(every.groupBy("token").count().where("count > 1").select("token"))
+    filtered = tables.sent(spark, tables.bloom_of(shared).words)
 
     def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = filtered.value
+        bloom = tables.Bloom(filtered.value)
         for batch in batches:
             lists = batch.column(3)
             lengths = np.diff(lists.offsets.to_numpy())
@@ -112,14 +112,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = real.select("k", "n", "sig", "tokens").mapInArrow(sharing, "token long, k long, n long, sig long, pos long")
     members = found.groupBy("token", "k").agg(*[F.min(c).alias(c) for c in ("n", "sig", "pos")])
     members = tables.cut(members.join(shared.select(groups.turned("token").alias("t")), groups.turned("token") == F.col("t"), "left_semi"))
+
+    def near(x: str, y: str) -> Column:
+        nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+        most = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
+        suffix = sum(F.least(_quarter(f"{x}.sig", q), _quarter(f"{y}.sig", q)) for q in range(4))
+        length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+        return length & ((100 + percent) * most >= percent * (nx + ny)) & ((100 + percent) * suffix >= percent * (nx + ny))
+
+    # a group of two that fails the filters is done with before any set is fetched
+    row = F.struct("k", "n", "sig", "pos")
+    useful = members.groupBy("token").agg(F.count("*").alias("of"), F.min(row).alias("x"), F.max(row).alias("y")).where((F.col("of") > 2) | (F.col("of") == 2) & near("x", "y"))
+    members = tables.cut(members.join(useful.select(groups.turned("token").alias("t")), groups.turned("token") == F.col("t"), "left_semi"))
     reps = real.groupBy("k").agg(F.min("id").alias("rep"))
     labels = None
     if not members.isEmpty():
         chosen = reps.join(members.select("k").distinct(), "k", "left_semi")
-        wanted = tables.sent(spark, tables.bloom_of(chosen.select(F.col("rep").bitwiseXOR(F.col("k")))))
+        wanted = tables.sent(spark, tables.bloom_of(chosen.select(F.col("rep").bitwiseXOR(F.col("k")))).words)
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bloom = wanted.value
+            bloom = tables.Bloom(wanted.value)
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 keys, sets = [], []
@@ -134,21 +146,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))], ["k", "s"])
 
-        sets = tables.cut(rows.where("id is not null").mapInArrow(full, "k long, s array<long>").dropDuplicates(["k"]))
+        sets = tables.cut(rows.where("id is not null").mapInArrow(full, "k long, s array<long>"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            a = sets.select(groups.turned("k").alias("ta"), F.col("s").alias("sa"))
-            b = sets.select(groups.turned("k").alias("tb"), F.col("s").alias("sb"))
+            asked = tables.sent(spark, tables.bloom_of(pairs.select(F.explode(F.array("a", "b")))).words)
+
+            def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                bloom = tables.Bloom(asked.value)
+                for batch in batches:
+                    yield batch.filter(pa.array(bloom.has(batch.column(0).to_numpy().view(np.uint64))))
+
+            few = sets.mapInArrow(some, sets.schema)
+            a = few.select(groups.turned("k").alias("ta"), F.col("s").alias("sa"))
+            b = few.select(groups.turned("k").alias("tb"), F.col("s").alias("sb"))
             both = pairs.join(a, groups.turned("a") == F.col("ta")).join(b, groups.turned("b") == F.col("tb"))
             common = F.size(F.array_intersect("sa", "sb"))
-            return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("m")).where(100 * F.col("i") >= percent * (F.col("m") - F.col("i")))
-
-        def near(x: str, y: str) -> Column:
-            nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-            most = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
-            suffix = sum(F.least(_quarter(f"{x}.sig", q), _quarter(f"{y}.sig", q)) for q in range(4))
-            length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
-            return length & ((100 + percent) * most >= percent * (nx + ny)) & ((100 + percent) * suffix >= percent * (nx + ny))
+            ok = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("m"), (F.spark_partition_id() >= 0).alias("_"))
+            return ok.where(F.col("_") & (100 * F.col("i") >= percent * (F.col("m") - F.col("i"))))  # the flag keeps the filter above the intersection
 
         labels, _ = groups.linked(members, ["pos", "n"], near, verify)
     if labels is None:
