@@ -12,6 +12,7 @@ from lexarray.llm.language import identify
 from lexarray.llm.lm import lm_scores
 from lexarray.llm.ngram_join import ngram_components
 from lexarray.llm.quality import quality_rules
+from lexarray.llm.secrets import secret_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +35,16 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op7_language_id, op8_lm_scoring, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
