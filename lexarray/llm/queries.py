@@ -13,6 +13,7 @@ from lexarray.llm.lm import lm_scores
 from lexarray.llm.ngram_join import ngram_components
 from lexarray.llm.quality import quality_rules
 from lexarray.llm.secrets import secret_spans
+from lexarray.llm.warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_table(spark, sf_dir, "pages")).drop("valid")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -98,15 +98,16 @@ def sent(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(value)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder, so that lost executors cost no more than their tasks.
-
-    The folder is the session's spark.checkpoint.dir; a default beside the warehouse holds only where none is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> None:
+    """Makes sure of a checkpoint folder: the session's spark.checkpoint.dir, or where none is set one beside the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once into the shared checkpoint folder, so that lost executors cost no more than their tasks."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
