@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexarray.llm import sql
 from lexarray.llm.decontamination import contamination
+from lexarray.llm.html import extracted
 from lexarray.llm.language import identify
 from lexarray.llm.lm import lm_scores
 from lexarray.llm.ngram_join import ngram_components
@@ -24,6 +25,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("dig")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -49,8 +54,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_quality_rules, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op4_quality_rules, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.OP1, "op4_quality_rules": sql.OP4, "op10_ngram_jaccard_join": sql.OP10}
+    return {"op1_decontamination": sql.OP1, "op4_quality_rules": sql.OP4, "op6_warc": sql.OP6, "op10_ngram_jaccard_join": sql.OP10}

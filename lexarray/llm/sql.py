@@ -52,6 +52,14 @@ OP4 = f"""with src as (select * from documents),{_OP4}
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words,
   base_failed, kept, array_to_string(failed, ',') failed_rules from q7"""
 
+OP6 = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+h as (select page_id, octet_length(b) n, sha1(b) x from p),
+d as (select page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(x, 1 + 10 * (i // 8), 10) as bigint) >> (35 - 5 * (i % 8))) & 31) as int), 1)), '') s from h),
+m as (select *, min(page_id) over (partition by n, s) f from d)
+select page_id, cast(n as bigint) payload_bytes, s payload_digest, case when f is not null and page_id is distinct from f then 'revisit' else 'response' end record_type,
+  case when page_id is distinct from f then f end refers_to from m"""
+
 OP10 = rf"""
 with recursive d as (select doc_id, row_number() over () rid, regexp_extract_all({_lowered("text")}, '[^\x20\x09-\x0D]+') w from documents),
 sh as (select rid, doc_id, list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)]) s from d where len(w) > 0),
