@@ -10,6 +10,7 @@ from lexarray.llm import sql
 from lexarray.llm.decontamination import contamination
 from lexarray.llm.html import extracted
 from lexarray.llm.language import identify
+from lexarray.llm.lines import line_dedup
 from lexarray.llm.lm import lm_scores
 from lexarray.llm.ngram_join import ngram_components
 from lexarray.llm.quality import quality_rules
@@ -33,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("d.doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages")).drop("valid")
 
@@ -54,7 +59,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op4_quality_rules, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op4_quality_rules, op5_line_dedup, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
