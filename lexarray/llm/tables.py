@@ -13,8 +13,11 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexarray.llm.kernels import mix
 
@@ -93,6 +96,17 @@ def bloom_of(keys: DataFrame, bits: int = 26, probes: int = 3) -> Bloom:
     return Bloom(merge(keys.mapInArrow(run, _SCHEMA), len(Bloom.empty(bits).words), np.uint64, add=False), probes)
 
 
+def split_by(df: DataFrame, key: Column, words: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key, a long, is surely not in a filter, and the others: only these need a join with what it holds."""
+
+    @F.pandas_udf("boolean")
+    def maybe(keys):  # noqa: ANN001, ANN202
+        return pd.Series(Bloom(words.value).has(keys.to_numpy().astype(np.int64).view(np.uint64)))
+
+    flagged = df.withColumn("_maybe", maybe(key))
+    return flagged.where("not _maybe").drop("_maybe"), flagged.where("_maybe").drop("_maybe")
+
+
 def sent(spark: SparkSession, value: object):
     """A broadcast of something whose size a parameter bounds."""
     return spark.sparkContext.broadcast(value)

@@ -13,7 +13,6 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +27,15 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a string's UTF-8 bytes: 160 bits are 32 characters without padding."""
-    digest = F.sha1(payload.cast("binary"))
-    bits = F.concat(*[F.lpad(F.conv(F.substring(digest, 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)])
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit(_BASE32), F.conv(F.substring(bits, 1 + 5 * i, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+def with_digest(rows: DataFrame, payload: str, name: str) -> DataFrame:
+    """rows with the upper-case base32 of the SHA-1 of a string's UTF-8 bytes: 160 bits are 32 characters without padding.
+
+    In steps, so that the digest and its bits are worked out once and not for every character.
+    """
+    hexed = rows.withColumn("_sha", F.sha1(F.col(payload).cast("binary")))
+    bits = F.concat(*[F.lpad(F.conv(F.substring("_sha", 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)])
+    letters = [F.substring(F.lit(_BASE32), F.conv(F.substring("_bits", 1 + 5 * i, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(32)]
+    return hexed.withColumn("_bits", bits).withColumn(name, F.concat(*letters)).drop("_sha", "_bits")
 
 
 def with_originals(pages: DataFrame, key: str, digest: str, size: str, least: int) -> DataFrame:
@@ -47,14 +50,10 @@ def with_originals(pages: DataFrame, key: str, digest: str, size: str, least: in
     first = tables.cut(first.select(mark.alias("mark"), "original"))
     words = tables.sent(spark, tables.bloom_of(first.select("mark"), bits=23).words)
 
-    @F.pandas_udf("boolean")
-    def repeated(marks):  # noqa: ANN001, ANN202
-        return pd.Series(tables.Bloom(words.value).has(marks.to_numpy().astype("int64").view("uint64")))
-
-    split = pages.withColumn("mark", mark).withColumn("repeated", repeated("mark"))
-    once = split.where("not repeated").withColumn("original", F.lit(None).cast(pages.schema[key].dataType))
-    again = split.where("repeated").join(first.select(turned("mark").alias("t"), "original"), (turned("mark") == F.col("t")) & (F.col(size) >= least), "left").drop("t")
-    return once.unionByName(again).drop("mark", "repeated")
+    once, again = tables.split_by(pages.withColumn("mark", mark), F.col("mark"), words)
+    once = once.withColumn("original", F.lit(None).cast(pages.schema[key].dataType))
+    again = again.join(first.select(turned("mark").alias("t"), "original"), (turned("mark") == F.col("t")) & (F.col(size) >= least), "left").drop("t")
+    return once.unionByName(again).drop("mark")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, records_per_file: int = 5000) -> None:
@@ -67,7 +66,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7f]", "%20").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
+    rows = with_digest(rows.withColumn("size", F.octet_length("payload").cast("long")), "payload", "digest")
     rows = with_originals(rows, "id", "digest", "size", least)
     revisit = F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("size"), F.lit(_CRLF * 2))
@@ -155,14 +154,21 @@ def reachable(links: DataFrame) -> DataFrame:
     links: path, at, next. Each round follows pointers twice as long, so that a file of n records takes
     log2(n) rounds.
     """
-    jumps = tables.cut(links.select("path", "at", "next").distinct())
-    found = tables.cut(jumps.where("at = 0").select("path", "at"))
-    known = tables.cut(jumps.select("path", "at"))
-    while not jumps.isEmpty():
-        more = found.join(jumps, ["path", "at"]).select("path", F.col("next").alias("at"))
-        found = tables.cut(found.unionByName(more.join(known, ["path", "at"], "left_semi")).distinct())
-        jumps = tables.cut(jumps.join(jumps.select("path", F.col("at").alias("next"), F.col("next").alias("far")), ["path", "next"]).select("path", "at", F.col("far").alias("next")))
-    return found
+    parts = max(1, links.rdd.getNumPartitions())  # as many as tasks that read; a round's union would add its own to them
+    known = tables.cut(links.select("path", "at", "next").distinct().coalesce(parts))
+    ends = known.select(F.col("path").alias("p"), F.col("at").alias("a"))
+    jumps = known.join(ends, (F.col("path") == F.col("p")) & (F.col("next") == F.col("a")), "left_semi")
+    start = known.where("at = 0").select("path", F.lit(True).alias("found"), "at", F.lit(None).cast("long").alias("next"))
+    # one table of the records found and of the pointers, so that a round is one join: positions found so far are
+    # the first 2**k of a file's chain, and pointers lead 2**k records on
+    state = tables.cut(start.unionByName(jumps.select("path", F.lit(False).alias("found"), "at", "next")).coalesce(parts))
+    while not state.where("not found").isEmpty():
+        pointers = state.where("not found").select(F.col("path").alias("p"), F.col("at").alias("a"), F.col("next").alias("n"))
+        asked = state.select("path", "found", "at", F.when(F.col("found"), F.col("at")).otherwise(F.col("next")).alias("key"))
+        moved = asked.join(pointers, (F.col("path") == F.col("p")) & (F.col("key") == F.col("a")))
+        moved = moved.select("path", "found", F.when(F.col("found"), F.col("n")).otherwise(F.col("at")).alias("at"), F.when(~F.col("found"), F.col("n")).alias("next"))
+        state = tables.cut(state.where("found").unionByName(moved).coalesce(parts))
+    return state.where("found").select("path", "at")
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
