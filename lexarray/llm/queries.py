@@ -12,6 +12,7 @@ from lexarray.llm.html import extracted
 from lexarray.llm.language import identify
 from lexarray.llm.lines import line_dedup
 from lexarray.llm.lm import lm_scores
+from lexarray.llm.mixing import mixed
 from lexarray.llm.ngram_join import ngram_components
 from lexarray.llm.quality import quality_rules
 from lexarray.llm.secrets import secret_spans
@@ -30,6 +31,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(_table(spark, sf_dir, "pages"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents")).select("d.doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op4_quality_rules, op5_line_dedup, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_mixing, op4_quality_rules, op5_line_dedup, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
