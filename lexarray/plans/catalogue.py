@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from lexarray.plans import search_queries
+
+_MODULES = (search_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
