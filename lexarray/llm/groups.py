@@ -34,7 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(turned("a").alias("t"), "m")
         large = both.where("b > a").join(least, turned("a") == F.col("t")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least.select(turned("a").alias("t"), "m"), turned("a") == F.col("t"))
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
@@ -44,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(seen)
     roots = now.select(F.col("b").alias("k")).distinct()
-    return now.select(F.col("a").alias("k"), F.col("b").alias("c")).unionByName(roots.select("k", F.col("k").alias("c")))
+    return cut(now.select(F.col("a").alias("k"), F.col("b").alias("c")).unionByName(roots.select("k", F.col("k").alias("c"))))
 
 
 def linked(members: DataFrame, order: list[str], near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
@@ -79,12 +78,10 @@ def linked(members: DataFrame, order: list[str], near: Callable[[str, str], Colu
             mixed = cut(x.join(spread.select("t"), "t", "left_semi"))
             pairs = mixed.join(mixed.withColumnRenamed("x", "y"), "t").where((F.col("x.c") < F.col("y.c")) & near("x", "y"))
         pairs = fresh(pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
-        if pairs.isEmpty():
-            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = cut(verify(pairs).select("a", "b"))
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
-        labels = cut(components(links))
+        labels = components(links)
     return labels, links

@@ -7,6 +7,7 @@ their cell's weight. All in native DataFrame operations; cells stay in a table,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,7 @@ def _key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def _shares(cells: DataFrame, dim: str, target: dict[str, float] | float, total: float) -> DataFrame:
+def _shares(cells: DataFrame, dim: str, target: dict[str, float] | float, total: float, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(dim, target share) of the values that have tokens. Values not named share what the named ones leave, or
     nothing if these fill it; shares are scaled to one."""
     margin = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("x"))
@@ -58,23 +59,24 @@ def _shares(cells: DataFrame, dim: str, target: dict[str, float] | float, total:
         rest = max(0.0, 1.0 - sum(target.values()))
         other = margin.where(~F.col(dim).isin(list(target))).agg(F.sum("x")).first()[0] or 1.0
         wanted = named.otherwise(F.col("x") / other * rest)
-    margin = cut(margin.select(dim, wanted.alias("w")))
+    margin = kept(margin.select(dim, wanted.alias("w")))
     scale = margin.agg(F.sum("w")).first()[0] or 1.0
     return margin.select(dim, (F.col("w") / scale).alias("share"))
 
 
-def raked(cells: DataFrame, targets: Targets, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def raked(cells: DataFrame, targets: Targets, small: bool = False, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """cells (one column for each dimension, tokens) with mass: the tokens scaled so that each dimension's shares
-    are its targets, to within tolerance or after `rounds` rounds. Masses add up to all tokens."""
+    are its targets, to within tolerance or after `rounds` rounds. Masses add up to all tokens. small: all in one partition."""
+    kept = (lambda df: cut(df).coalesce(1)) if small else cut
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    shares = {d: _shares(cells, d, t, total) for d, t in targets.items()}
+    shares = {d: _shares(cells, d, t, total, kept) for d, t in targets.items()}
     now = cells.withColumn("mass", F.col("tokens").cast("double"))
     for _ in range(rounds):
         off = F.lit(0.0)
         for d, share in shares.items():
             margin = now.groupBy(d).agg(F.sum("mass").alias("m")).join(share, d).select(d, F.when(F.col("m") > 0, F.col("share") * total / F.col("m")).otherwise(0.0).alias("f"))
             now = now.join(margin, d).withColumn("mass", F.col("mass") * F.col("f")).withColumn("off", F.greatest(F.abs(F.col("f") - 1), off if d == next(iter(shares)) else F.col("off"))).drop("f")
-        now = cut(now)
+        now = kept(now)
         if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
         now = now.drop("off")
@@ -116,8 +118,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
     every = cut(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
     small = every.count() <= SMALL_CELLS
     if small:
-        every = cut(every.coalesce(1))
-    cells = raked(every.where("tokens > 0"), targets)
+        every = every.coalesce(1)
+    cells = raked(every.where("tokens > 0"), targets, small)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     rate = _rate(cells, fraction * total)
     weight = F.col("mass") / F.col("tokens")

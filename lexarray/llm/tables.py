@@ -120,9 +120,15 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder, so that lost executors cost no more than their tasks."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once into the shared checkpoint folder, so that lost executors cost no more than their tasks.
+
+    The result is a new frame over the files: a checkpointed one keeps the size estimated for its plan, and in a
+    loop of joins these estimates, multiplied round by round, become numbers that fill the driver's memory.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return type(df)(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
