@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from lexarray.llm.tables import cut
 
 
+#: Links a partition holds.
+ROWS = 200_000
+
+
 def turned(key: str) -> Column:
     """A key that no earlier shuffle is known to be dealt by: both sides of a join on it are then shuffled
     for that join, and adaptive execution can split a hot key's partition."""
@@ -29,6 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each round cut in the checkpoint folder, until nothing moves.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    # partitions for the rows there are: with few links a round needs few tasks, or with one partition no shuffle
+    parts = 1 + now.count() // ROWS
+    now = now.coalesce(parts)
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least.select(turned("a").alias("t"), "m"), turned("a") == F.col("t"))
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        now = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).coalesce(parts)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break
