@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexarray.llm.tables import cut
@@ -69,18 +69,25 @@ def raked(cells: DataFrame, targets: Targets, small: bool = False, rounds: int =
     are its targets, to within tolerance or after `rounds` rounds. Masses add up to all tokens. small: all in one partition."""
     kept = (lambda df: cut(df).coalesce(1)) if small else cut
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    shares = {d: _shares(cells, d, t, total, kept) for d, t in targets.items()}
     now = cells.withColumn("mass", F.col("tokens").cast("double"))
+    for d, t in targets.items():
+        now = now.join(_shares(cells, d, t, total, kept).withColumnRenamed("share", f"{d}_share"), d)
+    now = kept(now)
+
+    def scaled(now: DataFrame, d: str) -> DataFrame:
+        """Masses times what takes the dimension's shares to their targets; f: that factor."""
+        if small:  # in one partition a window needs no shuffle, and the plan does not double with every step
+            now = now.withColumn("m", F.sum("mass").over(Window.partitionBy(d)))
+        else:
+            now = now.join(now.groupBy(d).agg(F.sum("mass").alias("m")), d)
+        f = F.when(F.col("m") > 0, F.col(f"{d}_share") * total / F.col("m")).otherwise(0.0)
+        return now.withColumn("f", f).withColumn("mass", F.col("mass") * F.col("f")).withColumn("off", F.greatest("off", F.abs(F.col("f") - 1))).drop("m", "f")
+
     for _ in range(rounds):
-        off = F.lit(0.0)
-        for d, share in shares.items():
-            margin = now.groupBy(d).agg(F.sum("mass").alias("m")).join(share, d).select(d, F.when(F.col("m") > 0, F.col("share") * total / F.col("m")).otherwise(0.0).alias("f"))
-            now = now.join(margin, d).withColumn("mass", F.col("mass") * F.col("f")).withColumn("off", F.greatest(F.abs(F.col("f") - 1), off if d == next(iter(shares)) else F.col("off"))).drop("f")
-        now = kept(now)
+        now = kept(reduce(scaled, targets, now.withColumn("off", F.lit(0.0))))
         if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-        now = now.drop("off")
-    return now.drop("off") if "off" in now.columns else now
+    return now.drop("off", *[f"{d}_share" for d in targets])
 
 
 def _rate(cells: DataFrame, budget: float) -> float:
