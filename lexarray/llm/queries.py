@@ -52,7 +52,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(_table(spark, sf_dir, "documents"))
+    return lm_scores(_table(spark, sf_dir, "documents"), least_pairs=1)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
