@@ -49,8 +49,8 @@ def _key(c: Column) -> Column:
 
 
 def _shares(cells: DataFrame, dim: str, target: dict[str, float] | float, total: float, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(dim, target share) of the values that have tokens. Values not named share what the named ones leave, or
-    nothing if these fill it; shares are scaled to one."""
+    """(dim, target share) of the values that have tokens. Values not named share what the named ones leave; if
+    these fill it they keep their share of the tokens, and the named ones divide the rest. Shares are scaled to one."""
     margin = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("x"))
     if not isinstance(target, dict):
         wanted = F.pow(F.col("x") / total, F.lit(float(target)))
@@ -58,6 +58,10 @@ def _shares(cells: DataFrame, dim: str, target: dict[str, float] | float, total:
         named = reduce(lambda a, kv: a.when(F.col(dim) == kv[0], F.lit(float(kv[1]))), target.items(), F.when(F.lit(False), F.lit(0.0)))
         rest = max(0.0, 1.0 - sum(target.values()))
         other = margin.where(~F.col(dim).isin(list(target))).agg(F.sum("x")).first()[0] or 1.0
+        if rest <= 1e-9:
+            # as shares are scaled, this adds to the named ones what makes the others' part the one they have
+            known = max(total - other, 0.0)
+            rest = sum(target.values()) * other / known if known else 1.0
         wanted = named.otherwise(F.col("x") / other * rest)
     margin = kept(margin.select(dim, wanted.alias("w")))
     scale = margin.agg(F.sum("w")).first()[0] or 1.0
@@ -114,7 +118,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
     where it stays below one everywhere, the expected shares of the sample are the targets. sampled: a hash
     of id, text and seed, as a number in [0, 1), is below the probability, so that a rerun draws the same.
 
-    Cases: null and empty sources or languages are one category, values without a target share what is left;
+    Cases: null and empty sources or languages are one category, values without a target share what is left,
+    or keep their share of the tokens where the targets add up to one;
     texts without words have no tokens but the probability of their cell; identical rows are drawn alike; rows
     without id are drawn by their text; an empty table gives no rows; columns of docs stay inside d.
     """

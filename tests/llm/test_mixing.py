@@ -63,3 +63,14 @@ def test_no_python_in_the_plan(spark):
     df = mixed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     df.collect()
     assert not re.search("Python|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_values_without_a_target_are_drawn(spark):
+    langs = ["en", "fr", "de", "es", "it", None, ""]
+    rows = [(i, "a b c d", "s", langs[i % 7]) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixed(df).collect()
+    assert all(r.probability > 0 for r in got)
+    assert sum(r.tokens * r.weight for r in got if r.lang in ("it", "")) == pytest.approx(280 * 3 / 7, rel=1e-3)
+    assert sum(r.tokens * r.weight for r in got if r.lang == "en") == pytest.approx(280 * 4 / 7 * 0.55, rel=1e-3)
+    assert mixture(df, fraction=1.0).count() == 70
