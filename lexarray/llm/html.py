@@ -18,6 +18,7 @@ from lexarray.llm import tables
 BLOCKS = set("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe select svg math object canvas audio video button option head".split())
+_HEADED = set("html head base basefont bgsound link meta noscript script style template title".split())
 _LITERAL = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 _WITHIN = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -73,6 +74,8 @@ class Page:
         while at < end:
             m = _TOKEN.search(html, at)
             stop = m.start() if m else end
+            if stack[-1][0] == "head" and html[at:stop].strip():  # text ends a head, as in browsers
+                pop_to(len(stack) - 1)
             if stop > at and not raw:
                 buffer.append(html[at:stop])
                 if link:
@@ -95,6 +98,8 @@ class Page:
                     if name in BLOCKS:
                         flush()
                 continue
+            if stack[-1][0] == "head" and name not in _HEADED:
+                pop_to(len(stack) - 1)
             if name == "br":
                 buffer.append(" ")
                 continue

@@ -62,3 +62,12 @@ def test_other_layouts(spark):
     assert got[1].text == f"Title & more\n\n{one}\n\nOne two three four ©\n\nalpha beta gamma delta.\n\nsecond item of the list.\n\n{one}"
     assert [got[k].text for k in (2, 3, 4, 5, None)] == [""] * 5 and got[2].url is None
     assert extracted(df.limit(0)).collect() == []
+
+
+def test_head_without_its_end():
+    body = "<div><p>First words.</p><p>Second words.</p></div>"
+    texts = [t for _, t in Page(f"<html><head><title>x</title></head><body>{body}</body></html>").texts]
+    assert texts == ["First words.", "Second words."]
+    for page in (f"<html><head><title>x</title><body>{body}", f"<head><meta charset=utf-8><script>a<b</script>{body}"):
+        assert [t for _, t in Page(page).texts] == texts
+    assert [t for _, t in Page(f"<head><title>x</title>Bare words.{body}").texts] == ["Bare words.", *texts]
