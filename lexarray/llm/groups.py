@@ -1,24 +1,31 @@
 """Connected components of a similarity join without all pairs of a group.
 
-Rows that share a token are candidates. In each of a few rounds every token group that still spans
-several components tests its members against one pivot; groups whose members are all connected drop
-out. What remains is joined in full, between different components only, so that no link between two
-components is lost, while a group of n similar rows costs about n tests instead of n * n / 2.
-Links inside one component are not all listed: they cannot change a component.
+Rows that share a token are candidates. In each round every token group that still spans several
+components tests its members against one pivot; groups whose members are all connected drop out. What
+remains is joined in full, between different components only, so that no link between two components is
+lost, while a group of n similar rows costs about n tests instead of n * n / 2. Links inside one
+component are not all listed: they cannot change a component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexarray.llm.tables import cut
-
+from lexarray.llm import tables
+from lexarray.llm.kernels import mix, signed
+from lexarray.llm.tables import cut, drop
 
 #: Links a partition holds.
 ROWS = 200_000
+#: What is left is joined in full once its pairs are at most so many times its rows, or after MOST_TURNS pivots.
+FEW_PAIRS = 50
+MOST_TURNS = 6
 
 
 def turned(key: str) -> Column:
@@ -27,68 +34,177 @@ def turned(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(1).cast("long"))
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars: each node with the smallest that it is connected to."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = [x for x in above if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(k, c): each node of edges (a, b: long) with the smallest node of its connected component.
+    """A table (k, c): each node of edges (a, b: long) with the smallest node of its connected component.
 
-    Large-star and small-star steps in turn, each round cut in the checkpoint folder, until nothing moves.
+    The links of each partition, of about ROWS, become stars; then large-star and small-star steps in turn, each
+    round cut in the shared folder, until nothing moves. Where one partition holds all, its stars are the components.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    # partitions for the rows there are: with few links a round needs few tasks, or with one partition no shuffle
-    parts = 1 + now.count() // ROWS
-    now = now.coalesce(parts)
+    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
     state = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(turned("a").alias("t"), "m")
-        large = both.where("b > a").join(least, turned("a") == F.col("t")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least.select(turned("a").alias("t"), "m"), turned("a") == F.col("t"))
-        small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()).coalesce(parts)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
+        parts = 1 + now.count() // ROWS
+        stars = (now.coalesce(1) if parts == 1 else now.repartition(parts)).mapInArrow(_forest, "a long, b long")
+        if parts > 1:
+            both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(turned("a").alias("t"), "m")
+            large = both.where("b > a").join(least, turned("a") == F.col("t")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            hung = large.join(least.select(turned("a").alias("t"), "m"), turned("a") == F.col("t"))
+            small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+            stars = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        past, now = now, cut(stars)
+        drop(past)
+        if parts == 1:
+            break
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if seen == state:
             break
-        state = tuple(seen)
-    roots = now.select(F.col("b").alias("k")).distinct()
-    return cut(now.select(F.col("a").alias("k"), F.col("b").alias("c")).unionByName(roots.select("k", F.col("k").alias("c"))))
+        state = seen
+    out = cut(now.select(F.col("a").alias("k"), F.col("b").alias("c")).unionByName(now.select(F.col("b").alias("k"), F.col("b").alias("c")).distinct()))
+    drop(now)
+    return out
 
 
-def linked(members: DataFrame, order: list[str], near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> tuple[DataFrame | None, DataFrame | None]:
-    """Components (k, c) and the links (a, b) found for them, or (None, None) without links.
+def _split(token: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return mix(token + np.asarray(step & np.uint64(63)) * np.full(1, 0x9E3779B97F4A7C15, np.uint64))
 
-    members: token, k and what near compares, one row for each token of a node; order: what makes a good
-    pivot, smallest first; near(x, y): the test that needs only members' columns, by the names of two
-    structs; verify: keeps the pairs (a, b) that are links.
-    """
-    columns = [c for c in members.columns if c not in ("token", "k")]
-    links = tested = labels = None
 
-    def placed() -> DataFrame:
-        if labels is None:
-            return members.withColumn("c", F.col("k"))
-        return members.join(labels.select(turned("k").alias("t"), "c"), turned("k") == F.col("t"), "left").drop("t").withColumn("c", F.coalesce("c", "k"))
+def candidates(base: DataFrame, size: str, columns: list[str], percent: int) -> DataFrame:
+    """A table (token, k, pos, size, columns) of the rows of base whose tokens others of a similar size share.
 
-    def fresh(pairs: DataFrame) -> DataFrame:
+    base: k, size, columns (all long) and tokens (array of long; pos is a token's place in it, null arrays have none);
+    several rows may have one k. Sizes are alike if the smaller is at least percent % of the larger: tokens are split
+    by steps of sizes, each row being in two, so that rows alike in size share one, and a frequent token's group
+    falls into many. Tokens without a second row go, but for false hits of a filter.
+    """
+    spark = base.sparkSession
+    columns = [size, *columns]
+
+    def steps(n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(np.maximum(n, 1)) / -np.log(percent / 100) + 1e-9).astype(np.uint64)
+
+    def listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a batch (tokens, k, size, ...), their rows and places, and steps."""
+        lists = batch.column(0)
+        lengths = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), row, place.astype(np.int64), steps(batch.column(2).to_numpy())[row]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, _, _, step = listed(batch)
+            bit = np.uint64(1) << (step & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(signed(bit))], ["token", "bit"])
+
+    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a split token holds the rows of its step and of the one below; `more`: some step has two rows or more
+        for batch in batches:
+            token, bits, of = (batch.column(i).to_numpy() for i in range(3))
+            token, bits = token.view(np.uint64), bits.view(np.uint64)
+            more = of > np.bitwise_count(bits)
+            for s in range(64):
+                own = (bits >> np.uint64(s)) & np.uint64(1) != 0
+                below = (bits >> np.uint64((s - 1) % 64)) & np.uint64(1) != 0
+                found = token[own & (more | below)]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(_split(found, np.uint64(s))))], ["token"])
+
+    rows = base.where("tokens is not null").select("tokens", "k", *columns)
+    shared = rows.mapInArrow(counted, "token long, bit long").groupBy("token").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("of")).where("of > 1")
+    shared = cut(shared.mapInArrow(useful, "token long"))
+    filtered = tables.sent(spark, tables.bloom_of(shared).words)
+    drop(shared)
+
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = tables.Bloom(filtered.value)
+        for batch in batches:
+            token, row, pos, step = listed(batch)
+            for up in range(2):
+                split = _split(token, step + np.uint64(up))
+                keep = np.flatnonzero(bloom.has(split)) if len(split) else np.zeros(0, np.int64)
+                of = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(split[keep])), pa.array(pos[keep]), *(c.take(of) for c in batch.columns[1:])], ["token", "pos", *batch.schema.names[1:]])
+
+    out = cut(rows.mapInArrow(sharing, "token long, pos long, k long" + "".join(f", {c} long" for c in columns)))
+    filtered.destroy()
+    return out
+
+
+def linked(members: DataFrame, near: Callable[[str, str], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame | None:
+    """Components (k, c) of the keys that have links, or None where there is none.
+
+    members: a table (token, k and what near compares), which is deleted; near(x, y): the test that needs only
+    members' columns, by the names of two structs; prepare: given a table of the keys (k) that may be asked for, the
+    function that keeps the pairs (a, b) that are links. A pivot is the same for all tokens that the same keys
+    share, so that a group of copies is tested against few.
+    """
+    columns = [c for c in members.columns if c not in ("token", "k")]
+    rows, held, labels, verify, turn = members, members, None, None, 0
+    tested: list[DataFrame] = []
+    links: list[DataFrame] = []
+    every = lambda parts: reduce(DataFrame.unionByName, parts)
+    last = False
+    while not last:
+        now = rows.withColumn("c", F.col("k"))
+        if labels is not None:
+            now = rows.join(labels.select(turned("k").alias("t"), "c"), turned("k") == F.col("t"), "left").select("token", "k", F.coalesce("c", "k").alias("c"), *columns)
+            now = cut(now)
+            drop(held)
+            held = now
+        # groups that still span several components, each with its pivot
+        pivot = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("o"), "k", "c", *columns)).alias("y")
+        spread = cut(now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("of"), pivot).where("c0 <> c1"))
+        state = now.select("token", turned("token").alias("t"), F.struct("k", "c", *columns).alias("x")).join(spread.select(turned("token").alias("t"), "of", "y"), "t")
+        with_pivot = F.when((F.col("x.c") != F.col("y.c")) & near("x", "y"), F.col("y.k"))
+        state = cut(state.select("token", "x", with_pivot.alias("b"), "of"))
+        drop(held, spread)
+        held = state
+        n, pairs_left = state.agg(F.count("*"), F.coalesce(F.sum(F.col("of") - 1) / 2, F.lit(0.0))).first()
+        if not n:
+            break
+        last = turn > 0 and (pairs_left <= FEW_PAIRS * n or turn >= MOST_TURNS)
+        if last:
+            mine = state.select(turned("token").alias("t"), "x")
+            pairs = mine.join(mine.withColumnRenamed("x", "y"), "t").where((F.col("x.c") < F.col("y.c")) & near("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+        else:
+            pairs = state.where("b is not null").select(F.col("x.k").alias("a"), "b")
+        # a group of two is done with
+        rows = state.where("of > 2").select("token", "x.k", *[f"x.{c}" for c in columns])
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-
-    for turn in range(rounds + 1):
-        rows = placed()
-        last = turn == rounds
-        side = F.struct(*columns, "k", "c")
-        spread = rows.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(*order, *[c for c in columns if c not in order], "k", "c")).alias("y")).where("c0 <> c1")
-        spread = spread.select(turned("token").alias("t"), "y")
-        x = rows.select(turned("token").alias("t"), side.alias("x"))
-        if not last:
-            pairs = x.join(spread, "t").where((F.col("x.c") != F.col("y.c")) & near("x", "y"))
+        tested.append(cut(pairs.join(every(tested), ["a", "b"], "left_anti") if tested else pairs))
+        if verify is None:
+            keys = tested[0].select(F.explode(F.array("a", "b")).alias("k")).unionByName(rows.select("k"))
+            keys = cut(keys.distinct())
+            verify = prepare(keys)
+            drop(keys)
+        found = verify(tested[-1])
+        if not found.isEmpty():
+            links.append(found)
+            drop(labels)
+            labels = components(every(links))
         else:
-            mixed = cut(x.join(spread.select("t"), "t", "left_semi"))
-            pairs = mixed.join(mixed.withColumnRenamed("x", "y"), "t").where((F.col("x.c") < F.col("y.c")) & near("x", "y"))
-        pairs = fresh(pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut(verify(pairs).select("a", "b"))
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    return labels, links
+            drop(found)
+        turn += 1
+    drop(held, *tested, *links)
+    return labels

@@ -8,10 +8,11 @@ common prefix shingle are compared, after length, positional and suffix filters,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,66 +53,42 @@ def shingle_levels(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     return tables.merge(texts.mapInArrow(run, "block int, cells binary"), 1 << bits, np.uint32, add=True, finish=tables.level)
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 22) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles (size of its set), component_id.
-
-    Words are maximal runs without ASCII white space, lower-cased in A-Z. A document's set holds its
-    distinct n-word shingles; with fewer words, all words as one. Two documents link when the
-    intersection has at least percent % of the union; component_id is the smallest doc_id reachable.
-
-    Cases: null or wordless texts have an empty set, link with nothing and are their own component. Rows
-    without doc_id get a null component_id and no part in linking. Repeated rows and exact copies share a
-    component. Rows that repeat a doc_id with different texts are each placed by their text. An empty
-    table gives no rows. Other columns of docs, whatever their names, are ignored. The filters hold for
-    sets of any size; nothing is capped.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _classes(rows: DataFrame, n: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame | None]:
+    """(base, classes): id, dig, n and k of every row of rows (id, dig, text), n the size of its set and k the set's
+    digest; and a table (k, c) of the sets that are linked with others, or None."""
+    spark = rows.sparkSession
     levels = tables.sent(spark, shingle_levels(rows.select("text"), n, bits))
     shift = np.uint64(64 - bits)
+    marked = rows.select("id", "dig", F.xxhash64("id", "dig").alias("r"), "text")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
+        known: set[int] = set()
         for batch in batches:
-            ids = batch.column(0)
-            size, key, sig = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
+            rows_in = batch.num_rows
+            size, key, sig = np.zeros(rows_in, np.int64), np.zeros(rows_in, np.uint64), np.zeros(rows_in, np.uint64)
             tokens: list[np.ndarray] = []
-            for i, s in _sets(batch.column(1), n):
+            for i, s in _sets(batch.column(3), n):
                 m = len(s)
                 size[i] = m
+                listed = None
                 if m:
                     key[i] = _digest(s)
-                    quarters = np.minimum(0xFFFF, np.diff(np.append(np.searchsorted(s, _QUARTERS), m))).astype(np.uint64)
-                    sig[i] = (quarters << _SHIFTS).sum(dtype=np.uint64)
-                    order = np.argsort(table[(s >> shift).astype(np.int64)], kind="stable")  # s is sorted: ties go by hash
-                    s = s[order[: m - -(-percent * m // 100) + 1]]
-                tokens.append(signed(s))
-            starts = np.zeros(len(tokens) + 1, np.int32)
-            np.cumsum([len(t) for t in tokens], out=starts[1:])
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(signed(key)), pa.array(signed(sig)), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))], ["id", "n", "k", "sig", "tokens"])
-
-    base = tables.cut(rows.mapInArrow(prefixes, "id long, n long, k long, sig long, tokens array<long>"))
-    real = base.where("n > 0 and id is not null")
-    every = real.select("k", F.explode("tokens").alias("token"))
-    shared = tables.cut(every.groupBy("token").count().where("count > 1").select("token"))
-    filtered = tables.sent(spark, tables.bloom_of(shared).words)
-
-    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = tables.Bloom(filtered.value)
-        for batch in batches:
-            lists = batch.column(3)
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            keep = np.flatnonzero(bloom.has(flat.view(np.uint64))) if len(flat) else np.zeros(0, np.int64)
-            doc = pa.array(doc[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column(0).take(doc), batch.column(1).take(doc), batch.column(2).take(doc), pa.array(place[keep].astype(np.int64))], ["token", "k", "n", "sig", "pos"])
-
-    found = real.select("k", "n", "sig", "tokens").mapInArrow(sharing, "token long, k long, n long, sig long, pos long")
-    members = found.groupBy("token", "k").agg(*[F.min(c).alias(c) for c in ("n", "sig", "pos")])
-    members = tables.cut(members.join(shared.select(groups.turned("token").alias("t")), groups.turned("token") == F.col("t"), "left_semi"))
+                    if int(key[i]) not in known:  # copies of what this task has seen have nothing to add
+                        known.add(int(key[i]))
+                        quarters = np.minimum(0xFFFF, np.diff(np.append(np.searchsorted(s, _QUARTERS), m))).astype(np.uint64)
+                        sig[i] = (quarters << _SHIFTS).sum(dtype=np.uint64)
+                        order = np.argsort(table[(s >> shift).astype(np.int64)], kind="stable")  # s is sorted: ties go by hash
+                        listed = signed(s[order[: m - -(-percent * m // 100) + 1]])
+                tokens.append(listed)
+            starts = np.zeros(rows_in + 1, np.int32)
+            np.cumsum([0 if t is None else len(t) for t in tokens], out=starts[1:])
+            flat = np.concatenate([np.zeros(0, np.int64), *[t for t in tokens if t is not None]])
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat), mask=pa.array([t is None for t in tokens], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size), pa.array(signed(key)), pa.array(signed(sig)), lists], ["id", "dig", "r", "n", "k", "sig", "tokens"])
+
+    listed = tables.cut(marked.mapInArrow(prefixes, "id long, dig long, r long, n long, k long, sig long, tokens array<long>"))
+    levels.destroy()
 
     def near(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -120,58 +97,90 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
         return length & ((100 + percent) * most >= percent * (nx + ny)) & ((100 + percent) * suffix >= percent * (nx + ny))
 
-    # a group of two that fails the filters is done with before any set is fetched
-    row = F.struct("k", "n", "sig", "pos")
-    useful = members.groupBy("token").agg(F.count("*").alias("of"), F.min(row).alias("x"), F.max(row).alias("y")).where((F.col("of") > 2) | (F.col("of") == 2) & near("x", "y"))
-    members = tables.cut(members.join(useful.select(groups.turned("token").alias("t")), groups.turned("token") == F.col("t"), "left_semi"))
-    reps = real.groupBy("k").agg(F.min("id").alias("rep"))
-    labels = None
-    if not members.isEmpty():
-        chosen = reps.join(members.select("k").distinct(), "k", "left_semi")
-        wanted = tables.sent(spark, tables.bloom_of(chosen.select(F.col("rep").bitwiseXOR(F.col("k")))).words)
-
-        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bloom = tables.Bloom(wanted.value)
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                keys, sets = [], []
-                for i, s in _sets(batch.column(1), n):
-                    if len(s):
-                        k = signed(_digest(s)[None])[0]
-                        if bloom.has(np.array([ids[i] ^ k]).view(np.uint64))[0]:
-                            keys.append(k)
-                            sets.append(signed(s))
-                starts = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum([len(s) for s in sets], out=starts[1:])
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))], ["k", "s"])
-
-        sets = tables.cut(rows.where("id is not null").mapInArrow(full, "k long, s array<long>"))
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            asked = tables.sent(spark, tables.bloom_of(pairs.select(F.explode(F.array("a", "b")))).words)
-
-            def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                bloom = tables.Bloom(asked.value)
-                for batch in batches:
-                    yield batch.filter(pa.array(bloom.has(batch.column(0).to_numpy().view(np.uint64))))
-
-            few = sets.mapInArrow(some, sets.schema)
-            a = few.select(groups.turned("k").alias("ta"), F.col("s").alias("sa"))
-            b = few.select(groups.turned("k").alias("tb"), F.col("s").alias("sb"))
-            both = pairs.join(a, groups.turned("a") == F.col("ta")).join(b, groups.turned("b") == F.col("tb"))
-            common = F.size(F.array_intersect("sa", "sb"))
-            ok = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("m"), (F.spark_partition_id() >= 0).alias("_"))
-            return ok.where(F.col("_") & (100 * F.col("i") >= percent * (F.col("m") - F.col("i"))))  # the flag keeps the filter above the intersection
-
-        labels, _ = groups.linked(members, ["pos", "n"], near, verify)
+    members = groups.candidates(listed, "n", ["sig"], percent)
+    base = tables.cut(listed.select("id", "dig", "r", "n", "k"))
+    tables.drop(listed)
+
+    def prepare(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        # a set is read from one row: that with the least mark of those that have it
+        asked = keys.select(groups.turned("k").alias("t"))
+        chosen = base.where("n > 0").groupBy("k").agg(F.min("r").alias("r")).join(asked, groups.turned("k") == F.col("t"), "left_semi")
+        wanted = tables.sent(spark, tables.bloom_of(chosen.select(F.col("r").bitwiseXOR(F.col("k")))).words)
+        held.append(tables.cut(marked.select("r", "text").mapInArrow(lambda batches: full(batches, wanted), "k long, s binary")))
+        wanted.destroy()
+        return verify
+
+    held: list[DataFrame] = []
+
+    def full(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+        bloom = tables.Bloom(wanted.value)
+        known: set[int] = set()
+        for batch in batches:
+            marks = batch.column(0).to_numpy().view(np.uint64)
+            keys, sets = [], []
+            for i, s in _sets(batch.column(1), n):
+                if len(s):
+                    k = _digest(s)
+                    if int(k) not in known and bloom.has(np.array([marks[i] ^ k]))[0]:
+                        known.add(int(k))
+                        keys.append(k)
+                        sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(keys, np.uint64))), pa.array(sets, pa.binary())], ["k", "s"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = tables.sent(spark, tables.bloom_of(pairs.select(F.explode(F.array("a", "b")))).words)
+        _, few = tables.split_by(held[0], F.col("k"), ends)
+        both = pairs.join(few.select(groups.turned("k").alias("ta"), F.col("s").alias("sa")), groups.turned("a") == F.col("ta"))
+        both = both.join(few.select(groups.turned("k").alias("tb"), F.col("s").alias("sb")), groups.turned("b") == F.col("tb"))
+        found = tables.cut(both.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"))
+        ends.destroy()
+        return found
+
+    labels = groups.linked(members, near, prepare)
+    tables.drop(*held)
+    return base, labels
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("dig"), F.col(text_col).alias("text"))
+
+
+def _placed(base: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """id, dig, n, k and c, the class, of every row of base; c is null without words."""
+    own = base.select("id", "dig", "n", "k")
+    alone = F.when(F.col("n") > 0, F.col("k"))
     if labels is None:
-        lab = reps.select(groups.turned("k").alias("t"), F.col("rep").alias("component"))
-    else:
-        placed = reps.join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-        least = placed.groupBy("c").agg(F.min("rep").alias("component"))
-        lab = placed.join(least.select(groups.turned("c").alias("tc"), "component"), groups.turned("c") == F.col("tc")).select(groups.turned("k").alias("t"), "component")
-    out = base.select("id", "n", "k").join(lab, (groups.turned("k") == F.col("t")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+        return own.withColumn("c", alone)
+    joined = own.join(labels.select(groups.turned("k").alias("t"), "c"), (groups.turned("k") == F.col("t")) & (F.col("n") > 0), "left")
+    return joined.select("id", "dig", "n", "k", F.coalesce("c", alone).alias("c"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 22) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles (size of its set), component_id.
+
+    Words are maximal runs without ASCII white space, lower-cased in A-Z. A document's set holds its
+    distinct n-word shingles; with fewer words, all words as one. Two documents link when the
+    intersection has at least percent % of the union; component_id is the smallest doc_id reachable.
+
+    Cases: null or wordless texts have an empty set, link with nothing and are their own component. Rows
+    without doc_id link as others do, but give their component no id: it is null where none has one. Repeated rows
+    and exact copies share a component. Rows that repeat a doc_id with different texts are each placed by their text.
+    An empty table gives no rows. Other columns of docs, whatever their names, are ignored. The filters hold for
+    sets of any size; nothing is capped.
+    """
+    base, labels = _classes(_rows(docs, id_col, text_col), n, percent, bits)
+    placed = _placed(base, labels)
+    least = placed.where("c is not null").groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("of")).where("of > 1")
+    out = placed.join(least.select(groups.turned("c").alias("t"), "component"), groups.turned("c") == F.col("t"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
@@ -186,8 +195,24 @@ def _quarter(sig: str, q: int) -> Column:
     return F.when(x == 0xFFFF, F.lit(1 << 40)).otherwise(x)
 
 
-def one_of_each(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs whose document is the smallest of its component; rows without doc_id stay."""
-    id_col = options.get("id_col", "doc_id")
-    gone = ngram_components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 22) -> DataFrame:
+    """One row of docs of each component: that with the smallest id, and of equal ids the smallest digest of the text.
+
+    Cases: rows without id come last in that order; of rows with equal id and text the one with the smallest hash of
+    all columns stays; rows without words belong to no component and all stay; an empty table gives no rows.
+    """
+    base, labels = _classes(_rows(docs, id_col, text_col), n, percent, bits)
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "dig")
+    placed = _placed(base, labels).where("c is not null").select("c", row.alias("row"))
+    least = placed.groupBy("c").agg(F.min("row").alias("least"), F.count("*").alias("of")).where("of > 1")
+    shared = placed.join(least.select(groups.turned("c").alias("t"), "least"), groups.turned("c") == F.col("t")).groupBy("row").agg(F.first("least").alias("least"), F.count("*").alias("of"))
+    shared = shared.where(~F.col("row").eqNullSafe(F.col("least")) | (F.col("of") > 1))
+    shared = tables.cut(shared.select(F.col("row.id").alias("_id"), F.col("row.dig").alias("_dig"), F.col("row").eqNullSafe(F.col("least")).alias("_first")))
+    tables.drop(base, labels)
+    marks = tables.sent(docs.sparkSession, tables.bloom_of(shared.select(F.xxhash64("_id", "_dig"))).words)
+    # only rows of larger components are shuffled
+    out = docs.select(F.struct(*docs.columns).alias("d"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(text_col).alias("_d"))
+    whole, others = tables.split_by(out, F.xxhash64("_i", "_d"), marks)
+    others = others.join(shared, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_dig")), "left").where("_first is null or _first")
+    repeated = others.where("_first").groupBy("_i", "_d").agg(F.min_by("d", F.xxhash64("d")).alias("d"))
+    return whole.select("d.*").unionByName(others.where("_first is null").select("d.*")).unionByName(repeated.select("d.*"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -84,8 +85,18 @@ class Bloom:
         return reduce(np.logical_and, ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0 for at in self._places(keys)))
 
 
-def bloom_of(keys: DataFrame, bits: int = 26, probes: int = 3) -> Bloom:
-    """A filter of a long column's values; 2**bits / 8 bytes reach the driver, however many keys there are."""
+#: Bits of the largest filter that is sent: 64 MB.
+MOST_BITS = 29
+
+
+def bloom_of(keys: DataFrame, bits: int | None = None, probes: int = 3) -> Bloom:
+    """A filter of a long column's values. By default it has 16 to 32 bits a key, so that under 1% of other keys pass, and
+    never more than 2**MOST_BITS: beyond 2**25 keys more others pass, which costs time but no result."""
+    table = None
+    if bits is None:
+        if "held_in" not in vars(keys):
+            keys = table = cut(keys)  # once for the count and the filter
+        bits = min(MOST_BITS, max(16, 4 + math.ceil(math.log2(1 + keys.count()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bloom.empty(bits, probes)
@@ -93,7 +104,9 @@ def bloom_of(keys: DataFrame, bits: int = 26, probes: int = 3) -> Bloom:
             own.add(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         yield from emit(own.words)
 
-    return Bloom(merge(keys.mapInArrow(run, _SCHEMA), len(Bloom.empty(bits).words), np.uint64, add=False), probes)
+    merged = merge(keys.mapInArrow(run, _SCHEMA), len(Bloom.empty(bits).words), np.uint64, add=False)
+    drop(table)
+    return Bloom(merged, probes)
 
 
 def split_by(df: DataFrame, key: Column, words: Broadcast) -> tuple[DataFrame, DataFrame]:
@@ -112,23 +125,39 @@ def sent(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(value)
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Makes sure of a checkpoint folder: the session's spark.checkpoint.dir, or where none is set one beside the warehouse."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's spark.checkpoint.dir, or where none is set one beside the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder, so that lost executors cost no more than their tasks.
+    """df computed once into a table in the shared folder, so that lost executors cost no more than their tasks.
 
-    The result is a new frame over the files: a checkpointed one keeps the size estimated for its plan, and in a
-    loop of joins these estimates, multiplied round by round, become numbers that fill the driver's memory.
+    A later step reads only the columns it needs, in as many tasks as their bytes ask for. The shuffles of what was
+    computed are not needed again; the collection lets Spark delete their files now and not at some later time.
     """
     spark = df.sparkSession
-    shared_folder(spark)
-    done = df.checkpoint(eager=True)._jdf
-    return type(df)(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.held_in = path
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that cut() wrote and that no later step reads."""
+    for t in tables:
+        if t is not None:
+            delete(t.sparkSession, t.held_in)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
