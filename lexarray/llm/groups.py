@@ -24,8 +24,8 @@ from lexarray.llm.tables import cut, drop
 #: Links a partition holds.
 ROWS = 200_000
 #: What is left is joined in full once its pairs are at most so many times its rows, or after MOST_TURNS pivots.
-FEW_PAIRS = 50
-MOST_TURNS = 6
+FEW_PAIRS = 10
+MOST_TURNS = 4
 
 
 def turned(key: str) -> Column:
@@ -85,23 +85,73 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+#: What a token is counted by: so many high bits of it, its step and a count of one or more, in eight bytes.
+_SHORT = 42
+
+
 def _split(token: np.ndarray, step: np.ndarray) -> np.ndarray:
-    return mix(token + np.asarray(step & np.uint64(63)) * np.full(1, 0x9E3779B97F4A7C15, np.uint64))
+    return mix(token + step.astype(np.uint64) * np.full(1, 0x9E3779B97F4A7C15, np.uint64))
+
+
+class _Seen:
+    """Tokens with steps as packed numbers: 42 bits of a token, the step's low 6 and whether it came once or more."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    @staticmethod
+    def packed(token: np.ndarray, step: np.ndarray) -> np.ndarray:
+        return (token >> np.uint64(64 - _SHORT) << np.uint64(8)) | ((step & np.uint64(63)) << np.uint64(2)) | np.uint64(1)
+
+    def add(self, packed: np.ndarray) -> None:
+        self.held.append(packed)
+        self.size += len(packed)
+
+    def merged(self) -> np.ndarray:
+        """Each token and step once, with 1 or 2 for a count of one or more."""
+        every = np.concatenate([np.zeros(0, np.uint64), *self.held])
+        every.sort()
+        keys = every >> np.uint64(2)
+        first = np.ones(len(every), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(first)
+        times = np.diff(np.append(at, len(every)))
+        return (keys[at] << np.uint64(2)) | np.where((times > 1) | (every[at] & np.uint64(3) > 1), 2, 1).astype(np.uint64)
+
 
+def _shared_tokens(packed: DataFrame, parts: int) -> DataFrame:
+    """token: the split tokens that two rows or more have, from packed numbers by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, _Seen] = {}
+        for batch in batches:
+            for part, numbers in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen.setdefault(part, _Seen()).add(np.frombuffer(numbers.as_py(), np.uint64))
+        for part in list(seen):
+            every = seen.pop(part).merged()
+            token, step = every >> np.uint64(8), (every >> np.uint64(2)) & np.uint64(63)
+            # a split token holds the rows of its step and of the one below
+            below = np.zeros(len(every), bool)
+            below[1:] = (token[1:] == token[:-1]) & (step[1:] == step[:-1] + np.uint64(1))
+            found = (every & np.uint64(3) > 1) | below
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_split(token[found], step[found])))], ["token"])
+
+    return packed.repartition(parts, "part").mapInArrow(run, "token long")
 
-def candidates(base: DataFrame, size: str, columns: list[str], percent: int) -> DataFrame:
-    """A table (token, k, pos, size, columns) of the rows of base whose tokens others of a similar size share.
+
+def candidates(base: DataFrame, size: str, columns: list[str], percent: int, placed: bool = False) -> DataFrame:
+    """A table (token, k, size, columns; pos too if placed) of the rows of base whose tokens others of a similar size share.
 
     base: k, size, columns (all long) and tokens (array of long; pos is a token's place in it, null arrays have none);
     several rows may have one k. Sizes are alike if the smaller is at least percent % of the larger: tokens are split
     by steps of sizes, each row being in two, so that rows alike in size share one, and a frequent token's group
-    falls into many. Tokens without a second row go, but for false hits of a filter.
+    falls into many. Tokens without a second row go, but for false hits of a filter; tokens are counted by their
+    first 42 bits, which adds such hits but loses none.
     """
     spark = base.sparkSession
     columns = [size, *columns]
-
-    def steps(n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(np.maximum(n, 1)) / -np.log(percent / 100) + 1e-9).astype(np.uint64)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of a batch (tokens, k, size, ...), their rows and places, and steps."""
@@ -109,30 +159,30 @@ def candidates(base: DataFrame, size: str, columns: list[str], percent: int) ->
         lengths = np.diff(lists.offsets.to_numpy())
         row = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), row, place.astype(np.int64), steps(batch.column(2).to_numpy())[row]
+        step = np.floor(np.log(np.maximum(batch.column(2).to_numpy(), 1)) / -np.log(percent / 100) + 1e-9).astype(np.uint64)
+        return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), row, place.astype(np.int64), step[row]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            token, _, _, step = listed(batch)
-            bit = np.uint64(1) << (step & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(signed(bit))], ["token", "bit"])
+        seen = _Seen()
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            every = seen.merged()
+            part = (every >> np.uint64(_SHORT + 8 - 16)).astype(np.int64) * parts >> 16  # ranges of tokens: every is sorted
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(at[1:], len(every))
+            yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array([every[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], ["part", "packed"])
 
-    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a split token holds the rows of its step and of the one below; `more`: some step has two rows or more
         for batch in batches:
-            token, bits, of = (batch.column(i).to_numpy() for i in range(3))
-            token, bits = token.view(np.uint64), bits.view(np.uint64)
-            more = of > np.bitwise_count(bits)
-            for s in range(64):
-                own = (bits >> np.uint64(s)) & np.uint64(1) != 0
-                below = (bits >> np.uint64((s - 1) % 64)) & np.uint64(1) != 0
-                found = token[own & (more | below)]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(_split(found, np.uint64(s))))], ["token"])
+            token, _, _, step = listed(batch)
+            seen.add(_Seen.packed(token, step))
+            if seen.size > 1 << 22:
+                yield from emitted()
+                seen = _Seen()
+        if seen.size:
+            yield from emitted()
 
     rows = base.where("tokens is not null").select("tokens", "k", *columns)
-    shared = rows.mapInArrow(counted, "token long, bit long").groupBy("token").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("of")).where("of > 1")
-    shared = cut(shared.mapInArrow(useful, "token long"))
+    shared = cut(_shared_tokens(rows.mapInArrow(counted, "part int, packed binary"), parts))
     filtered = tables.sent(spark, tables.bloom_of(shared).words)
     drop(shared)
 
@@ -140,27 +190,29 @@ def candidates(base: DataFrame, size: str, columns: list[str], percent: int) ->
         bloom = tables.Bloom(filtered.value)
         for batch in batches:
             token, row, pos, step = listed(batch)
+            short = token >> np.uint64(64 - _SHORT)
             for up in range(2):
-                split = _split(token, step + np.uint64(up))
-                keep = np.flatnonzero(bloom.has(split)) if len(split) else np.zeros(0, np.int64)
+                keep = np.flatnonzero(bloom.has(_split(short, (step + np.uint64(up)) & np.uint64(63)))) if len(token) else np.zeros(0, np.int64)
                 of = pa.array(row[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(split[keep])), pa.array(pos[keep]), *(c.take(of) for c in batch.columns[1:])], ["token", "pos", *batch.schema.names[1:]])
+                own = [pa.array(signed(_split(token[keep], step[keep] + np.uint64(up)))), *(c.take(of) for c in batch.columns[1:])]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pos[keep])] if placed else own, ["token", *batch.schema.names[1:]] + ["pos"] * placed)
 
-    out = cut(rows.mapInArrow(sharing, "token long, pos long, k long" + "".join(f", {c} long" for c in columns)))
+    out = cut(rows.mapInArrow(sharing, "token long, k long" + "".join(f", {c} long" for c in columns) + ", pos long" * placed))
     filtered.destroy()
     return out
 
 
-def linked(members: DataFrame, near: Callable[[str, str], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame | None:
+def linked(members: DataFrame, near: Callable[[str, str], Column], prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame | None]], closer: Callable[[str, str], Column] | None = None) -> DataFrame | None:
     """Components (k, c) of the keys that have links, or None where there is none.
 
     members: a table (token, k and what near compares), which is deleted; near(x, y): the test that needs only
     members' columns, by the names of two structs; prepare: given a table of the keys (k) that may be asked for, the
-    function that keeps the pairs (a, b) that are links. A pivot is the same for all tokens that the same keys
-    share, so that a group of copies is tested against few.
+    function that keeps the pairs (a, b) that are links, and a table of k and columns that closer(x, y) tests besides
+    near where all pairs of what is left are compared. A pivot is the same for all tokens that the same keys share,
+    so that a group of copies is tested against few.
     """
     columns = [c for c in members.columns if c not in ("token", "k")]
-    rows, held, labels, verify, turn = members, members, None, None, 0
+    rows, held, labels, verify, detail, turn = members, members, None, None, None, 0
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
     every = lambda parts: reduce(DataFrame.unionByName, parts)
@@ -172,9 +224,13 @@ def linked(members: DataFrame, near: Callable[[str, str], Column], prepare: Call
             now = cut(now)
             drop(held)
             held = now
-        # groups that still span several components, each with its pivot
-        pivot = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("o"), "k", "c", *columns)).alias("y")
-        spread = cut(now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("of"), pivot).where("c0 <> c1"))
+        # groups that still span several components, each with its pivot: keys are hashes, so one of them is as good as drawn
+        key = F.col("k").bitwiseXOR(F.xxhash64(F.lit(turn)))
+        pivot = F.min(F.struct(key.alias("o"), *["c"] * (labels is not None), *columns)).alias("y")
+        bounds = [F.min("c").alias("c0"), F.max("c").alias("c1")] if labels is not None else [F.min("k").alias("c0"), F.max("k").alias("c1")]
+        spread = now.groupBy("token").agg(*bounds, F.count("*").alias("of"), pivot).where("c0 <> c1")
+        own = F.col("y.o").bitwiseXOR(F.xxhash64(F.lit(turn)))
+        spread = cut(spread.select("token", "of", F.struct(own.alias("k"), (F.col("y.c") if labels is not None else own).alias("c"), *[f"y.{c}" for c in columns]).alias("y")))
         state = now.select("token", turned("token").alias("t"), F.struct("k", "c", *columns).alias("x")).join(spread.select(turned("token").alias("t"), "of", "y"), "t")
         with_pivot = F.when((F.col("x.c") != F.col("y.c")) & near("x", "y"), F.col("y.k"))
         state = cut(state.select("token", "x", with_pivot.alias("b"), "of"))
@@ -185,8 +241,12 @@ def linked(members: DataFrame, near: Callable[[str, str], Column], prepare: Call
             break
         last = turn > 0 and (pairs_left <= FEW_PAIRS * n or turn >= MOST_TURNS)
         if last:
-            mine = state.select(turned("token").alias("t"), "x")
-            pairs = mine.join(mine.withColumnRenamed("x", "y"), "t").where((F.col("x.c") < F.col("y.c")) & near("x", "y")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
+            mine, test = state.select(turned("token").alias("t"), "x"), near("x", "y")
+            if detail is not None:
+                fine = detail.select(turned("k").alias("u"), *[c for c in detail.columns if c != "k"])
+                mine = state.select(turned("token").alias("t"), "x.*").join(fine, turned("k") == F.col("u")).drop("u")
+                mine, test = cut(mine.select("t", F.struct([c for c in mine.columns if c != "t"]).alias("x"))), test & closer("x", "y")
+            pairs = mine.join(mine.withColumnRenamed("x", "y"), "t").where((F.col("x.c") < F.col("y.c")) & test).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"))
         else:
             pairs = state.where("b is not null").select(F.col("x.k").alias("a"), "b")
         # a group of two is done with
@@ -196,8 +256,10 @@ def linked(members: DataFrame, near: Callable[[str, str], Column], prepare: Call
         if verify is None:
             keys = tested[0].select(F.explode(F.array("a", "b")).alias("k")).unionByName(rows.select("k"))
             keys = cut(keys.distinct())
-            verify = prepare(keys)
+            verify, detail = prepare(keys)
             drop(keys)
+        if last and detail is not None:
+            drop(mine)
         found = verify(tested[-1])
         if not found.isEmpty():
             links.append(found)

@@ -26,6 +26,10 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield i + k, s
 
 
+#: 64-bit words of a set's parities.
+_PARITIES = 8
+
+
 def _digest(s: np.ndarray) -> np.uint64:
     """Of a set; 64 bits name a set here, so that among n different sets two would be taken for one with odds of n * n / 2**65."""
     return mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], dtype=np.uint64))[0]
@@ -53,6 +57,17 @@ def shingle_levels(texts: DataFrame, n: int, bits: int) -> np.ndarray:
     return tables.merge(texts.mapInArrow(run, "block int, cells binary"), 1 << bits, np.uint32, add=True, finish=tables.level)
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set the parities of how many of its shingles fall into each of some cells: two sets have at least as
+    many shingles that are not common as they have parities that differ."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, _PARITIES), np.uint64)
+        for i, s in enumerate(batch.column(1)):
+            cells = np.bincount((mix(np.frombuffer(s.as_buffer(), np.uint64)) % np.uint64(64 * _PARITIES)).astype(np.int64), minlength=64 * _PARITIES) & 1
+            out[i] = np.packbits(cells.astype(np.uint8), bitorder="little").view(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed(out[:, j].copy())) for j in range(_PARITIES))], ["k", *(f"p{j}" for j in range(_PARITIES))])
+
+
 def _classes(rows: DataFrame, n: int, percent: int, bits: int) -> tuple[DataFrame, DataFrame | None]:
     """(base, classes): id, dig, n and k of every row of rows (id, dig, text), n the size of its set and k the set's
     digest; and a table (k, c) of the sets that are linked with others, or None."""
@@ -97,18 +112,18 @@ def _classes(rows: DataFrame, n: int, percent: int, bits: int) -> tuple[DataFram
         length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
         return length & ((100 + percent) * most >= percent * (nx + ny)) & ((100 + percent) * suffix >= percent * (nx + ny))
 
-    members = groups.candidates(listed, "n", ["sig"], percent)
+    members = groups.candidates(listed, "n", ["sig"], percent, placed=True)
     base = tables.cut(listed.select("id", "dig", "r", "n", "k"))
     tables.drop(listed)
 
-    def prepare(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def prepare(keys: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], DataFrame]:
         # a set is read from one row: that with the least mark of those that have it
         asked = keys.select(groups.turned("k").alias("t"))
         chosen = base.where("n > 0").groupBy("k").agg(F.min("r").alias("r")).join(asked, groups.turned("k") == F.col("t"), "left_semi")
         wanted = tables.sent(spark, tables.bloom_of(chosen.select(F.col("r").bitwiseXOR(F.col("k")))).words)
         held.append(tables.cut(marked.select("r", "text").mapInArrow(lambda batches: full(batches, wanted), "k long, s binary")))
         wanted.destroy()
-        return verify
+        return verify, held[0].mapInArrow(_parities, "k long, " + ", ".join(f"p{i} long" for i in range(_PARITIES)))
 
     held: list[DataFrame] = []
 
@@ -145,7 +160,11 @@ def _classes(rows: DataFrame, n: int, percent: int, bits: int) -> tuple[DataFram
         ends.destroy()
         return found
 
-    labels = groups.linked(members, near, prepare)
+    def closer(x: str, y: str) -> Column:
+        apart = sum(F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(_PARITIES))
+        return (100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+    labels = groups.linked(members, near, prepare, closer)
     tables.drop(*held)
     return base, labels
 
