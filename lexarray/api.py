@@ -11,13 +11,16 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexarray.functions import vector
 from lexarray.operators import bm25, fusion, search
+from lexarray.operators.index import IndexStore
+from lexarray.settings import codebase, listed
 
 
 def enveloped(call: Callable[..., dict]) -> Callable[..., dict]:
     def run(*args: Any, **options: Any) -> dict:
         try:
-            return {"status": "success", **call(*args, **options)}
+            return {"status": "success"} | call(*args, **options)
         except Exception as e:  # noqa: BLE001  the outermost layer turns errors into answers
             return {"status": "error", "message": str(e), "error_type": type(e).__name__}
 
@@ -71,38 +74,134 @@ class TaskRegistry:
 class Engine:
     """Searches over a chunk table with rowid, file_path, content, language, semantic_type and embedding."""
 
-    def __init__(self, chunks: DataFrame, embed: Callable[[str], Any] | None = None) -> None:
+    def __init__(self, chunks: DataFrame, embed: Callable[[str], Any] | None = None, stored: bm25.Stored | None = None, quantize: bool = False) -> None:
         from lexarray.operators.embed import hashed
 
-        self.chunks, self.embed, self.tasks = chunks, embed or hashed, TaskRegistry()
-        self.index = bm25.build(chunks)
+        self.chunks, self.embed, self.tasks, self.quantize = chunks, embed or hashed, TaskRegistry(), quantize
+        self.index = stored or bm25.build(chunks)
 
     @staticmethod
     def _clamped(n: int, threshold: float) -> tuple[int, float]:
         return max(1, min(100, n)), max(0.0, min(1.0, threshold))
 
+    def _bm25(self, query: str, n: int = 50, language: str | None = None) -> DataFrame:
+        return self.index.search(query, n, language) if isinstance(self.index, bm25.Stored) else bm25.search(self.index, query, n, language)
+
+    def _with_chunks(self, found: DataFrame, *order: Any) -> DataFrame:
+        return self.chunks.join(F.broadcast(found), F.col("rowid") == F.col("doc")).orderBy(*order)
+
+    def semantic(self, query: str, language: str | None = None, n: int = 10, threshold: float | None = 0.7, prefilter: Any = None) -> DataFrame:
+        """The chunks nearest to the query, with similarity; the language applies to the n chunks found."""
+        vectors, q = self.chunks, list(self.embed(query))
+        if self.quantize:
+            vectors = vectors.withColumn("embedding", vector.quantize(F.col("embedding")))
+        near = search.knn(vectors, q, n, threshold=None if threshold is None else 1 - threshold, prefilter=prefilter, postfilter=F.col("language") == language if language else None, key="rowid")
+        return near.withColumn("similarity", F.round(1 - F.col("distance"), 3))
+
     def hybrid(self, query: str, language: str | None = None, n: int = 10, threshold: float = 0.7) -> DataFrame:
         """BM25, nearest vectors and, where the query asks for it, metadata, fused; three chunks a file at most."""
         n, threshold = self._clamped(n, threshold)
-        legs = [fusion.ranked(bm25.search(self.index, query, 50, language), F.desc("score"), "doc")]
-        near = search.knn(self.chunks, list(self.embed(query)), n, threshold=1 - threshold, postfilter=F.col("language") == language if language else None, key="rowid")
+        legs = [fusion.ranked(self._bm25(query, 50, language), F.desc("score"), "doc")]
+        near = self.semantic(query, language, n, threshold)
         legs.append(fusion.ranked(near, "distance", "rowid").withColumnRenamed("rowid", "doc"))
         if search.wants_metadata(query) and "function_name" in self.chunks.columns:
-            legs.append(fusion.ranked(search.search_metadata(self.chunks, query), "rowid").withColumnRenamed("rowid", "doc"))
+            legs.append(fusion.ranked(search.search_metadata(self.chunks, query), *search.metadata_order(query)).withColumnRenamed("rowid", "doc"))
         fused = fusion.fuse([x.select("doc", "rank") for x in legs])
         order = (F.desc("score"), "first_leg", "first_rank")
         rows = self.chunks.join(F.broadcast(fused), F.col("rowid") == F.col("doc"))
         return fusion.diverse(rows, "file_path", *order).orderBy(*order).limit(n)
 
+    @staticmethod
+    def _rows(rows: DataFrame, *columns: str) -> list[dict]:
+        """A short answer's rows, without vectors."""
+        return [r.asDict() for r in (rows.select(*columns) if columns else rows.drop("embedding")).collect()]
+
     def search_code(self, query: str, language: str | None = None, max_results: int = 10, similarity_threshold: float = 0.7) -> dict:
-        call = enveloped(lambda: {"results": [r.asDict() for r in self.hybrid(query, language, max_results, similarity_threshold).select("file_path", "content", "score").collect()]})
-        return call()
+        return enveloped(lambda: {"results": self._rows(self.hybrid(query, language, max_results, similarity_threshold), "file_path", "content", "score")})()
 
     def search_by_type(self, kind: str, language: str | None = None, max_results: int = 20) -> dict:
-        return enveloped(lambda: {"results": [r.asDict() for r in search.search_by_type(self.chunks, kind, language, max(1, min(100, max_results))).select("file_path", "content").collect()]})()
+        return enveloped(lambda: {"results": self._rows(search.search_by_type(self.chunks, kind, language, max(1, min(100, max_results))), "file_path", "content")})()
+
+    def search_in_file(self, file_path: str, query: str, max_results: int = 5, prefilter: bool = False) -> dict:
+        """Of the max_results * 3 chunks nearest in all files those of one file; prefilter: the nearest of the file itself."""
+
+        def call() -> dict:
+            own = F.col("file_path") == file_path
+            found = self.semantic(query, n=max_results, threshold=None, prefilter=own) if prefilter else self.semantic(query, n=max_results * 3, threshold=0.7).where(own).orderBy("distance", "rowid").limit(max_results)
+            rows = self._rows(found, "file_path", "content", "start_line", "end_line", "similarity")
+            return {"results": rows, "total_matches": len(rows), "file_path": file_path, "query": query}
+
+        if not prefilter and not 1 <= max_results * 3 <= 100:
+            return {"status": "error", "message": f"max_results out of range: {max_results}", "error_type": "ValueError", "file_path": file_path}
+        return enveloped(call)()
+
+    def search_bm25(self, query: str, language: str | None = None, max_results: int = 10) -> dict:
+        return enveloped(lambda: {"results": self._rows(self._with_chunks(self._bm25(query, max_results, language), F.desc("score"), "doc"))})()
+
+    def search_metadata(self, query: str, max_results: int = 10) -> dict:
+        return enveloped(lambda: {"results": self._rows(search.search_metadata(self.chunks, query, max_results))})()
+
+    def search_functions(self, name: str | None = None, returns: str | None = None, parameters: tuple[str, ...] = (), language: str | None = None, max_results: int = 50) -> dict:
+        return enveloped(lambda: {"results": self._rows(search.search_functions(self.chunks, name, returns, parameters, language, max_results))})()
+
+    def search_classes(self, name: str | None = None, inherits: str | None = None, implements: str | None = None, max_results: int = 50) -> dict:
+        return enveloped(lambda: {"results": self._rows(search.search_classes(self.chunks, name, inherits, implements, max_results))})()
 
     def search_stats(self) -> dict:
-        return enveloped(lambda: {"total": self.chunks.count(), "languages": {r[0]: r[1] for r in self.chunks.groupBy("language").count().collect()}})()
+        capabilities = ["semantic", "bm25", "metadata", "hybrid", "by_type", "in_file"]
+        return enveloped(lambda: {"total": self.chunks.count(), "languages": {r[0]: r[1] for r in self.chunks.groupBy("language").count().collect()}, "types": {r[0]: r[1] for r in self.chunks.groupBy("semantic_type").count().collect()}, "capabilities": capabilities})()
 
     def health_check(self) -> dict:
-        return enveloped(lambda: {"chunks": self.chunks.count(), "tools": 9})()
+        return enveloped(lambda: {"chunks": self.chunks.count(), "tools": len(TOOLS)})()
+
+
+#: The calls that are offered as tools.
+TOOLS = ("index_codebase", "indexing_status", "clear_index", "cancel_task", "search_code", "search_by_type", "search_in_file", "search_stats", "health_check")
+
+
+class Service:
+    """The tools over an index on disk: indexing in the background, its status, and searches of the newest snapshot."""
+
+    def __init__(self, store: IndexStore) -> None:
+        self.store, self.tasks = store, TaskRegistry()
+
+    def index_codebase(self, path: str, languages: str | None = None, exclude: str | None = None, wait: bool = False) -> dict:
+        """started with the task's id, already_running, already_indexed where nothing has changed, or an error."""
+
+        def call() -> dict:
+            root = codebase(path)
+            running = self.tasks.active(root)
+            if running:
+                return {"status": "already_running", "task_id": running[0]}
+            if not self.store.needs_reindexing(root):
+                return {"status": "already_indexed", **{k: v for k, v in self.store.status().items() if k != "status"}}
+            share: dict = {"phase": "pending", "progress": 0.0}
+            key = self.tasks.start(root, lambda: self.store.index(root, listed(languages), tuple(listed(exclude) or ()), lambda phase, done: share.update(phase=phase, progress=done)))
+            self.tasks.tasks[key]["progress"] = share
+            while wait and self.tasks.active(root):
+                time.sleep(0.05)
+            return {"status": "started", "task_id": key}
+
+        return enveloped(call)()
+
+    def indexing_status(self, path: str) -> dict:
+        def call() -> dict:
+            running = self.tasks.active(codebase(path))
+            return {**{f"index_{k}" if k == "status" else k: v for k, v in self.store.status().items()}, "active_task": running and {"task_id": running[0], **self.tasks.tasks[running[0]].get("progress", {})} or None}
+
+        return enveloped(call)()
+
+    def clear_index(self) -> dict:
+        return enveloped(lambda: {"message": "cleared", "cleared": self.store.clear()})()
+
+    def cancel_task(self, key: str) -> dict:
+        return {"status": self.tasks.cancel(key), "task_id": key}
+
+    def engine(self, codebase_path: str | None = None) -> Engine:
+        """Searches over the newest snapshot; where a path is given and settings say so, brought up to date before."""
+        if codebase_path is not None and self.store.settings.sync_on_search and self.store.needs_reindexing(codebase_path):
+            self.store.index(codebase_path)
+        return Engine(self.store.chunks(), self.store.embed, self.store.bm25(), self.store.settings.quantize)
+
+    def search_code(self, query: str, language: str | None = None, max_results: int = 10, similarity_threshold: float = 0.7, codebase_path: str | None = None) -> dict:
+        return enveloped(lambda: self.engine(codebase_path).search_code(query, language, max_results, similarity_threshold))()

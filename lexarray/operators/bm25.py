@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarray.functions.text import tokens
@@ -18,7 +18,7 @@ def build(chunks: DataFrame, key: str = "rowid", language: str | None = None) ->
 
 
 def postings(index: DataFrame) -> DataFrame:
-    return index.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return index.select("doc", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def update(index: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def _occurrences(term: str) -> Column:
 def search(index: DataFrame, query: str, n: int = 50, language: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(doc, score) of the n best chunks. Frequencies are the whole corpus's even where a language restricts the result.
 
-    One pass over the index: each chunk's counts of the few query terms are read off its token list, so that
-    nothing of the corpus is shuffled but one row of statistics.
+    Over an index that is not stored: each chunk's counts of the few query terms are read off its token list, so that
+    nothing of the corpus is shuffled but one row of statistics. Stored.search reads only the query's postings.
     """
     terms = query_terms(query)
     if not terms:
@@ -71,5 +71,60 @@ def search(index: DataFrame, query: str, n: int = 50, language: str | None = Non
 
 
 def stats(index: DataFrame) -> DataFrame:
-    terms = index.select(F.explode("terms").alias("term")).agg(F.countDistinct("term").alias("n_terms"))
+    terms = index.select(F.explode_outer("terms").alias("term")).agg(F.countDistinct("term").alias("n_terms"))
     return index.agg(F.count("*").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avg_len")).crossJoin(terms)
+
+
+class Stored:
+    """An inverted index in a folder: docs (doc, language, dl, terms) and postings (term, doc, language, tf, dl).
+
+    Postings lie in ranges of terms, so that a query reads those files and row groups only that hold its terms.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def write(index: DataFrame, path: str) -> Stored:
+        """Writes an index as build() gives it; texts are tokenised once."""
+        spark = index.sparkSession
+        index.select("doc", "language", "dl", "terms").write.mode("overwrite").parquet(f"{path}/docs")
+        docs = spark.read.parquet(f"{path}/docs")
+        each = docs.select("doc", "language", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+        found = each.groupBy("term", "doc", "language", "dl").agg(F.count("*").cast("int").alias("tf"))
+        found.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+        return Stored(spark, path)
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.spark.read.schema("doc long, language string, dl int, terms array<string>").parquet(f"{self.path}/docs")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema("term string, doc long, language string, dl int, tf int").parquet(f"{self.path}/postings")
+
+    @property
+    def totals(self) -> DataFrame:
+        return self.spark.read.schema("n_docs long, avgdl double").parquet(f"{self.path}/totals")
+
+    def update(self, removed: DataFrame, added: DataFrame, path: str) -> Stored:
+        """A new index in another folder without the docs removed or replaced, with those added."""
+        return Stored.write(update(self.docs, removed, added), path)
+
+    def search(self, query: str, n: int = 50, language: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """(doc, score) of the n best chunks, as search() ranks them."""
+        terms = query_terms(query)
+        if not terms:
+            return self.docs.select("doc", F.lit(0.0).alias("score")).limit(0)
+        hits = self.postings.where(F.col("term").isin(*terms))
+        times = F.create_map(*[F.lit(x) for kv in sorted(terms.items()) for x in kv])[F.col("term")]
+        known = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(self.totals)  # a row for each term of the query
+        known = known.select("term", "avgdl", (times * F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("weight"))
+        part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        if language is not None:
+            hits = hits.where(F.col("language") == language)
+        return hits.join(F.broadcast(known), "term").groupBy("doc").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "doc").limit(n)
+
+    def stats(self) -> DataFrame:
+        return self.totals.select("n_docs", F.round("avgdl", 6).alias("avg_len")).crossJoin(self.postings.agg(F.countDistinct("term").alias("n_terms")))

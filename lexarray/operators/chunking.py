@@ -13,14 +13,24 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Characters of a chunk at most, of one that is merged with the next, and of a merged one at most.
 MOST, LEAST, MERGED = 600, 100, 800
-#: Node types that become chunks, and which type names a merged chunk.
+#: Node types that become chunks.
 CHUNKABLE = set("function_definition async_function_definition method_definition class_definition class_declaration interface_declaration constructor_definition struct_declaration enum_declaration type_alias_declaration variable_declaration const_declaration function_declaration".split())
-PRIORITY = {"class_definition": 10, "class_declaration": 10, "function_definition": 8, "async_function_definition": 8, "method_definition": 7, "constructor_definition": 7, "interface_declaration": 6, "struct_declaration": 6, "variable_declaration": 4, "const_declaration": 4}
+#: Which type names a group of nodes, and which a merged chunk; others count 1.
+PRIORITY = {"import_statement": 2, "import_declaration": 2, "class_definition": 10, "class_declaration": 10, "function_definition": 8, "async_function_definition": 8, "method_definition": 7, "constructor_definition": 7, "interface_declaration": 6, "struct_declaration": 6, "variable_declaration": 4, "const_declaration": 4}
+MERGE_PRIORITY = {"class_definition": 10, "function_definition": 8, "method_definition": 7, "variable_declaration": 4}
+#: Types of which chunks of two different ones are never merged.
 DISTINCT = {"function_definition", "class_definition", "interface_declaration", "method_definition", "constructor_definition"}
+#: Types that the nested mode extracts, and how much each says about a text.
+NESTED = {
+    "class_definition": 10, "class_declaration": 10, "interface_declaration": 10, "function_definition": 8, "async_function_definition": 8, "function_declaration": 8, "method_definition": 7, "constructor_definition": 7,
+    "struct_declaration": 6, "enum_declaration": 6, "type_alias_declaration": 6, "variable_declaration": 4, "const_declaration": 4, "let_declaration": 4, "import_statement": 2, "import_declaration": 2, "from_import_statement": 2,
+}
 FIELDS = ("function_name", "class_name", "function_signature", "return_type", "docstring")
-SCHEMA = "file_path string, content string, start_line int, end_line int, semantic_type string, " + ", ".join(f"{f} string" for f in FIELDS) + ", parameter_types array<string>, inheritance_chain array<string>, decorators array<string>, complexity_score int"
+SCHEMA = "file_path string, content string, start_line int, end_line int, semantic_type string, " + ", ".join(f"{f} string" for f in FIELDS) + ", parameter_types array<string>, inheritance_chain array<string>, decorators array<string>, interfaces array<string>, import_statements array<string>, dependencies array<string>, complexity_score int"
 
 
 @dataclass
@@ -35,18 +45,27 @@ class Node:
 _DECISIONS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.IfExp, ast.Match)
 
 
-def _python_meta(n: ast.AST) -> dict:
+def _docstring(n: ast.AST, text: str) -> str | None:
+    """The first string of a body as it stands, without triple quotes."""
+    first = n.body[0] if n.body else None
+    if not (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)):
+        return None
+    return (ast.get_source_segment(text, first.value) or "").strip().replace('"""', "").replace("'''", "")
+
+
+def _python_meta(n: ast.AST, text: str) -> dict:
     if isinstance(n, ast.ClassDef):
-        return {"class_name": n.name, "inheritance_chain": [b.id for b in n.bases if isinstance(b, ast.Name)], "docstring": ast.get_docstring(n), "decorators": [ast.unparse(d) for d in n.decorator_list]}
+        return {"class_name": n.name, "inheritance_chain": [b.id for b in n.bases if isinstance(b, ast.Name)], "docstring": _docstring(n, text), "decorators": [ast.unparse(d) for d in n.decorator_list]}
     a = n.args
-    args = [*a.posonlyargs, *a.args, *a.kwonlyargs]
+    plain = [*a.posonlyargs, *a.args]
+    args = plain[: len(plain) - len(a.defaults)] + [x for x, d in zip(a.kwonlyargs, a.kw_defaults) if d is None]  # typed defaults do not count
     returns = ast.unparse(n.returns) if n.returns else None
     return {
         "function_name": n.name,
         "function_signature": f"def {n.name}({ast.unparse(a)})" + (f" -> {returns}" if returns else ""),
         "parameter_types": [ast.unparse(x.annotation) for x in args if x.annotation],
         "return_type": returns,
-        "docstring": ast.get_docstring(n),
+        "docstring": _docstring(n, text),
         "decorators": [ast.unparse(d) for d in n.decorator_list],
         "complexity_score": 1 + sum(isinstance(x, _DECISIONS) for x in ast.walk(n)),
     }
@@ -56,9 +75,9 @@ def parse_python(text: str) -> list[Node]:
     def nodes(body: list) -> list[Node]:
         out = []
         for n in body:
-            kind = {ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "async_function_definition", ast.ClassDef: "class_definition"}.get(type(n), "statement")
+            kind = {ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "async_function_definition", ast.ClassDef: "class_definition", ast.Import: "import_statement", ast.ImportFrom: "import_from_statement"}.get(type(n), "statement")
             inner = [x for name in ("body", "orelse", "finalbody", "handlers") for x in getattr(n, name, []) if isinstance(getattr(n, name), list)]
-            out.append(Node(kind, n.lineno, n.end_lineno, _python_meta(n) if kind != "statement" else {}, nodes(inner)))
+            out.append(Node(kind, n.lineno, n.end_lineno, _python_meta(n, text) if kind.endswith("definition") else {}, nodes(inner)))
         return out
 
     return nodes(ast.parse(text).body)
@@ -66,16 +85,41 @@ def parse_python(text: str) -> list[Node]:
 
 #: Heads of functions and classes in languages with braces.
 _HEADS = (
-    ("class_declaration", re.compile(r"^\s*(?:export\s+|public\s+|private\s+|abstract\s+|final\s+|static\s+)*(?:class|struct|interface|enum|trait|impl)\s+(\w+)(?:\s+extends\s+([\w.]+))?"), "class_name"),
+    ("class_declaration", re.compile(r"^\s*(?:export\s+|public\s+|private\s+|abstract\s+|final\s+|static\s+)*(?:class|struct|interface|enum|trait|impl)\s+(\w+)(?:<[^>{]*>)?(?:\s+extends\s+([\w.]+))?"), "class_name"),
     ("class_declaration", re.compile(r"^\s*type\s+(\w+)\s+(?:struct|interface)\b()"), "class_name"),
     ("function_declaration", re.compile(r"^\s*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|pub\s+|final\s+)*(?:function\*?|func|fn)\s+(?:\([^)]*\)\s*)?(\w+)()"), "function_name"),
+    ("function_declaration", re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)()\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[\w<>\[\], |]+)?=>"), "function_name"),
     ("method_definition", re.compile(r"^\s*(?!if\b|for\b|while\b|switch\b|catch\b|else\b|return\b)(?:public\s+|private\s+|protected\s+|static\s+|async\s+|final\s+|[\w<>\[\]]+\s+)*(\w+)\s*\([^;]*\)[^;{]*\{()"), "function_name"),
 )
 _BRACES = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|`(?:\\.|[^`\\])*`|[{}]', re.S)
 _BRANCH = re.compile(r"\b(?:if|for|while|case|catch|match|loop)\b|\?[^?:\n]*:|&&|\|\|")
 
 
-def parse_braces(text: str) -> list[Node]:
+_PARAMETERS = re.compile(r"^[^(]*\b\w+\s*(?:<[^>]*>)?\s*\(([^()]*)\)")
+
+
+def _signature_types(signature: str, language: str) -> tuple[list[str], str | None]:
+    """The parameter types and the return type that a head of a function states."""
+    head = re.sub(r"^(\s*func\s*)\([^)]*\)", r"\1", signature) if language == "go" else signature
+    m = _PARAMETERS.match(head)
+    if not m:
+        return [], None
+    given = [x.strip() for x in re.split(r",(?![^<]*>)", m[1]) if x.strip()]
+    after = head[m.end() :].strip()
+    if language in ("rust", "typescript", "javascript"):
+        types = [x.split(":", 1)[1].split("=")[0].strip() for x in given if ":" in x]
+        back = re.match(r"(?:->|:)\s*([^{=]+?)\s*(?:=>|where\b|$)", after)
+        return types, back[1] if back else None
+    if language == "go":
+        types = [x.split(None, 1)[1] for x in given if len(x.split(None, 1)) == 2]
+        return types, after if after and not after.startswith("(") else None
+    words = head[: m.start(1) - 1].split()
+    types = [re.sub(r"^(?:final\s+|@\w+\s+)*", "", x).rsplit(None, 1)[0] for x in given if len(x.split()) > 1]
+    back = words[-2] if len(words) > 1 and words[-2] not in ("public", "private", "protected", "static", "final", "abstract", "synchronized") else None
+    return types, back
+
+
+def parse_braces(text: str, language: str = "javascript") -> list[Node]:
     """Nodes from a head's line to the line of its closing brace."""
     lines = text.split("\n")
     starts = [0]
@@ -97,9 +141,13 @@ def parse_braces(text: str) -> list[Node]:
                 meta: dict = {name: m[1]}
                 if name == "class_name":
                     meta["inheritance_chain"] = [m[2]] if m[2] else None
+                    implemented = re.search(r"\bimplements\s+([\w\s,.<>]+)", text[starts[i] : brace])
+                    meta["interfaces"] = [x.strip() for x in implemented[1].split(",") if x.strip()] if implemented else None
                 else:
                     body = "\n".join(lines[i : close[brace]])
-                    meta |= {"function_signature": text[starts[i] : brace].strip(), "complexity_score": 1 + len(_BRANCH.findall(body))}
+                    signature = text[starts[i] : brace].strip()
+                    types, back = _signature_types(signature, language)
+                    meta |= {"function_signature": signature, "parameter_types": types or None, "return_type": back, "complexity_score": 1 + len(_BRANCH.findall(body))}
                 found.append(Node(kind, i + 1, close[brace], meta))
                 break
     roots: list[Node] = []
@@ -128,58 +176,135 @@ def _extract(lines: list[str], node: Node) -> Iterator[dict]:
     elif _size(lines, node.first, node.last) <= MOST or not node.children:
         yield _chunk(lines, node.kind, node.first, node.last, node.meta)
     else:
-        group: list[Node] = []
-        total = 0
-        for c in [*node.children, None]:
-            n = _size(lines, c.first, c.last) if c else 0
-            if group and (c is None or total + n > MOST):
-                if len(group) == 1:
-                    own = list(_extract(lines, group[0]))
-                    yield from own
-                else:
-                    best = max(group, key=lambda x: PRIORITY.get(x.kind, 1))
-                    yield _chunk(lines, best.kind, group[0].first, group[-1].last, {})
-                group, total = [], 0
-            if c:
-                group.append(c)
-                total += n
-
-
-def _merged(a: dict, b: dict) -> dict | None:
+        for group in _grouped(lines, node.children):
+            if len(group) == 1:
+                yield from _extract(lines, group[0])
+            else:
+                yield _chunk(lines, _dominant(group), group[0].first, max(n.last for n in group), {})
+
+
+def _grouped(lines: list[str], children: list[Node]) -> Iterator[list[Node]]:
+    """Children in groups that fit a chunk; one that does not fit is a group of its own."""
+    group: list[Node] = []
+    total = 0
+    for c in children:
+        n = _size(lines, c.first, c.last)
+        if group and (n > MOST or total + n > MOST):
+            yield group
+            group, total = [], 0
+        if n > MOST:
+            yield [c]
+        else:
+            group.append(c)
+            total += n
+    if group:
+        yield group
+
+
+def _dominant(group: list[Node]) -> str:
+    """The kind that says most, the first of equals; kinds without a priority count 1."""
+    return max(group, key=lambda x: PRIORITY.get(x.kind, 1)).kind if group else "code_block"
+
+
+def _merged(lines: list[str], a: dict, b: dict) -> dict | None:
+    """Two chunks as one, cut from the file anew, if they are near, small enough and not of different distinct types."""
     x, y = a["semantic_type"], b["semantic_type"]
-    text = a["content"] + "\n" + b["content"]
+    first, last = min(a["start_line"], b["start_line"]), max(a["end_line"], b["end_line"])
+    text = "\n".join(lines[first - 1 : last])
     if (x in DISTINCT and y in DISTINCT and x != y) or abs(a["end_line"] - b["start_line"]) > 3 or len(text) > MERGED:
         return None
-    kind = x if PRIORITY.get(x, 1) >= PRIORITY.get(y, 1) else y
-    return {"content": text, "start_line": a["start_line"], "end_line": b["end_line"], "semantic_type": kind} | {f: a.get(f) or b.get(f) for f in ("function_name", "class_name", "function_signature", "docstring")}
+    kind = x if x == y or MERGE_PRIORITY.get(x, 1) >= MERGE_PRIORITY.get(y, 1) else y
+    return {"content": text, "start_line": first, "end_line": last, "semantic_type": kind} | {f: a.get(f) or b.get(f) for f in ("function_name", "class_name", "function_signature", "docstring")}
 
 
-def chunks_of(text: str, language: str) -> list[dict]:
-    """The chunks of one file; none where it cannot be parsed."""
+def _parsed(text: str, language: str) -> list[Node]:
     try:
-        nodes = parse_python(text) if language == "python" else parse_braces(text)
+        return parse_python(text) if language == "python" else parse_braces(text, language)
     except (SyntaxError, ValueError, RecursionError):
         return []
+
+
+def chunks_of(text: str, language: str) -> list[dict]:
+    """The chunks of one file; none where it cannot be parsed."""
     lines = text.split("\n")
-    found = [c for n in nodes for c in _extract(lines, n)]
+    found = [c for n in _parsed(text, language) for c in _extract(lines, n)]
     out, i = [], 0
     while i < len(found):
-        both = _merged(found[i], found[i + 1]) if len(found[i]["content"]) < LEAST and i + 1 < len(found) else None
+        both = _merged(lines, found[i], found[i + 1]) if len(found[i]["content"]) < LEAST and i + 1 < len(found) else None
         out.append(both or found[i])
         i += 2 if both else 1
     return out
 
 
-def syntactic_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of files (path, language, content) with their metadata; files of unparsed languages give none here."""
-    kinds = {"parameter_types": pa.list_(pa.string()), "inheritance_chain": pa.list_(pa.string()), "decorators": pa.list_(pa.string()), "start_line": pa.int32(), "end_line": pa.int32(), "complexity_score": pa.int32()}
+def _walk(nodes: list[Node]) -> Iterator[Node]:
+    for n in nodes:
+        yield n
+        yield from _walk(n.children)
+
+
+def nested_chunks_of(text: str, language: str) -> list[dict]:
+    """A chunk for every node of a type that says something, inner ones besides those around them; the whole text as
+    one block where there is none."""
+    lines = text.split("\n")
+    found = [_chunk(lines, n.kind, n.first, n.last, n.meta) for n in _walk(_parsed(text, language)) if n.kind in NESTED]
+    return found or [{"content": text, "start_line": 1, "end_line": len(lines), "semantic_type": "code_block"}]
+
+
+def semantic_type_of(text: str, language: str) -> str:
+    """The type in a text that says most, the first of equals; code_block where there is none."""
+    kinds = [n.kind for n in _walk(_parsed(text, language)) if n.kind in NESTED]
+    return max(kinds, key=NESTED.__getitem__) if kinds else "code_block"
+
+
+_IMPORTS = {
+    "python": lambda x: x.startswith(("import ", "from ")),
+    "java": lambda x: x.startswith("import "),
+    "rust": lambda x: x.startswith("use "),
+    "go": lambda x: x.startswith("import ") or (x.startswith('"') and "/" in x),
+    "javascript": lambda x: x.startswith("import ") or (x.startswith("const ") and "require(" in x),
+}
+_IMPORTS["typescript"] = _IMPORTS["javascript"]
+
+
+def imports_of(text: str, language: str) -> list[str]:
+    """The lines of a file that import; every chunk of it carries them."""
+    return [x for x in map(str.strip, text.split("\n")) if language in _IMPORTS and _IMPORTS[language](x)]
+
+
+def dependencies_of(imports: list[str], language: str) -> list[str]:
+    """The modules that import lines name, each once."""
+    found = []
+    for x in imports:
+        if language == "python":
+            m = re.match(r"(?:import\s+|from\s+)([^\s.]+)", x)
+            found.append(m[1] if m else None)
+        elif language in ("javascript", "typescript"):
+            m = re.search(r"""from\s+['"]([^'"]+)['"]""", x) or re.search(r"""require\(\s*['"]([^'"]+)['"]""", x)
+            found.append(m[1] if m else None)
+    return list(dict.fromkeys(x for x in found if x))
+
+
+PARSED = ("python", "javascript", "typescript", "java", "go", "rust")
+
+
+def syntactic_chunks(files: DataFrame, nested: bool = False) -> DataFrame:
+    """Chunks of files (path, language, content) with their metadata; files of unparsed languages give none here.
+
+    nested: every node of a telling type is a chunk, inner ones too, and a file without any is one block.
+    """
+    lists = ("parameter_types", "inheritance_chain", "decorators", "interfaces", "import_statements", "dependencies")
+    kinds = dict.fromkeys(lists, pa.list_(pa.string())) | dict.fromkeys(("start_line", "end_line", "complexity_score"), pa.int32())
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
+    chunker = nested_chunks_of if nested else chunks_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"file_path": p, **{k: v or None for k, v in c.items()}} for p, lang, text in zip(*(c.to_pylist() for c in batch.columns)) for c in chunks_of(text or "", lang)]
+            rows = []
+            for path, language, text in zip(*(c.to_pylist() for c in batch.columns)):
+                imports = imports_of(text or "", language)
+                shared = {"file_path": path, "import_statements": imports, "dependencies": dependencies_of(imports, language)}
+                rows += [{k: v or None for k, v in (shared | c).items()} for c in chunker(text or "", language)]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema)
 
-    parsed = files.where("language in ('python', 'javascript', 'typescript', 'java', 'go', 'rust')")
-    return parsed.select("path", "language", "content").mapInArrow(run, SCHEMA)
+    return files.where(F.col("language").isin(*PARSED)).select("path", "language", "content").mapInArrow(run, SCHEMA)

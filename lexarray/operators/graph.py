@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once into the shared checkpoint folder, so that a round's plan does not grow with the rounds."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
+    return df.checkpoint()
+
+
 #: How each language's imports are found in a text.
 IMPORTS = {
     "python": [r"(?m)^\s*import\s+([A-Za-z_][\w.]*)", r"(?m)^\s*from\s+([A-Za-z_][\w.]*)\s+import"],
@@ -79,40 +92,37 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, start: str, radius: int) -
     return found
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, most: int = 32) -> list[str]:
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> list[str]:
     """The ids of a shortest directed path, the smallest of several; empty if there is none.
 
-    Breadth first: each round joins only the frontier, and keeps one path a node.
+    Breadth first until the goal or nothing new is found: each round joins only the frontier, and keeps one path a node.
     """
     if start == goal:
         return [start] if not nodes.where(F.col("id") == start).isEmpty() else []
     hops = edges.select("source", "target").distinct()
     frontier = nodes.where(F.col("id") == start).select("id", F.array("id").alias("path"))
     seen = frontier.select("id")
-    for _ in range(most):
+    while True:
         step = frontier.join(hops, F.col("id") == F.col("source")).select(F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"))
-        frontier = step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
-        frontier = frontier.checkpoint() if nodes.sparkSession.sparkContext.getCheckpointDir() else frontier
+        frontier = cut(step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti"))
         hit = frontier.where(F.col("id") == goal).select("path").first()
         if hit:
             return list(hit[0])
         if frontier.isEmpty():
             return []
         seen = seen.unionByName(frontier.select("id"))
-    return []
 
 
-def ancestors(pairs: DataFrame, most: int = 20) -> DataFrame:
+def ancestors(pairs: DataFrame) -> DataFrame:
     """(root, ancestor, depth, path) along (child, parent) pairs; a name already on the path ends it."""
     level = pairs.select(F.col("child").alias("root"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array("child", "parent").alias("path"))
     out = level
     up = pairs.select(F.col("child").alias("c"), F.col("parent").alias("p"))
-    for _ in range(most):
-        level = level.join(up, F.col("ancestor") == F.col("c")).where(~F.array_contains("path", F.col("p"))).select("root", F.col("p").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("p")).alias("path"))
+    while True:
+        level = cut(level.join(up, F.col("ancestor") == F.col("c")).where(~F.array_contains("path", F.col("p"))).select("root", F.col("p").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("p")).alias("path")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def resolve(imported: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def relevance(query: Column, content: Column, function_name: Column, class_name:
     parts = F.regexp_extract_all(F.lower(_text(function_name)), F.lit("([a-z]+)"), F.lit(1))
     boost = F.aggregate(q, F.lit(0.0), lambda s, w: s + F.when(inside(function_name)(w), 0.4).when(F.exists(parts, lambda p: root_match(w, p)), 0.2).otherwise(0.0))
     once = lambda name, x: F.when(F.exists(q, inside(name)), x).otherwise(0.0)
-    return F.least(F.lit(1.0), overlap(query, content) + boost + once(class_name, 0.3) + once(docstring, 0.2))
+    documented = F.when(F.exists(q, lambda w: F.lower(_text(docstring)).contains(w)), 0.2).otherwise(0.0)
+    return F.least(F.lit(1.0), overlap(query, content) + boost + once(class_name, 0.3) + documented)
 
 
 def balanced(content: Column) -> Column:
@@ -43,32 +46,40 @@ def balanced(content: Column) -> Column:
 
 
 def completeness(semantic_type: Column, content: Column) -> Column:
-    """1 for a function or class with its head and balanced brackets, 0.5 without, and 1 or 0.7 for other chunks."""
-    head = content.rlike(r"(?m)^\s*(async\s+)?(def|function|class|func|fn)\b")
-    named = semantic_type.contains("function") | semantic_type.contains("class")
-    return F.when(named, F.when(head & balanced(content), 1.0).otherwise(0.5)).otherwise(F.when(balanced(content), 1.0).otherwise(0.7))
+    """1 for a function or class with a head and a sign of a body, 0.5 without; of other chunks 1 with as many opening
+    as closing brackets, else 0.7."""
+    has = lambda *words: reduce(lambda a, b: a | b, [content.contains(w) for w in words])
+    body = has("{", ":")
+    function = F.when(has("def ", "function ", "fn ") & body, 1.0).otherwise(0.5)
+    named = F.when(has("class ", "struct ") & body, 1.0).otherwise(0.5)
+    other = F.when(balanced(content), 1.0).otherwise(0.7)
+    return F.when(semantic_type.isin("function_definition", "async_function_definition"), function).when(semantic_type.isin("class_definition", "class_declaration"), named).otherwise(other)
+
+
+def spaced(text: Column) -> Column:
+    """Distinct words between white space, in small letters."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""))
 
 
 def cross_file(query: Column, import_statements: Column, dependencies: Column, file_path: Column) -> Column:
     """0.2 for each import that shares a word with the query, 0.15 for each dependency that holds one, 0.3 if the file's stem does; at most 1."""
-    q = word_set(query)
+    q = spaced(query)
     stem = F.lower(F.regexp_replace(F.element_at(F.split(file_path, "/"), -1), r"\.[^.]*$", ""))
-    shares = F.size(F.filter(F.coalesce(import_statements, F.array().cast("array<string>")), lambda x: F.size(F.array_intersect(q, word_set(x))) > 0))
+    shares = F.size(F.filter(F.coalesce(import_statements, F.array().cast("array<string>")), lambda x: F.size(F.array_intersect(q, spaced(x))) > 0))
     holds = F.size(F.filter(F.coalesce(dependencies, F.array().cast("array<string>")), lambda d: F.exists(q, lambda w: F.lower(d).contains(w))))
     return F.least(F.lit(1.0), 0.2 * shares + 0.15 * holds + F.when(F.exists(q, lambda w: stem.contains(w)), 0.3).otherwise(0.0))
 
 
 def context_score(query: Column, content: Column, import_statements: Column, file_path: Column, distance: Column) -> Column:
     """The rerank score: nearness in the graph, imports, calls and clusters, at most 1; distance is null without a path."""
-    q = F.filter(F.split(F.lower(query), r"\s+"), lambda x: x != "")
+    q = spaced(query)
     n = F.greatest(F.size(q), F.lit(1))
     near = F.when(distance.isNotNull(), 0.3 / (distance + 1)).otherwise(0.0)
-    own = F.array_distinct(q)
-    by_import = F.transform(F.coalesce(import_statements, F.array().cast("array<string>")), lambda x: F.size(F.array_intersect(own, F.split(F.lower(x), r"\s+"))) / n)
+    by_import = F.transform(F.coalesce(import_statements, F.array().cast("array<string>")), lambda x: F.size(F.array_intersect(q, spaced(x))) / n)
     imports = F.least(F.lit(1.0), F.aggregate(by_import, F.lit(0.0), lambda s, x: s + x))
     calls = F.size(F.filter(q, lambda w: F.lower(content).contains(w))) / n
-    parent = F.element_at(F.split(file_path, "/"), -2)
-    cluster = F.when(F.size(F.split(file_path, "/")) > 1, F.when(parent.isin(CLUSTERS), 0.5).otherwise(0.0)).otherwise(0.0)
+    parent = F.lower(F.get(F.split(file_path, "/"), F.size(F.split(file_path, "/")) - 2))
+    cluster = F.when(parent.isin(CLUSTERS), 0.5).otherwise(0.0)
     return F.least(F.lit(1.0), near + 0.2 * imports + 0.2 * calls + 0.3 * cluster)
 
 
@@ -106,10 +117,16 @@ def ndcg(scores: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
 
-def percentile(values: Column, p: float) -> Column:
-    """The lower of the values about a percentile."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(p / 100 * (F.size(ordered) - 1)) + 1).cast("int"))
+def percentiles(rows: DataFrame, key: str, value: str, *ps: float) -> DataFrame:
+    """(key, p<number> for each): the lower of the values about each percentile, exactly.
+
+    Values are numbered in order within their key, and only the places asked for are kept: no group is collected.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    sizes = known.groupBy(key).agg(F.count("*").alias("n"))
+    placed = known.select(key, value, F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("place")).join(sizes, key)
+    at = lambda p: F.floor(F.lit(p) / 100 * (F.col("n") - 1)) + 1
+    return placed.where(reduce(lambda a, b: a | b, [F.col("place") == at(p) for p in ps])).groupBy(key).agg(*[F.max(F.when(F.col("place") == at(p), F.col(value))).alias(f"p{p:g}") for p in ps])
 
 
 def compare(enhanced: DataFrame, base: DataFrame) -> DataFrame:

@@ -25,14 +25,17 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine",
     return rows if postfilter is None else rows.where(postfilter)
 
 
-def knn_of(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", most_queries: int = 100_000) -> DataFrame:
-    """The k nearest rows of each query (query_id, q), itself left out; queries are broadcast up to most_queries and
-    otherwise joined in blocks by the planner. Each task keeps k rows a query before anything is shuffled."""
+def knn_of(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", block: int = 4096) -> DataFrame:
+    """The k nearest rows of each query (query_id, q), itself left out.
+
+    Queries go in blocks of about `block`, one row each, and every block meets every partition of the vectors once: what
+    a task holds is a block, however many queries there are. Each task keeps k rows a query before anything is shuffled.
+    """
     from pyspark.sql import Window
 
-    small = queries.limit(most_queries + 1).count() <= most_queries
-    pairs = vectors.crossJoin(F.broadcast(queries) if small else queries).where(F.col(key) != F.col("query_id"))
-    pairs = pairs.select("query_id", key, distance(F.col("embedding"), F.col("q"), metric).alias("distance"))
+    blocks = queries.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block))))).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    pairs = vectors.crossJoin(blocks).select(key, "embedding", F.explode("asked").alias("a")).where(F.col(key) != F.col("a.query_id"))
+    pairs = pairs.select(F.col("a.query_id").alias("query_id"), key, distance(F.col("embedding"), F.col("a.q"), metric).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -144,6 +147,14 @@ def search_metadata(chunks: DataFrame, query: str, n: int = 50) -> DataFrame:
     return search_imports(chunks, module=value, n=n) if field == "import_module" else general_metadata(chunks, query, n)
 
 
+def metadata_order(query: str) -> tuple:
+    """The order of search_metadata's rows."""
+    field = route(query)[0]
+    if field in ("return_type", "function_name"):
+        return F.asc_nulls_first("complexity_score"), "rowid"
+    return ("field_rank", "rowid") if field == "general" else ("rowid",)
+
+
 #: Words that tell a query's type, tried in order, and words that call for the metadata leg.
 QUERY_TYPES = (
     ("type_search", ("return type", "parameter type", "function type")),

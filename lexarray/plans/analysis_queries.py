@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarray.operators import bm25, fusion, graph, incremental, lines, quality, search
-from lexarray.plans.search_queries import TERMS
+from lexarray.operators import fusion, graph, incremental, lines, quality, search
+from lexarray.plans.search_queries import TERMS, stored_index
 from lexarray.plans.sql_parts import DISTANCE, TOKENS
 from lexarray.plans.sql_parts import bm25 as bm25_sql
 from lexarray.sources.corpus import chunks_from_conversations, chunks_from_documents, table
@@ -23,7 +23,7 @@ def _legs(spark: SparkSession, sf: str) -> list[DataFrame]:
     """Three rankings of documents: by BM25, by the nearest vectors, by keyword."""
     docs, vectors = _docs(spark, sf), table(spark, sf, "embeddings")
     q = list(vectors.where("vec_id = 0").first()["embedding"])
-    a = fusion.ranked(bm25.search(bm25.build(docs), QUERY, 50), F.desc("score"), "doc")
+    a = fusion.ranked(stored_index(spark, sf).search(QUERY, 50), F.desc("score"), "doc")
     b = fusion.ranked(search.knn(vectors, q, 50), "distance", "vec_id").withColumnRenamed("vec_id", "doc")
     c = fusion.ranked(search.keyword_search(docs, "thand"), "rowid").withColumnRenamed("rowid", "doc")
     return [x.select("doc", "rank") for x in (a, b, c)]
@@ -58,10 +58,6 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("dependent"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1)))).alias("module"))
 
 
-def import_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return _links(spark, sf)
-
-
 def import_lines(spark: SparkSession, sf: str) -> DataFrame:
     text = F.regexp_replace("text", r"(?m)^(\w+) (\w+)", "import $2\nfrom $1 import x")
     rows = table(spark, sf, "documents").select("doc_id", graph.import_lines(text, "python").alias("l"))
@@ -124,54 +120,24 @@ def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(" ".join(path), len(path) - 1)], "path string, distance long")
 
 
-def knowledge_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes named without their file, so that equal names are one; edges once each."""
-    parts = table(spark, sf, "part").select(F.concat(F.lit("file:"), "p_brand").alias("source"), F.concat(F.lit("function:"), "p_type").alias("target")).distinct()
-    return parts.groupBy("target").agg(F.count("*").alias("n_files"))
-
-
 def inheritance_tree(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     pairs = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")).unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit("world").alias("parent"))).unionByName(region.limit(1).select(F.lit("world").alias("child"), F.lit("r0").alias("parent")))
     return graph.ancestors(pairs).select("root", "ancestor", F.col("depth").cast("long").alias("depth"), F.array_join("path", ">").alias("path"))
 
 
-def related_code(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages that link to the same names as page 1, the three first of each name."""
-    from pyspark.sql import Window
-
-    links = _links(spark, sf)
-    own = links.where("dependent = '1'").select("module")
-    found = links.join(F.broadcast(own), "module").where("dependent <> '1'")
-    rank = F.row_number().over(Window.partitionBy("module").orderBy(F.col("dependent").cast("long")))
-    return found.withColumn("r", rank).where("r <= 3").select("module", "dependent")
-
-
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunks_from_conversations(table(spark, sf, "conversations"))
     return graph.context_window(rows, "conv/1", 1001).select("rowid", F.col("place").cast("long").alias("place"))
 
 
-def contextual_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
-    path = F.concat_ws("/", F.when(F.col("rowid") % 3 == 0, "api").otherwise("other"), F.lit("x.txt"))
-    score = quality.context_score(F.lit(WORDS), F.col("content"), F.split(F.substring("content", 1, 60), "\\."), path, F.when(F.col("rowid") % 4 > 0, F.col("rowid") % 4))
-    return docs.select(F.col("rowid").alias("doc_id"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-
-
-def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    score = quality.overlap(F.lit(WORDS), F.col("text"))
-    return docs.select("doc_id", F.round(score, 6).alias("score"))
-
-
 def completeness_score(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", quality.completeness(F.when(F.col("page_id") % 2 == 0, "function_definition").otherwise("code_block"), F.col("html")).alias("score"))
 
 
 def crossfile_score(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    score = quality.cross_file(F.lit(WORDS), F.slice(F.split("text", "\n"), 1, 3), F.slice(F.split("text", " "), 1, 4), F.concat("source", F.lit("/table.py")))
+    score = quality.cross_file(F.lit(WORDS), F.split("text", "\n"), F.split("text", " "), F.concat("source", F.lit("/table.py")))
     return docs.select("doc_id", F.round(score, 6).alias("score"))
 
 
@@ -207,7 +173,9 @@ def method_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), quality.percentile(F.col("value"), 95).alias("p95"), quality.percentile(F.col("value"), 99).alias("p99"))
+    events = table(spark, sf, "events")
+    means = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return means.join(quality.percentiles(events, "event_type", "value", 95, 99), "event_type").select("event_type", "mean", "p95", "p99")
 
 
 def _states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -243,8 +211,8 @@ def schema_evolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    rrf_fusion, hybrid_search, diversity_cap, line_chunks, import_extract, import_lines, dependency_resolve, reverse_deps, impact_set, call_extract, module_graph, neighbours, neighbourhood_r2, shortest_path, knowledge_graph,
-    inheritance_tree, related_code, context_window, contextual_rerank, relevance_score, completeness_score, crossfile_score, precision_recall_at_k, mean_average_precision, ndcg, method_compare, latency_percentiles,
+    rrf_fusion, hybrid_search, diversity_cap, line_chunks, import_lines, dependency_resolve, reverse_deps, impact_set, call_extract, module_graph, neighbours, neighbourhood_r2, shortest_path,
+    inheritance_tree, context_window, completeness_score, crossfile_score, precision_recall_at_k, mean_average_precision, ndcg, method_compare, latency_percentiles,
     detect_changes, apply_changes, legacy_migration, schema_evolution,
 )
 
@@ -265,7 +233,6 @@ _JUDGED = "j as (select source query_id, row_number() over (partition by source
 
 
 def oracle_sql() -> dict[str, str]:
-    words = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]+'))"
     state = "old as (select 'u' || user_id path, max(event_id) t0, arg_max(event_type, event_id) h0 from events where event_id % 2 = 0 group by user_id), cur as (select 'u' || user_id path, max(event_id) t1, arg_max(event_type, event_id) h1 from events where event_id % 2 = 1 and user_id % 5 > 0 group by user_id)"
     low = lambda p: f"list_sort(list(value))[cast(floor({p} / 100.0 * (count(*) - 1)) as int) + 1]"
     return {
@@ -273,7 +240,6 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_search": f"with {_LEGS} union all select doc_id, rank, 2 from kw), {_FUSED}, d as (select doc_id, source, score, first, row_number() over (partition by source order by score desc, first) k from fused join documents using (doc_id)) select doc_id, source, round(score, 8) score from d where k <= 3 order by d.score desc, first limit 20",
         "diversity_cap": "select 'conv/' || conv_id file_path, conv_id * 1000 + turn rowid from conversations qualify row_number() over (partition by conv_id order by len(text) desc, conv_id * 1000 + turn) <= 2",
         "line_chunks": "with l as (select source || '/' || doc_id || '.txt' file_path, string_split(text, chr(10)) l from documents), w as (select file_path, l, unnest(range(0, len(l), 12)) a from l), c as (select file_path, array_to_string(l[a + 1:a + 15], chr(10)) content, a + 1 start_line, least(a + 15, len(l)) end_line from w) select file_path, cast(start_line as bigint) start_line, cast(end_line as bigint) end_line, md5(content) digest from c where regexp_matches(content, '[^\\s]')",
-        "import_extract": f"with {_LINKS} select dependent, module from links",
         "import_lines": "with t as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(\\w+) (\\w+)', 'import \\2' || chr(10) || 'from \\1 import x', 'g'), chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: starts_with(s, 'import ') or starts_with(s, 'from ')) l from documents) select doc_id, cast(len(l) as bigint) n, md5(array_to_string(l, '|')) digest from t where len(l) > 0",
         "dependency_resolve": f"with {_DEPS} select * from deps",
         "reverse_deps": f"with {_DEPS} select dep_path, count(distinct dependent) n from deps group by dep_path",
@@ -283,14 +249,10 @@ def oracle_sql() -> dict[str, str]:
         "neighbours": "select 'n' || n_nationkey id, 'nation' type, n_name \"name\" from nation where n_regionkey = 1",
         "neighbourhood_r2": f"with recursive {_EDGES}, b as (select s, t from edges union select t, s from edges), r(id, d) as (select 'n3', 0 union select b.t, d + 1 from r join b on b.s = r.id where d < 2) select id, cast(min(d) as bigint) distance from r group by id",
         "shortest_path": "with g as (select min('c' || c_custkey) c from customer) select 'r' || n_regionkey || ' n' || n_nationkey || ' ' || c path, cast(2 as bigint) distance from g join customer on 'c' || c_custkey = c join nation on c_nationkey = n_nationkey",
-        "knowledge_graph": "select 'function:' || p_type target, count(distinct p_brand) n_files from part group by p_type",
         "inheritance_tree": "with recursive p as (select 'n' || n_nationkey c, 'r' || n_regionkey p from nation union all select 'r' || r_regionkey, 'world' from region union all select 'world', 'r0'), a(root, ancestor, depth, path) as (select c, p, 1, [c, p] from p union all select root, p.p, depth + 1, list_append(path, p.p) from a join p on p.c = a.ancestor where not list_contains(path, p.p)) select root, ancestor, cast(depth as bigint) depth, array_to_string(path, '>') path from a",
-        "related_code": f"with {_LINKS} select module, dependent from links where module in (select module from links where dependent = '1') and dependent <> '1' qualify row_number() over (partition by module order by cast(dependent as bigint)) <= 3",
         "context_window": "with c as (select conv_id * 1000 + turn rowid, row_number() over (order by conv_id * 1000 + turn) place from conversations where conv_id = 1) select c.rowid, c.place from c, (select place p from c where rowid = 1001) where abs(c.place - p) <= 2 and c.place <> p",
-        "contextual_rerank": f"with t as (select doc_id, text, {_QW} q, list_sum(list_transform(string_split(substr(text, 1, 60), '.'), lambda x: len(list_intersect({_QW}, regexp_split_to_array(lower(x), '\\s+'))) / 5.0)) i from documents), s as (select doc_id, least(1.0, case when doc_id % 4 > 0 then 0.3 / (doc_id % 4 + 1) else 0 end + 0.2 * least(1.0, i) + 0.2 * len(list_filter(q, lambda w: contains(lower(text), w))) / 5.0 + case when doc_id % 3 = 0 then 0.15 else 0 end) x from t) select doc_id, round(x, 6) score from s order by round(x, 6) desc, doc_id limit 50",
-        "relevance_score": f"select doc_id, round(len(list_intersect({_QW}, {words('text')})) / 5.0, 6) score from documents",
-        "completeness_score": "with b as (select page_id, page_id % 2 = 0 f, len(regexp_extract_all(html, '[{(\\[]')) = len(regexp_extract_all(html, '[})\\]]')) ok, regexp_matches(html, '(?m)^\\s*(async\\s+)?(def|function|class|func|fn)\\b') head from pages) select page_id, cast(case when f then case when head and ok then 1 else 0.5 end else case when ok then 1 else 0.7 end end as double) score from b",
-        "crossfile_score": f"select doc_id, round(cast(least(1.0, 0.2 * len(list_filter(string_split(text, chr(10))[1:3], lambda x: len(list_intersect({_QW}, {words('x')})) > 0)) + 0.15 * len(list_filter(string_split(text, ' ')[1:4], lambda d: len(list_filter({_QW}, lambda w: contains(lower(d), w))) > 0)) + 0.3) as double), 6) score from documents",
+        "completeness_score": "with b as (select page_id, page_id % 2 = 0 f, len(regexp_extract_all(html, '[{(\\[]')) = len(regexp_extract_all(html, '[})\\]]')) ok, (contains(html, 'def ') or contains(html, 'function ') or contains(html, 'fn ')) and (contains(html, '{') or contains(html, ':')) head from pages) select page_id, cast(case when f then case when head then 1 else 0.5 end else case when ok then 1 else 0.7 end end as double) score from b",
+        "crossfile_score": f"select doc_id, round(cast(least(1.0, 0.2 * len(list_filter(string_split(text, chr(10)), lambda x: len(list_intersect({_QW}, regexp_split_to_array(lower(x), '\\s+'))) > 0)) + 0.15 * len(list_filter(string_split(text, ' '), lambda d: len(list_filter({_QW}, lambda w: contains(lower(d), w))) > 0)) + 0.3) as double), 6) score from documents",
         "precision_recall_at_k": f"with {_JUDGED} select query_id, round(count(*) filter (hit) / count(*), 6) \"precision\", round(coalesce(count(*) filter (hit) / nullif(any_value(relevant), 0), 0), 6) recall from j join rel using (query_id) where rank <= 10 group by query_id",
         "mean_average_precision": f"with {_JUDGED}, p as (select query_id, hit, sum(cast(hit as int)) over (partition by query_id order by rank) / rank x from j), ap as (select query_id, sum(x) / any_value(relevant) ap from p join rel using (query_id) where hit group by query_id) select round(avg(ap), 6) map, count(*) n_queries from ap",
         "ndcg": f"with {_JUDGED}, t as (select query_id, rank, cast(hit as double) s, row_number() over (partition by query_id order by hit desc, rank) i from j where rank <= 10), g as (select query_id, sum(case when rank = 1 then s else s / log2(rank) end) d, sum(case when i = 1 then s else s / log2(i) end) b from t group by query_id) select query_id, round(case when b > 0 then d / b else 0 end, 6) ndcg from g",

@@ -40,3 +40,24 @@ def chunks_from_documents(documents: DataFrame) -> DataFrame:
 def chunks_from_conversations(conversations: DataFrame) -> DataFrame:
     """A conversation is a file, its turns are the chunks."""
     return conversations.select(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("file_path"), F.col("turn").cast("int").alias("start_line"), F.col("role").alias("semantic_type"), F.col("text").alias("content"), (F.col("conv_id") * 1000 + F.col("turn")).alias("rowid"))
+
+
+def chunks_from_parts(parts: DataFrame) -> DataFrame:
+    """Parts as chunks of Python files, a file for each type, noun and brand: functions and classes that import, inherit and call."""
+    a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    is_function = F.col("p_size") <= 30
+    name = F.concat(a, F.lit("_"), b)
+    return parts.select(
+        F.col("p_partkey").alias("rowid"),
+        F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), b, F.lit("_"), F.replace("p_brand", F.lit("Brand#"), F.lit("")), F.lit(".py")).alias("file_path"),
+        F.col("p_partkey").cast("int").alias("start_line"),
+        (F.col("p_partkey") + 1).cast("int").alias("end_line"),
+        F.lit("python").alias("language"),
+        F.when(is_function, "function_definition").otherwise("class_definition").alias("semantic_type"),
+        F.when(is_function, name).alias("function_name"),
+        F.when(~is_function, F.when(F.col("p_size") % 2 == 0, b).otherwise(a)).alias("class_name"),
+        F.when(F.col("p_size") > 40, F.array(a)).alias("inheritance_chain"),
+        F.array(F.concat(F.lit("import "), b, F.lit(".x")), F.concat(F.lit("from "), b, F.lit("_1 import y"))).alias("import_statements"),
+        F.array(a, F.lower("p_type")).alias("dependencies"),
+        F.concat(F.lit("def "), name, F.lit("(x):\n    return red_"), b, F.lit("(x)")).alias("content"),
+    )

@@ -6,8 +6,10 @@ import re
 import subprocess
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Languages by file extension.
 LANGUAGES = {
@@ -17,11 +19,17 @@ LANGUAGES = {
 #: What is left out of every scan.
 EXCLUDED = "*.venv* */.venv/* */venv/* */env/* */__pycache__/* */.pytest_cache/* */.mypy_cache/* */.git/* */node_modules/* */.tox/* */.nox/* */build/* */dist/* */.coverage/* */htmlcov/* */.idea/* */.vscode/* */logs/*".split()
 MAX_FILE_MB = 10
+#: Extensions that other steps know: detection has no .htm, the extractor few, the updater some more.
+DETECTED = LANGUAGES | {"html": "html"}
+EXTRACTED = {k: LANGUAGES[k] for k in ("python", "javascript", "typescript", "go", "rust", "java")}
+UPDATED = EXTRACTED | {k: LANGUAGES[k] for k in ("c", "cpp")}
+#: What the updater leaves out, by absolute path only.
+UPDATE_EXCLUDED = "**/.git/** **/node_modules/** **/__pycache__/** **/venv/** **/env/** **/.env **/build/** **/dist/** **/*.log **/*.tmp **/coverage/**".split()
 
 
-def language_of(path: Column) -> Column:
+def language_of(path: Column, known: dict[str, str] = LANGUAGES) -> Column:
     """By the extension in small letters; `text` for others."""
-    pairs = [F.lit(x) for lang, ends in LANGUAGES.items() for e in ends.split() for x in (e, lang)]
+    pairs = [F.lit(x) for lang, ends in known.items() for e in ends.split() for x in (e, lang)]
     return F.coalesce(F.create_map(*pairs)[F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))], F.lit("text"))
 
 
@@ -30,23 +38,50 @@ def glob_pattern(glob: str) -> str:
     return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob) + "$"
 
 
-def excluded(path: Column, globs: list[str]) -> Column:
-    """Whether a glob fits the path, with or without its leading slash."""
-    tests = [p.rlike(glob_pattern(g)) for g in globs for p in (path, F.regexp_replace(path, "^/", ""))]
+def excluded(path: Column, globs: list[str], absolute: bool = False) -> Column:
+    """Whether a glob fits the path, with or without its leading slash; absolute: the path as it is only."""
+    tests = [p.rlike(glob_pattern(g)) for g in globs for p in ([path] if absolute else [path, F.regexp_replace(path, "^/", "")])]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _read(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+
+
+@F.pandas_udf(StringType())
+def _decoded(contents):  # noqa: ANN001, ANN202
+    return contents.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+
+
+def _listed(files: DataFrame, language: Column) -> DataFrame:
+    """path, length, modified, language, content (text without undecodable bytes) and its SHA-256."""
+    out = files.select("path", "length", "modified", language.alias("language"), _decoded("content").alias("content"))
+    return out.withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256))
+
+
 def discover(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: tuple[str, ...] = (), max_mb: float = MAX_FILE_MB) -> DataFrame:
-    """path, length, modified, language and content (text, undecodable bytes replaced) of the source files under root.
+    """The source files under root, as _listed() gives them.
 
     Extensions are matched as written; unknown language names add nothing; files of max_mb or more are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
     wanted = [e for name in (languages or LANGUAGES) for e in LANGUAGES.get(name, "").split()]
-    files = files.select(path.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
-    files = files.where((F.col("length") < max_mb * 1048576) & F.regexp_extract("path", r"\.([^./]+)$", 1).isin(wanted) & ~excluded(F.col("path"), [*EXCLUDED, *exclude]))
-    return files.select("path", "length", "modified", language_of(F.col("path")).alias("language"), F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("file_hash"))
+    own = (F.col("length") < max_mb * 1048576) & F.regexp_extract("path", r"\.([^./]+)$", 1).isin(wanted) & ~excluded(F.col("path"), [*EXCLUDED, *exclude])
+    return _listed(_read(spark, root).where(own), language_of(F.col("path"), DETECTED))
+
+
+def discover_updates(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The files under root that the updater tracks: a language by the extension in any case, its own exclusions."""
+    language = language_of(F.col("path"), UPDATED)
+    return _listed(_read(spark, root).where((language != "text") & ~excluded(F.col("path"), [*UPDATE_EXCLUDED, *exclude], absolute=True)), language)
+
+
+def in_work_tree(root: str) -> bool:
+    try:
+        out = subprocess.run(["git", "-C", root, "rev-parse", "--is-inside-work-tree"], capture_output=True, text=True)
+    except OSError:
+        return False
+    return out.returncode == 0 and out.stdout.strip() == "true"
 
 
 def git_changes(spark: SparkSession, root: str) -> DataFrame:

@@ -2,7 +2,7 @@ import subprocess
 
 from lexarray.api import Engine, TaskRegistry
 from lexarray.operators import bm25, graph, incremental, quality, search
-from lexarray.operators.chunking import chunks_of
+from lexarray.operators.chunking import chunks_of, nested_chunks_of, semantic_type_of, syntactic_chunks
 from lexarray.operators.embed import embedded
 from lexarray.plans.code_queries import JAVASCRIPT, PYTHON
 from lexarray.sources.files import discover, git_changes
@@ -57,8 +57,8 @@ def test_graph_paths(spark):
 
 
 def test_percentile_and_relevance(spark):
-    got = spark.range(1, 11).agg(quality.percentile(F.col("id"), 50).alias("p")).first()
-    assert got.p == 5
+    rows = spark.range(1, 11).select(F.lit("a").alias("k"), "id").union(spark.createDataFrame([("b", 7), ("b", None)], "k string, id long"))
+    assert {tuple(r) for r in quality.percentiles(rows, "k", "id", 50, 95).collect()} == {("a", 5, 9), ("b", 7, 7)}
     score = spark.range(1).select(quality.relevance(F.lit("authenticate user"), F.lit("def authenticate_user"), F.lit("authenticate_user"), F.lit(None).cast("string"), F.lit("checks a user")).alias("s")).first()
     assert score.s == 1.0
 
@@ -89,3 +89,66 @@ def test_tasks_keep_their_end():
             break
         time.sleep(0.01)
     assert tasks.tasks[key]["result"] == 5 and tasks.cancel(key) == "not_found" and tasks.cancel("none") == "not_found"
+
+
+def test_short_neighbours_are_merged_without_repeating_lines():
+    text = "def f():\n    return 1\n\ndef g():\n    return 2\n\n"
+    found = chunks_of(text, "python")
+    assert [(c["start_line"], c["end_line"], c["semantic_type"], c["function_name"]) for c in found] == [(1, 6, "function_definition", "f")]
+    assert found[0]["content"] == text[:-1]
+    two = chunks_of("class A:\n    x = 1\n\ndef g():\n    return 2\n", "python")
+    assert [c["semantic_type"] for c in two] == ["class_definition", "function_definition"]
+
+
+def test_nested_chunks_types_and_file_imports(spark):
+    assert [c["semantic_type"] for c in nested_chunks_of(PYTHON, "python")] == ["import_statement", "class_definition", "function_definition", "async_function_definition"]
+    assert [c["semantic_type"] for c in nested_chunks_of("x = 1\ny = 2", "python")] == ["code_block"]
+    assert semantic_type_of(PYTHON, "python") == "class_definition" and semantic_type_of("x = 1", "python") == "code_block"
+    found = syntactic_chunks(spark.createDataFrame([("a.py", "python", PYTHON)], "path string, language string, content string")).collect()
+    assert all(r.import_statements == ["import os", "from typing import Any"] and r.dependencies == ["os", "typing"] for r in found)
+    inner = [c for c in nested_chunks_of(PYTHON, "python") if c.get("function_name") == "find"]
+    assert inner[0]["parameter_types"] == ["str"]  # a typed default does not count
+
+
+def test_signatures_of_languages_with_braces():
+    java = chunks_of("public class A extends B implements C, D {\n  private int size;\n}\n", "java")[0]
+    assert (java["class_name"], java["inheritance_chain"], java["interfaces"]) == ("A", ["B"], ["C", "D"])
+    one = lambda text, language: nested_chunks_of(text, language)[0]
+    m = one("  public static int add(int a, List<String> b) {\n    return a;\n  }\n", "java")
+    assert (m["function_name"], m["parameter_types"], m["return_type"]) == ("add", ["int", "List<String>"], "int")
+    g = one("func (s *Server) Get(name string, n int) error {\n\treturn nil\n}\n", "go")
+    assert (g["function_name"], g["parameter_types"], g["return_type"]) == ("Get", ["string", "int"], "error")
+    r = one("pub fn load(path: &str, n: usize) -> Option<u8> {\n    None\n}\n", "rust")
+    assert (r["function_name"], r["parameter_types"], r["return_type"]) == ("load", ["&str", "usize"], "Option<u8>")
+    t = one("export function f(a: string, b = 2): number {\n  return 1;\n}\n", "typescript")
+    assert (t["function_name"], t["parameter_types"], t["return_type"]) == ("f", ["string"], "number")
+    arrow = one("const load = async (x) => {\n  return x;\n}\n", "javascript")
+    assert (arrow["semantic_type"], arrow["function_name"]) == ("function_declaration", "load")
+
+
+def test_context_score_counts_words_once(spark):
+    score = lambda q, imports, path: spark.range(1).select(quality.context_score(F.lit(q), F.lit(""), F.array(*map(F.lit, imports)), F.lit(path), F.lit(None).cast("int")).alias("s")).first().s
+    assert abs(score("user user login", ["import user"], "src/Auth/x.py") - (0.2 * 0.5 + 0.15)) < 1e-9
+    done = lambda kind, text: spark.range(1).select(quality.completeness(F.lit(kind), F.lit(text)).alias("s")).first().s
+    assert [done("function_definition", "def f(a:\n  x"), done("class_declaration", "public struct X {"), done("code_block", "(("), done("class_definition", "x")] == [1.0, 1.0, 0.7, 0.5]
+
+
+def test_long_paths_and_chains_are_found_whole(spark):
+    n = 40
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(n + 1)], "id string")
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", "x") for i in range(n)], "source string, target string, relationship string")
+    assert len(graph.shortest_path(nodes, edges, "n00", f"n{n}")) == n + 1
+    pairs = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(25)] + [("n25", "n0")], "child string, parent string")
+    assert graph.ancestors(pairs).where("root = 'n0'").agg(F.max("depth")).first()[0] == 25
+
+
+def test_stored_index_ranks_as_the_unstored(spark, tmp_path):
+    rows = [(i, "python", f"alpha beta{' gamma' * (i % 3)} word{i}") for i in range(20)] + [(20, "go", None), (21, "go", "")]
+    index = bm25.build(spark.createDataFrame(rows, "rowid long, language string, content string"))
+    stored = bm25.Stored.write(index, str(tmp_path / "a"))
+    for query, language in (("gamma word3 gamma", None), ("alpha", "python"), ("none there", None), ("", None)):
+        plain = [(r.doc, round(r.score, 9)) for r in bm25.search(index, query, 5, language).collect()]
+        assert [(r.doc, round(r.score, 9)) for r in stored.search(query, 5, language).collect()] == plain
+    assert stored.stats().first() == bm25.stats(index).first()
+    after = stored.update(index.where("doc < 5").select("doc"), index.where("doc = 21"), str(tmp_path / "b"))
+    assert after.docs.count() == 17
