@@ -23,9 +23,8 @@ from lexarray.llm.tables import cut, drop
 
 #: Links a partition holds.
 ROWS = 200_000
-#: What is left is joined in full once its pairs are at most so many times its rows, or after MOST_TURNS pivots.
-FEW_PAIRS = 10
-MOST_TURNS = 4
+#: Rounds with a pivot before what is left is joined in full, whatever the size.
+TURNS = 4
 
 
 def turned(key: str) -> Column:
@@ -236,10 +235,9 @@ def linked(members: DataFrame, near: Callable[[str, str], Column], prepare: Call
         state = cut(state.select("token", "x", with_pivot.alias("b"), "of"))
         drop(held, spread)
         held = state
-        n, pairs_left = state.agg(F.count("*"), F.coalesce(F.sum(F.col("of") - 1) / 2, F.lit(0.0))).first()
-        if not n:
+        if state.isEmpty():
             break
-        last = turn > 0 and (pairs_left <= FEW_PAIRS * n or turn >= MOST_TURNS)
+        last = turn == TURNS
         if last:
             mine, test = state.select(turned("token").alias("t"), "x"), near("x", "y")
             if detail is not None:
