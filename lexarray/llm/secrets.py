@@ -29,26 +29,36 @@ ENCODINGS = (
 )
 
 KINDS = ("assign", "access", "hex", "random")
-_NONE = "array<struct<start:int,end:int,size:int,s:string>>"
 
 
-def _matches(text: Column, pattern: str, sized_by: int = 0) -> Column:
-    """start, end, size of group sized_by and text of all non-overlapping matches, leftmost first, in code points."""
-    found = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+def _found(text: Column, pattern: str, sized_by: int = 0) -> Column:
+    """All non-overlapping matches, leftmost first: length of the gap before, the match and the size of a group."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.zip_with(F.split(text, pattern), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("s")))
+    found = F.filter(found, lambda x: x["s"].isNotNull())  # pieces are one more than matches
     if sized_by:
-        found = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(sized_by)), lambda x, g: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), F.length(g).alias("size")))
+        found = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(sized_by)), lambda x, g: F.struct(x["gap"].alias("gap"), x["s"].alias("s"), F.length(g).alias("size")))
     else:
-        found = F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), F.length(x["m"]).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
+        found = F.transform(found, lambda x: F.struct(x["gap"].alias("gap"), x["s"].alias("s"), F.length(x["s"]).alias("size")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<gap:int,s:string,size:int>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["m"])
-        # the last piece has no match: pieces are one more than matches
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["size"].alias("size"), x["m"].alias("s")))).alias("out")))
 
-    all_found = F.aggregate(found, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), all_found).otherwise(F.array().cast(_NONE))
+#: A text of 2**31 characters has fewer matches than 2 to this.
+_DOUBLINGS = 28
+
+
+def _ends(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with n_ends for each array n of matches: where they end. Running sums by doubling, in steps that cost nothing
+    for arrays that are shorter: a text with m matches takes time m * log(m)."""
+    df = df.select("*", *[F.transform(n, lambda x: x["gap"] + F.length(x["s"])).alias(f"{n}_ends") for n in names])
+    for k in range(_DOUBLINGS):
+        further = lambda c: F.transform(c, lambda x, i: x + F.coalesce(F.get(c, i - (1 << k)), F.lit(0)))  # noqa: B023, E731
+        df = df.withColumns({f"{n}_ends": F.when(F.size(f"{n}_ends") > 1 << k, further(F.col(f"{n}_ends"))).otherwise(F.col(f"{n}_ends")) for n in names})
+    return df
+
+
+def _placed(name: str) -> Column:
+    return F.zip_with(name, f"{name}_ends", lambda x, e: F.struct((e - F.length(x["s"])).alias("start"), e.alias("end"), x["size"].alias("size"), x["s"].alias("s")))
 
 
 def _square(x: Column) -> Column:
@@ -63,11 +73,7 @@ def _tested(c: Column) -> Column:
     for label, pattern, symbols in reversed(ENCODINGS):
         fits = s.rlike(pattern)
         name, alphabet, known = F.when(fits, label).otherwise(name), F.when(fits, F.lit(symbols)).otherwise(alphabet), F.when(fits, len(symbols)).otherwise(known)
-    return F.struct(c["start"].alias("start"), c["end"].alias("end"), name.alias("encoding"), F.transform(F.filter(F.split(body, ""), lambda x: x != ""), lambda x: F.instr(alphabet, x)).alias("v"), known.cast("double").alias("k"), F.filter(F.split(body, ""), lambda x: x != "").alias("chars"))
-
-
-def _classes(chars: Column) -> Column:
-    return F.transform(chars, lambda x: F.when(x.rlike("[0-9]"), 0).when(x.rlike("[a-z]"), 1).when(x.rlike("[A-Z]"), 2).otherwise(3))
+    return F.struct(c["start"].alias("start"), c["end"].alias("end"), name.alias("encoding"), F.transform(F.filter(F.split(body, ""), lambda x: x != ""), lambda x: F.instr(alphabet, x)).alias("v"), known.cast("double").alias("k"))
 
 
 def _changes(values: Column) -> Column:
@@ -87,36 +93,51 @@ def _measured(c: Column) -> Column:
     products = F.aggregate(v, F.struct(F.lit(0.0).alias("p"), F.lit(None).cast("double").alias("last")), lambda a, x: F.struct((a["p"] + F.coalesce((a["last"] - mean) * (x - mean), F.lit(0.0))).alias("p"), x.cast("double").alias("last")), lambda a: a["p"])
     variance = _total(F.transform(v, lambda x: _square(x - mean)))
     upper = F.transform(v, lambda x: (x > c["k"] / 2).cast("int"))
-    return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), n.alias("n"), c["k"].alias("k"), squares.alias("squares"), products.alias("products"), variance.alias("variance"), _total(upper).alias("n1"), _changes(upper).alias("runs"), _changes(_classes(c["chars"])).alias("switches"))
+    return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), n.alias("n"), c["k"].alias("k"), squares.alias("squares"), products.alias("products"), variance.alias("variance"), _total(upper).alias("n1"), _changes(upper).alias("runs"))
 
 
-def _judged(c: Column, per_char: float, most_z: float) -> Column:
-    """p: a bound on the odds that words or identifiers change class so often; weight: the length; random: no test of randomness rejects."""
-    n, k, rate = c["n"], c["k"], per_char * c["n"]
-    t = c["switches"]
-    p = F.when(t > rate, F.exp(-(t * F.log(t / rate) - t + rate))).otherwise(1.0)
-    chi = (k / n * c["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1))
-    serial = F.when(c["variance"] > 0, (c["products"] / c["variance"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+#: What is not random, as far as the tests are to tell it from random: symbols that repeat as those of words do (the sum
+#: of their squared shares), neighbours with a correlation, and a share of changes about the middle off the expected one.
+WORDLIKE, CORRELATED, UNEVEN = 0.06, 0.5, 0.3
+
+
+def _below(z: Column) -> Column:
+    """The normal distribution's share below z, by Page's approximation."""
+    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+
+
+def _judged(c: Column) -> Column:
+    """p: of three tests the largest p-value, each of the hypothesis that the string is no more random than words are.
+
+    Chi-squared: for text of n characters over k symbols it is about k - 1 + (n - 1) (k * WORDLIKE - 1), for random
+    strings k - 1; runs: the share of changes about the middle is off by UNEVEN; serial: the correlation is CORRELATED.
+    A string counts as random only if all three reject, so the largest p-value holds for their combination.
+    """
+    n, k = c["n"], c["k"]
+    chi, off = k / n * c["squares"] - n, F.greatest(k * WORDLIKE, F.lit(2.0)) - 1
+    uniform = _below((chi - (k - 1) - (n - 1) * off) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * off))
     n1, n0 = c["n1"], n - c["n1"]
-    mu = 1 + 2 * n1 * n0 / n
-    runs = F.when((n1 > 0) & (n0 > 0) & (mu > 2), (c["runs"] + 1 - mu) / F.sqrt((mu - 1) * (mu - 2) / (n - 1))).otherwise(F.lit(99.0))
-    random = (chi < most_z) & (F.abs(serial) < most_z) & (F.abs(runs) < most_z)
-    return F.struct(p.alias("p"), n.alias("n"), c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), (c["encoding"].isNotNull() & (c["encoding"] != "decimal") & random).alias("random"))
+    expected = 2 * n1 * n0 / (n * (n - 1))
+    runs = F.when((n1 > 0) & (n0 > 0), _below((F.abs(c["runs"] / (n - 1) - expected) - UNEVEN) * F.sqrt(n - 1) / 0.4)).otherwise(1.0)
+    serial = F.when(c["variance"] > 0, _below((F.abs(c["products"] / c["variance"] + 1 / n) - CORRELATED) * F.sqrt(n) / float((1 - CORRELATED**2) ** 0.5))).otherwise(1.0)
+    fits = c["encoding"].isNotNull() & (c["encoding"] != "decimal")
+    return F.struct(F.when(fits, F.greatest(uniform, runs, serial)).otherwise(1.0).alias("p"), n.alias("n"), c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"))
 
 
-def scanned(docs: DataFrame, text_col: str = "text", per_char: float = 0.05, rate: float = 0.01, most_z: float = 4.0) -> DataFrame:
+def scanned(docs: DataFrame, text_col: str = "text", rate: float = 0.02) -> DataFrame:
     """docs, as struct d, with base and random: arrays of spans of every whole text.
 
     base spans (start, end, kind 0 to 2) come from the fixed patterns. random spans are strings of 20 or more
-    characters of an encoding's alphabet that do not overlap base spans, for which no test rejects randomness
-    (chi-squared uniformity over the inferred alphabet, runs about its middle, serial correlation; most_z
-    standard deviations each) and which Benjamini and Hochberg's procedure at `rate` over the text's candidates,
-    each weighted by its share of their length, tells from words, which change between digits, small and
-    capital letters at most per_char times a character on average.
+    characters of an encoding's alphabet (decimals aside) that do not overlap base spans and that the battery tells from
+    words: chi-squared uniformity over the inferred alphabet, runs about its middle and serial correlation give one
+    p-value (see _judged), and Benjamini and Hochberg's procedure at `rate` over the text's candidates, each weighted by
+    its share of their length, picks those that are random.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    kinds = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "cand": (CANDIDATE, 0)}
     out = docs.select(F.struct(*docs.columns).alias("d"), text.alias("t"))
-    out = out.select("d", *[_matches(F.col("t"), p, g).alias(n) for n, p, g in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("cand", CANDIDATE, 0))])
+    out = _ends(out.select("d", *[_found(F.col("t"), p, g).alias(n) for n, (p, g) in kinds.items()]), list(kinds))
+    out = out.select("d", *[_placed(n).alias(n) for n in kinds])
     span = lambda kind: lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
     base = F.concat(F.transform(F.filter("assign", lambda x: x["size"] >= 8), span(0)), F.transform("access", span(1)), F.transform("hex", span(2)))
     out = out.select("d", F.sort_array(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))).alias("base"), F.col("cand"))
@@ -124,13 +145,13 @@ def scanned(docs: DataFrame, text_col: str = "text", per_char: float = 0.05, rat
     out = out.withColumn("cand", clear)
     out = out.withColumn("cand", F.transform("cand", _tested))
     out = out.withColumn("cand", F.transform(F.filter("cand", lambda c: F.size(c["v"]) > 3), _measured))
-    out = out.withColumn("cand", F.transform("cand", lambda c: _judged(c, per_char, most_z)))
+    out = out.withColumn("cand", F.transform("cand", _judged))
     out = out.withColumn("m", F.size("cand")).withColumn("length", _total(F.transform("cand", lambda c: c["n"])))
-    ranked = F.sort_array(F.transform("cand", lambda c: F.struct((c["p"] * F.col("length") / (c["n"] * F.col("m"))).alias("q"), c["start"].alias("start"), c["end"].alias("end"), c["random"].alias("random"))))
+    ranked = F.sort_array(F.transform("cand", lambda c: F.struct((c["p"] * F.col("length") / (c["n"] * F.col("m"))).alias("q"), c["start"].alias("start"), c["end"].alias("end"))))
     out = out.withColumn("cand", ranked)
     last = F.aggregate(F.transform("cand", lambda c, i: F.when(c["q"] <= rate * (i + 1) / F.col("m"), i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
     out = out.withColumn("last", last)
-    random = F.transform(F.filter(F.slice("cand", F.lit(1), F.col("last")), lambda c: c["random"]), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    random = F.transform(F.slice("cand", F.lit(1), F.col("last")), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return out.select("d", "base", random.alias("random"))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -61,6 +62,66 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert not any(found[40 + i] for i in range(len(words)))
 
 
+CLASSES = (("0-9", "0123456789"), ("0-9a-f", "0123456789abcdef"), ("0-9A-F", "0123456789ABCDEF"), ("A-Z2-7", string.ascii_uppercase + "234567"), ("a-z0-9", string.ascii_lowercase + string.digits), ("A-Za-z0-9+/", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"), ("A-Za-z0-9_-", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"))
+
+
+def p_value(s):
+    """The largest p-value of the three tests, from their definitions."""
+    body = s.rstrip("=")
+    for i, (members, alphabet) in enumerate(CLASSES):
+        if re.fullmatch(f"[{members}]+" + "=*" * (i in (3, 5, 6)), s):
+            break
+    else:
+        return 1.0
+    if i == 0:
+        return 1.0
+    n, k = len(body), len(alphabet)
+    phi = lambda z: 1 / (1 + math.exp(min(700, -(1.5976 * z + 0.07056 * z**3))))
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    off = max(k * 0.06, 2) - 1
+    uniform = phi((chi - (k - 1 + (n - 1) * off)) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * off))
+    v = [alphabet.index(c) + 1 for c in body]
+    high = [x > k / 2 for x in v]
+    changes = sum(a != b for a, b in zip(high, high[1:]))
+    if len(set(high)) < 2 or len(set(v)) < 2:
+        return 1.0
+    runs = phi((abs(changes / (n - 1) - 2 * sum(high) * (n - sum(high)) / (n * (n - 1))) - 0.3) * math.sqrt(n - 1) / 0.4)
+    mean = sum(v) / n
+    r = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / sum((a - mean) ** 2 for a in v)
+    serial = phi((abs(r + 1 / n) - 0.5) * math.sqrt(n) / math.sqrt(0.75))
+    return max(uniform, runs, serial)
+
+
+def random_spans(text, rate=0.02):
+    base = [tuple(map(int, x.split(":")[1:])) for x in brute(text)[2].split(",") if x]
+    found = [m for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text or "") if not any(a < m.end() and m.start() < b for a, b in base)]
+    found = [(p_value(m[0]), len(m[0].rstrip("=")), m.start(), m.end()) for m in found if len(m[0].rstrip("=")) > 3]
+    total = sum(n for _, n, _, _ in found)
+    ranked = sorted((p * total / (n * len(found)), a, b) for p, n, a, b in found)
+    last = max([i + 1 for i, (q, _, _) in enumerate(ranked) if q <= rate * (i + 1) / len(ranked)], default=0)
+    return sorted((a, b) for _, a, b in ranked[:last])
+
+
+def test_random_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    strings = []
+    for _ in range(400):
+        alphabet = rng.choice(CLASSES)[1]
+        s = "".join(rng.choice(alphabet) for _ in range(rng.randrange(18, 70)))
+        strings.append(rng.choice([s, s, s.lower(), "".join(sorted(s)), s + "==", "the_quick_brown_fox_" + s[:9], "password=" + s[:20]]))
+    texts = [" ".join(rng.choice([rng.choice(strings), "word", "internationalisation_and_more"]) for _ in range(rng.randrange(8))) for _ in range(300)]
+    texts += [None, "", texts[0], texts[0], " ".join(strings)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")) for r in secret_spans(df).collect()}
+    assert got == {i: random_spans(t) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{i}" for i in range(20000))
+    check(spark.createDataFrame([(0, text)], "doc_id long, text string"), [text])
+
+
 def test_no_python_in_the_plan(spark):
     plan = secret_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
