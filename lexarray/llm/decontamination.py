@@ -127,6 +127,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # a document's own row (pos -1) goes with its candidates: no second join brings them together
     near = rows.mapInArrow(candidates, _NEAR)
+    every.destroy()
     at = F.col("pos") - F.col("at")
     fits = (F.col("pos") >= 0) & (at >= F.col("c0")) & (at + F.col("size") <= F.col("n_words"))
     same = F.array_join(F.slice(F.split("ctx", " "), (at - F.col("c0") + 1).cast("int"), F.col("size").cast("int")), " ") == F.col("words")
@@ -146,4 +147,5 @@ def uncontaminated(docs: DataFrame, items: DataFrame, **options: object) -> Data
     """The rows of docs that contamination() does not find contaminated, with all their columns."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     bad = contamination(docs, items, **options).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("dig").alias("_bad_dig")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_dig")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_dig"))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_dig") == F.col("_bad_dig")), "left_anti").select("d.*")

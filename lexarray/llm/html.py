@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -50,6 +51,7 @@ class Page:
         self.texts: list[tuple[int, str]] = []
         self.links: list[int] = []
         stack: list[tuple[str, int]] = [("body", 0)]
+        opened: Counter[str] = Counter()
         raw = link = 0
         buffer: list[str] = []
         linked = 0
@@ -68,6 +70,7 @@ class Page:
             for name, _ in stack[k:]:
                 raw -= name in RAW
                 link -= name == "a"
+                opened[name] -= 1
             del stack[k:]
 
         at, end = 0, len(html)
@@ -88,15 +91,13 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        if any(x[0] in BLOCKS for x in stack[k:]):
-                            flush()
-                        pop_to(k)
-                        break
-                else:
-                    if name in BLOCKS:
+                if opened[name] > 0:  # what is searched is closed, so that all searches together are linear
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+                    if any(x[0] in BLOCKS for x in stack[k:]):
                         flush()
+                    pop_to(k)
+                elif name in BLOCKS:
+                    flush()
                 continue
             if stack[-1][0] == "head" and name not in _HEADED:
                 pop_to(len(stack) - 1)
@@ -125,7 +126,7 @@ class Page:
                             low = k
                     if low is not None:
                         pop_to(low)
-            if name in VOID or m[3].endswith("/"):
+            if name in VOID:
                 continue
             if name in _LITERAL:
                 close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
@@ -150,6 +151,7 @@ class Page:
                 self.mark.append(mark)
                 node = len(self.tag) - 1
             stack.append((name, node))
+            opened[name] += 1
             raw += name in RAW
             link += name == "a"
         flush()
@@ -180,16 +182,12 @@ class Page:
             p = parent[i]
             for x in (chars, linked, words, stops, blocks, nodes, paras, items):
                 x[p] += x[i]
-        seen, order = 0, [0] * n
-        position: dict[int, int] = {}
+        seen, order = 0, [1 << 60] * n
         for node, text in self.texts:
-            position.setdefault(node, seen)
+            order[node] = min(order[node], seen)
             seen += len(text)
-        for i in range(n - 1, -1, -1):
-            order[i] = min([position.get(i, 1 << 60)] + ([order[i]] if order[i] else []))
-            if i and order[i] < 1 << 60:
-                p = parent[i]
-                order[p] = min(order[p], order[i]) if order[p] else order[i]
+        for i in range(n - 1, 0, -1):
+            order[parent[i]] = min(order[parent[i]], order[i])
         total = max(1, chars[0])
         out = np.empty((n, 23 + len(_TAGS)), np.float32)
         for i in range(n):

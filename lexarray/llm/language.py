@@ -55,11 +55,12 @@ def _grams(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield (h >> np.uint32(16)).astype(np.int64), np.stack([start, stop])
 
 
-def learn(rows: DataFrame, langs: list[str], smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codewords, weights by order, cell and bit, weights of the bits) from rows (lang, text), all of them.
+#: Languages that are counted in one pass: what a task holds and sends has so many times 3 * 65,536 cells at most.
+_BLOCK = 64
 
-    What is sent has len(langs) * 3 * 65,536 cells, whatever the rows.
-    """
+
+def _counts(rows: DataFrame, langs: list[str]) -> np.ndarray:
+    """How often each cell's n-grams occur in the texts of each of some languages."""
     size = len(langs) * len(_ORDERS) * _CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,20 +76,45 @@ def learn(rows: DataFrame, langs: list[str], smooth: float = 0.5) -> tuple[np.nd
                             counts[of[i + k], o, found] += n.astype(np.uint32)
         yield from tables.emit(counts.reshape(-1))
 
-    counts = tables.merge(rows.mapInArrow(run, "block int, cells binary"), size, np.uint32, add=True).reshape(len(langs), len(_ORDERS), _CELLS).astype(np.float64)
+    own = rows.where(F.col("lang").isin(langs))
+    return tables.merge(own.mapInArrow(run, "block int, cells binary"), size, np.uint32, add=True).reshape(len(langs), len(_ORDERS) * _CELLS)
+
+
+def learn(rows: DataFrame, langs: list[str], smooth: float = 0.5, block: int = _BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codewords, weights by order, cell and bit, weights of the bits) from rows (lang, text), all of them.
+
+    Languages are counted in blocks, one pass over their rows each, and kept as the cells that they have; what is sent
+    to the workers has 3 * 65,536 cells for each bit, and bits grow with the logarithm of the languages.
+    """
+    held = []
+    for k in range(0, len(langs), block):
+        for row in _counts(rows, langs[k : k + block]):
+            cells = np.flatnonzero(row)
+            held.append((cells, row[cells].astype(np.float64)))
+
+    def share(i: int) -> np.ndarray:
+        """Each language counts alike, however much of it there is."""
+        out = np.full(len(_ORDERS) * _CELLS, smooth)
+        out[held[i][0]] += held[i][1]
+        out = out.reshape(len(_ORDERS), _CELLS)
+        return out / out.sum(1, keepdims=True)
+
     code = codewords(len(langs))
-    share = (counts + smooth) / (counts + smooth).sum(2, keepdims=True)  # each language counts alike, however much of it there is
-    weights = np.zeros((len(_ORDERS), _CELLS, code.shape[1]), np.float32)
-    for b in range(code.shape[1]):
-        yes, no = share[code[:, b] > 0], share[code[:, b] < 0]
-        weights[:, :, b] = np.log(yes.mean(0) / (no.mean(0) if len(no) else np.full_like(yes[0], 1 / _CELLS)))
+    yes = np.zeros((len(_ORDERS), _CELLS, code.shape[1]))
+    no = np.zeros_like(yes)
+    for i in range(len(langs)):
+        own = share(i)
+        yes[:, :, code[i] > 0] += own[:, :, None]
+        no[:, :, code[i] < 0] += own[:, :, None]
+    n_yes, n_no = (code > 0).sum(0), (code < 0).sum(0)
+    weights = np.log(yes / n_yes / np.where(n_no > 0, no / np.maximum(n_no, 1), 1 / _CELLS)).astype(np.float32)
     # how far a bit's margin of each language lies on its right side, on average over the n-grams learned
-    right = np.einsum("loc,ocb->lb", share, weights) * code
+    right = np.stack([np.einsum("oc,ocb->b", share(i), weights) * code[i] for i in range(len(langs))])
     trust = np.maximum(right.min(0), 0) + 1e-3
     return code, weights, (trust / trust.sum()).astype(np.float64)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sharpness: float = 3.0, tie: float = 0.1, most_languages: int = 200) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_fold: int = 2, sharpness: float = 3.0, tie: float = 0.1, block: int = _BLOCK) -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1) and ambiguous for every row of docs.
 
     Learns from the text and non-null language of all rows whose crc32(doc_id as text) mod folds is not
@@ -97,17 +123,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Cases: null texts and texts without a letter are `und` with score 0, and so are all where nothing was
     learned; rows without doc_id are not learned from and not held out; repeated rows are learned from once each
-    and predicted alike; an empty table gives no rows. More than most_languages labels are an error. Texts of
-    any length are read whole.
+    and predicted alike; an empty table gives no rows. Texts of any length are read whole, and any number
+    of languages is learned.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     learned = rows.where((fold != held_fold) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    langs = [r[0] for r in learned.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()]
-    if len(langs) > most_languages:
-        raise ValueError(f"over {most_languages} languages")
-    model = tables.sent(spark, learn(learned, langs) if langs else None)
+    langs = [r[0] for r in learned.select("lang").distinct().orderBy("lang").collect()]  # a row a language
+    model = tables.sent(spark, learn(learned, langs, block=block) if langs else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if langs:

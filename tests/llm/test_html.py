@@ -71,3 +71,26 @@ def test_head_without_its_end():
     for page in (f"<html><head><title>x</title><body>{body}", f"<head><meta charset=utf-8><script>a<b</script>{body}"):
         assert [t for _, t in Page(page).texts] == texts
     assert [t for _, t in Page(f"<head><title>x</title>Bare words.{body}").texts] == ["Bare words.", *texts]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    Page("<b>" * 40000 + "</i>" * 40000)
+    assert time.perf_counter() - began < 5
+
+
+def test_place_of_the_first_text_and_open_tags():
+    page = Page("<div><p>first text here</p></div><div><p>second text here</p></div>")
+    rows = page.features()
+    twin = Page("<section><p>x</p></section><div><p>first text here</p></div><div><p>second text here</p></div>").features()
+    places = [c for c in range(rows.shape[1]) if rows[0, c] == rows[1, c] == rows[2, c] == 0.0 and 0.4 < rows[3, c] < 0.6 and rows[3, c] == rows[4, c]]
+    assert places and any(twin[3, c] > 0 for c in places)
+    # as browsers do, a slash closes no element that is not void
+    assert [t for _, t in Page("<div/><p>one</p></div><p>two</p>").texts] == ["one", "two"]
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Some words of text that stand here.</p>")] * 3, "page_id long, url string, html string")
+    assert len({tuple(r) for r in extracted(df).collect()}) == 1 and extracted(df).count() == 3
