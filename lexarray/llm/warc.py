@@ -25,6 +25,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed value: the alphabet of base32.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
+#: Bytes of payload in an archive file: a file is read as one row, so it must stay far below a row's 2 GB and a task's memory.
+FILE_BYTES = 1 << 27
 
 
 def with_digest(rows: DataFrame, payload: str, name: str) -> DataFrame:
@@ -56,8 +58,11 @@ def with_originals(pages: DataFrame, key: str, digest: str, size: str, least: in
     return once.unionByName(again).drop("mark")
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, records_per_file: int = 5000) -> None:
-    """A record for each row of pages, in files of at most records_per_file records under path.
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, records_per_file: int = 5000, file_bytes: int = FILE_BYTES) -> None:
+    """A record for each row of pages, in files under path of at most records_per_file records and file_bytes of payload.
+
+    Payloads of more than an equal share of a file's bytes go into files of their own folder, so many in
+    each as the largest of them allows; only a payload above file_bytes exceeds them, alone in its file.
 
     Of rows with equal payloads of at least `least` bytes the one with the smallest id is a response and
     the others are revisits of it; all others are responses. Null html is an empty payload; null urls give
@@ -86,7 +91,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit(_CRLF),
     )
     record = F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")))
-    rows.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    share = file_bytes // records_per_file
+    largest = pages.select(F.max(F.octet_length(payload))).first()[0] or 0
+    parts = [("small", F.col("size") <= share, records_per_file)]
+    if largest > share:
+        parts.append(("large", F.col("size") > share, max(1, min(records_per_file, file_bytes // largest))))
+    for name, some, records in parts:
+        rows.where(some).select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/{name}")
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
@@ -128,7 +139,7 @@ def candidates(spark: SparkSession, path: str, payloads: bool = False) -> DataFr
     """Every place in the archives under path that looks like a record, with its successor's offset.
 
     Files are read one a row: an archive file should be well under the memory of a task, as those of
-    write_warc are.
+    write_warc are by file_bytes.
     """
     schema = _RECORD + (", payload binary" if payloads else "")
     empty = spark.createDataFrame([], schema)

@@ -52,6 +52,21 @@ def test_round_trip_of_payloads(spark, tmp_path):
         assert bytes(origin.payload).decode() == html and (i < 7) == (r.record_type == "response")
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    sizes = [5, 100, 101, 900, 2500, 30, 99, 400, 2000, 0, 3, 101]
+    rows = [(i, "u", chr(97 + i) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for limit in (1000, 10000, 1):
+        where = tmp_path / str(limit)
+        write_warc(df, str(where), records_per_file=10, file_bytes=limit)
+        back = read_warc(spark, str(where), payloads=True).collect()
+        assert sorted((r.page_id, bytes(r.payload).decode()) for r in back) == [(i, h) for i, _, h in rows]
+        files = {}
+        for r in back:
+            files.setdefault(r.path, []).append(r.payload_bytes)
+        assert all(len(f) <= 10 and (sum(f) <= limit or len(f) == 1 or sum(f) == 0) for f in files.values())
+
+
 def test_a_broken_chain_ends_there(spark):
     links = spark.createDataFrame([("f", 0, 10), ("f", 10, 25), ("f", 30, 40), ("g", 5, 9)], "path string, at long, next long")
     assert sorted(tuple(r) for r in reachable(links).collect()) == [("f", 0), ("f", 10)]
