@@ -16,6 +16,7 @@ from lexarray.llm.mixing import mixed
 from lexarray.llm.ngram_join import ngram_components
 from lexarray.llm.quality import quality_rules
 from lexarray.llm.secrets import secret_spans
+from lexarray.llm.tokens import token_counts
 from lexarray.llm.warc import archived
 
 
@@ -63,8 +64,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only here, so that the other queries do not need it
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_mixing, op4_quality_rules, op5_line_dedup, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_mixing, op4_quality_rules, op5_line_dedup, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
