@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexarray.llm import sql
+from lexarray.llm.centroids import centroid_clusters
 from lexarray.llm.decontamination import contamination
 from lexarray.llm.html import extracted
 from lexarray.llm.language import identify
@@ -64,6 +65,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # only here, so that the other queries do not need it
 
@@ -71,8 +76,8 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_mixing, op4_quality_rules, op5_line_dedup, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join, op13_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_mixing, op4_quality_rules, op5_line_dedup, op6_warc, op7_language_id, op8_lm_scoring, op9_secret_scan, op10_ngram_jaccard_join, op12_centroid_clustering, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.OP1, "op4_quality_rules": sql.OP4, "op6_warc": sql.OP6, "op10_ngram_jaccard_join": sql.OP10}
+    return {"op1_decontamination": sql.OP1, "op4_quality_rules": sql.OP4, "op6_warc": sql.OP6, "op10_ngram_jaccard_join": sql.OP10, "op12_centroid_clustering": sql.OP12}

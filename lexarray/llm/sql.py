@@ -69,3 +69,20 @@ paired as (select a, b from pairs union select b, a from pairs),
 reach(a, b) as (select rid, rid from sh union select reach.a, paired.b from reach join paired on reach.b = paired.a),
 comp as (select reach.a rid, min(sh.doc_id) c from reach join sh on sh.rid = reach.b group by reach.a)
 select doc_id, cast(coalesce(len(s), 0) as bigint) n_shingles, coalesce(c, doc_id) component_id from d left join (select rid, s from sh) using (rid) left join comp using (rid)"""
+
+
+def _round(k: int) -> str:
+    """The vectors by their nearest centroid of round k, and the centroids after it."""
+    return f"""
+a{k} as materialized (select rid, any_value(q.v) v, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))), 'c': c.c}}) m from q, c{k} c group by rid),
+s{k} as (select m.c c, j, sum(v[j]) s, count(*) n from a{k}, (select unnest(range(1, 65)) j) group by m.c, j),
+c{k + 1} as materialized (select c, coalesce(m.v, c{k}.v) v from c{k} left join (select c, list(cast((s - (s % n + n) % n) // n as bigint) order by j) v from s{k} group by c) m using (c))"""
+
+
+OP12 = f"""
+with q as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (select cast(row_number() over (order by h nulls last, v) - 1 as int) c, v from (select sha256('3:' || vec_id) h, v from q order by h nulls last, v limit 8)),{",".join(map(_round, range(10)))},
+f as (select rid, m.c c, cast(m.d as bigint) d from (select rid, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))), 'c': c.c}}) m from q, c10 c group by rid))
+select vec_id, f.c as cluster, d as distance, cast(sum(d) over (partition by f.c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(c10.v, ',')) centroid_sha256
+from f join q using (rid) join c10 on c10.c = f.c"""
