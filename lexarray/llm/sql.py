@@ -71,6 +71,42 @@ comp as (select reach.a rid, min(sh.doc_id) c from reach join sh on sh.rid = rea
 select doc_id, cast(coalesce(len(s), 0) as bigint) n_shingles, coalesce(c, doc_id) component_id from d left join (select rid, s from sh) using (rid) left join comp using (rid)"""
 
 
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Relations {name}0 to {name}{levels} of the nodes (g, i, h, n: how many of the level) above {name}0, with the digests a and b beside each."""
+    out = ""
+    for k in range(levels):
+        beside = [f"coalesce(string_agg(h, '') over (partition by g, i // 8 order by i rows between {rows}), '') {side}" for side, rows in (("a", "unbounded preceding and 1 preceding"), ("b", "1 following and unbounded following"))]
+        out += f""",
+{name}w{k} as materialized (select g, i, n, {", ".join(beside)} from {name}{k}),
+{name}{k + 1} as materialized (select g, i // 8 i, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end h, (any_value(n) + 7) // 8 n from {name}{k} group by g, i // 8)"""
+    return out
+
+
+def _path(rows: str, name: str, levels: int) -> str:
+    """rows (g, i, f: a digest, s: digests beside its path) with f and s carried up the tree."""
+    for k in range(levels):
+        rows = f"(select r.* exclude (f, s), case when w.n = 1 then f else sha256(a || f || b) end f, case when w.n = 1 then s else s || a || b end s from {rows} r join {name}w{k} w on w.g = r.g and w.i = r.i >> {3 * k})"
+    return rows
+
+
+#: crc32 of the digits of an id: a step for each byte, then one for each of its bits.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: list_concat([cast(ascii(x) as bigint)], [cast(-1 as bigint) for y in range(8)])))), lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end))"
+
+#: Levels for 8**8 documents of a language, and 8**3 languages.
+OP11 = f"""
+with o as materialized (select doc_id, coalesce('=' || lang, '') g, {_leaf("text")} leaf, {_leaf(f"case when {_CRC} % 3 = 0 then translate(text, '{_UPPER}', '{_LOWER}') else text end")} shown from documents),
+l as materialized (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 i, count(*) over (partition by g) n from o),
+t0 as (select g, i, leaf h, n from l){_tree("t", 8)},
+u0 as (select '' g, row_number() over (order by g) - 1 i, h, count(*) over () n, g lang from t8){_tree("u", 3)},
+p as (select doc_id, leaf, g lang, f, s from {_path("(select doc_id, leaf, g, i, shown f, '' s from l)", "t", 8)} x),
+q as (select p.*, u0.h subroot, '' g, u0.i from p join u0 using (lang))
+select doc_id, leaf, subroot, h as root, sha256(s) proof_sha256, f folded_root, f = h verified from {_path("q", "u", 3)} x, (select h from u3) y"""
+
+
 def _round(k: int) -> str:
     """The vectors by their nearest centroid of round k, and the centroids after it."""
     return f"""
