@@ -74,7 +74,7 @@ class TaskRegistry:
 class Engine:
     """Searches over a chunk table with rowid, file_path, content, language, semantic_type and embedding."""
 
-    def __init__(self, chunks: DataFrame, embed: Callable[[str], Any] | None = None, stored: bm25.Stored | None = None, quantize: bool = False) -> None:
+    def __init__(self, chunks: DataFrame, embed: Callable[[str], Any] | None = None, stored: Any = None, quantize: bool = False) -> None:
         from lexarray.operators.embed import hashed
 
         self.chunks, self.embed, self.tasks, self.quantize = chunks, embed or hashed, TaskRegistry(), quantize
@@ -85,7 +85,7 @@ class Engine:
         return max(1, min(100, n)), max(0.0, min(1.0, threshold))
 
     def _bm25(self, query: str, n: int = 50, language: str | None = None) -> DataFrame:
-        return self.index.search(query, n, language) if isinstance(self.index, bm25.Stored) else bm25.search(self.index, query, n, language)
+        return self.index.search(query, n, language) if hasattr(self.index, "search") else bm25.search(self.index, query, n, language)
 
     def _with_chunks(self, found: DataFrame, *order: Any) -> DataFrame:
         return self.chunks.join(F.broadcast(found), F.col("rowid") == F.col("doc")).orderBy(*order)

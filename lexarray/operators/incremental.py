@@ -19,6 +19,11 @@ def detect_changes(stored: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", status.alias("status")).where("status is not null")
 
 
+def first_of_key(chunks: DataFrame) -> DataFrame:
+    """Of chunks with the same key one."""
+    return chunks.dropDuplicates(KEY)
+
+
 def insert_new(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """index with the chunks whose key it lacks: the first writer of a key wins."""
     once = chunks.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("rowid"))).where("_n = 1").drop("_n")

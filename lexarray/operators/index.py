@@ -1,7 +1,7 @@
 """The index of a codebase: chunks, file records and an inverted index in a folder, built in full or by changes.
 
-Every build writes a new snapshot folder and then names it in a pointer file, so that readers never see half of one
-and a lost build leaves the old one in place.
+Each run commits one segment with the rows of the files that changed and tombstones of what they replace; rows and postings
+of other files stay where they are. Readers never see half of a commit, and a lost run leaves the index as it was.
 """
 
 from __future__ import annotations
@@ -9,18 +9,18 @@ from __future__ import annotations
 import json
 import os
 import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexarray.operators import bm25, graph, incremental
+from lexarray.operators import graph, incremental
 from lexarray.operators.chunking import SCHEMA, syntactic_chunks
 from lexarray.operators.embed import embedded, hashed
 from lexarray.operators.lines import line_chunks
+from lexarray.operators.segments import Segments
 from lexarray.settings import Settings, codebase
-from lexarray.sources.files import discover, git_changes, in_work_tree
+from lexarray.sources.files import discover, git_changes, git_commit, git_names, in_work_tree
 
 RECORDS = "path string, file_hash string, last_indexed timestamp, language string, chunk_ids array<string>, dependencies array<string>"
 CHUNKS = f"{SCHEMA}, language string, rowid long, embedding array<float>"
@@ -75,54 +75,40 @@ def progress(done: int, total: int) -> float:
 
 
 class IndexStore:
-    """Tables chunks, records and an inverted index of the newest snapshot under a folder that all executors share."""
+    """Tables chunks and records and an inverted index, as segments under a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, embed: Callable | None = None, settings: Settings | None = None) -> None:
         self.settings = settings or Settings()
         self.spark, self.folder, self.embed = spark, folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), self.settings.index_folder), embed or hashed
+        self.segments = Segments(spark, self.folder)
 
-    # the pointer is a table of one row, so that it lies where the snapshots do
-    def _place(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        path, fs = self._place(f"{self.folder}/current")
-        if not fs.exists(path):
-            return None
-        newest = self.spark.read.schema("snapshot string, written timestamp").parquet(f"{self.folder}/current").orderBy(F.desc("written")).first()
-        return newest and f"{self.folder}/{newest['snapshot']}"
-
-    def _publish(self, name: str) -> None:
-        self.spark.range(1).select(F.lit(name).alias("snapshot"), F.current_timestamp().alias("written")).write.mode("append").parquet(f"{self.folder}/current")
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        at = self.current()
-        return self.spark.read.schema(schema).parquet(f"{at}/{name}") if at else self.spark.createDataFrame([], schema)
+    def current(self) -> int | None:
+        """The number of the last commit."""
+        return self.segments.manifest()["version"] or None
 
     def chunks(self) -> DataFrame:
-        return self._table("chunks", CHUNKS)
+        return self.segments.read("chunks", f"{CHUNKS}, path string").drop("path")
 
     def records(self) -> DataFrame:
-        return self._table("records", RECORDS)
+        return self.segments.read("records", RECORDS)
 
-    def bm25(self) -> bm25.Stored | None:
-        at = self.current()
-        return bm25.Stored(self.spark, f"{at}/bm25") if at else None
+    def bm25(self) -> Segments | None:
+        return self.segments if self.current() else None
 
     def dependents(self) -> DataFrame:
-        """(dep_path, dependent): which indexed files import which."""
-        return self._table("dependents", "dependent string, module string, dep_path string").select("dep_path", "dependent")
+        """(dep_path, dependent): which indexed files import which, from the records as they are now: a new file may be what
+        an old one imports."""
+        root, every = self.segments.manifest()["marks"].get("root", ""), self.records()
+        modules = every.select(F.col("path").alias("dependent"), F.explode("dependencies").alias("module"))
+        below = every.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"))
+        return graph.resolve(modules, below).select("dep_path", "dependent")
 
     def clear(self) -> None:
-        path, fs = self._place(self.folder)
-        fs.delete(path, True)
+        self.segments.clear()
 
     def info(self) -> dict:
         """Version, tables and their rows, bytes on disk."""
-        path, fs = self._place(self.folder)
-        size = fs.getContentSummary(path).getLength() if fs.exists(path) else 0
-        return {"version": self.spark.version, "tables": {"chunks": self.chunks().count(), "records": self.records().count()}, "index_type": self.settings.index_type, "size_mb": size / 1048576}
+        return {"version": self.spark.version, "tables": {"chunks": self.chunks().count(), "records": self.records().count()}, "index_type": self.settings.index_type, "size_mb": self.segments.size() / 1048576}
 
     def status(self) -> dict:
         """Counts by language and type, files, the newest time, size."""
@@ -134,12 +120,26 @@ class IndexStore:
 
     # changes
     def changes(self, root: str, current: DataFrame | None = None, use_git: bool = False) -> DataFrame:
-        """(path, status): by git where asked for and root is a work tree, else by times and digests against the records."""
+        """(path, status) of the files that differ from the records, by times and digests.
+
+        use_git: only of those that git names as changed since the commit that was indexed, where that is known; what git
+        names but the records already have is no change. Without git, or an indexed commit, all files are looked at."""
         root = codebase(root)
-        if use_git and in_work_tree(root):
+        records = self.records().where(F.col("path").startswith(root + "/"))
+        names = self._named(root) if use_git else None
+        if names is not None:
+            found = discover(self.spark, root, names=names) if current is None else current
+            return incremental.detect_changes(records.where(F.col("path").isin(names)), found.select("path", "modified", "file_hash"))
+        if use_git and in_work_tree(root) and records.isEmpty():
             return git_changes(self.spark, root).select(F.concat(F.lit(root + "/"), "path").alias("path"), "status")
         found = discover(self.spark, root) if current is None else current
-        return incremental.detect_changes(self.records().where(F.col("path").startswith(root + "/")), found.select("path", "modified", "file_hash"))
+        return incremental.detect_changes(records, found.select("path", "modified", "file_hash"))
+
+    def _named(self, root: str) -> list[str] | None:
+        """The files that git names as changed since the indexed commit, or that differed from it when they were indexed."""
+        marks = self.segments.manifest()["marks"]
+        names = git_names(root, marks.get("commit")) if marks.get("root") == root else None
+        return None if names is None else sorted(f"{root}/{x}" for x in {*names, *marks.get("dirty", [])})
 
     def changed_files(self, root: str, **options: object) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {"modified": [], "new": [], "deleted": []}
@@ -154,14 +154,17 @@ class IndexStore:
         except Exception:  # noqa: BLE001  what cannot be checked is indexed again
             return True
 
-    def index(self, root: str, languages: list[str] | None = None, exclude: tuple[str, ...] = (), report: Callable[[str, float], None] = lambda phase, share: None) -> dict:
-        """Indexes a folder: in full where nothing is indexed, else what has changed; languages and exclusions hold both times."""
+    def index(self, root: str, languages: list[str] | None = None, exclude: tuple[str, ...] = (), report: Callable[[str, float], None] = lambda phase, share: None, use_git: bool = True) -> dict:
+        """Indexes a folder: in full where nothing is indexed, else what has changed; languages and exclusions hold both times.
+        use_git: in a work tree only files that git names are read; elsewhere all are."""
         root, session = codebase(root), Session()
         report("discovering", 0.0)
-        files = graph.cut(discover(self.spark, root, languages, exclude, self.settings.max_file_mb))
-        old, records = self.chunks(), self.records()
-        first = records.isEmpty()
-        changes = graph.cut(files.select("path", F.lit("new").alias("status")) if first else self.changes(root, files))
+        store, marks = self.segments, self.segments.manifest()["marks"]
+        first = self.records().isEmpty()
+        commit = git_commit(root)
+        dirty = (git_names(root, commit) or []) if commit else []
+        files = graph.cut(discover(self.spark, root, languages, exclude, self.settings.max_file_mb, None if first or not use_git else self._named(root)))
+        changes = graph.cut(files.select("path", F.lit("new").alias("status")) if first else self.changes(root, files, use_git))
         counts = {r[0]: r[1] for r in changes.groupBy("status").count().collect()}
         session.add("files_discovered", files.count())
         if not counts:
@@ -169,30 +172,20 @@ class IndexStore:
         report("parsing", 25.0)
         gone = changes.where("status in ('deleted', 'modified')")
         fresh = files.join(changes.where("status <> 'deleted'").select("path"), "path", "left_semi")
-        after = old.agg(F.max("rowid")).first()[0] or 0
-        chunks = numbered(chunked(fresh), after)
+        after = marks.get("last_row", 0)
+        chunks = numbered(incremental.first_of_key(chunked(fresh)), after)
         report("embedding", 50.0)
         chunks = embedded(chunks, self.embed) if self.settings.embedding_enabled else chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
         chunks = graph.cut(chunks)
-        n = chunks.count()
-        session.add("chunks_created", n), session.add("embeddings_generated", n), session.add("files_processed", fresh.count())
         report("storing", 75.0)
-        name = f"snapshot-{uuid.uuid4()}"
-        at = f"{self.folder}/{name}"
         names = [c.split()[0] for c in CHUNKS.split(", ")]
-        kept = incremental.remove_files(old, gone)
-        incremental.insert_new(kept, chunks).select(*names).write.partitionBy("language").parquet(f"{at}/chunks")
         own = chunks.groupBy(F.col("file_path").alias("path")).agg(F.collect_list(F.concat_ws(":", "file_path", "start_line")).alias("chunk_ids"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("dependencies", F.array().cast("array<string>"))))).alias("dependencies"))
         fresh_records = fresh.join(own, "path", "left").select("path", "file_hash", F.current_timestamp().alias("last_indexed"), "language", "chunk_ids", "dependencies")
-        stay = records.join(changes.select("path"), "path", "left_anti")
-        stay.unionByName(fresh_records).write.parquet(f"{at}/records")
-        stored = bm25.build(self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks"))
-        bm25.Stored.write(stored, f"{at}/bm25")
-        every = self.spark.read.schema(RECORDS).parquet(f"{at}/records")
-        modules = every.select(F.col("path").alias("dependent"), F.explode("dependencies").alias("module"))
-        below = every.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"))
-        graph.resolve(modules, below).write.parquet(f"{at}/dependents")
-        session.add("database_operations", 4)
-        self._publish(name)
+        texts = chunks.select(F.col("rowid").alias("doc"), F.col("file_path").alias("path"), "language", "content")
+        seen = counts.get("new", 0) + counts.get("modified", 0)
+        done = store.add({"chunks": chunks.select(*names, F.col("file_path").alias("path")), "records": fresh_records}, texts, gone.select("path"), lambda added: {"last_row": after + added, "root": root, "commit": commit, "dirty": dirty})
+        n = done["docs_added"]
+        session.add("chunks_created", n), session.add("embeddings_generated", n), session.add("files_processed", seen)
+        session.add("database_operations", 3)
         report("completed", 100.0)
-        return {"status": "success", "changes": {k: counts.get(k, 0) for k in ("new", "modified", "deleted")}, "languages_detected": sorted(r[0] for r in every.select("language").distinct().collect()), "session": session.summary()}
+        return {"status": "success", "changes": {k: counts.get(k, 0) for k in ("new", "modified", "deleted")}, "languages_detected": sorted(r[0] for r in self.records().select("language").distinct().collect()), "written": done, "session": session.summary()}

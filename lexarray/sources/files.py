@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 
 #: Languages by file extension.
@@ -44,8 +47,14 @@ def excluded(path: Column, globs: list[str], absolute: bool = False) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def _read(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def _read(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:
+    """The files under root, or those of some names that are there."""
+    reader = spark.read.format("binaryFile")
+    if names is None:
+        files = reader.option("recursiveFileLookup", "true").load(root)
+    else:
+        there = [x for x in names if os.path.isfile(x)]
+        files = reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
 
 
@@ -60,14 +69,14 @@ def _listed(files: DataFrame, language: Column) -> DataFrame:
     return out.withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256))
 
 
-def discover(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: tuple[str, ...] = (), max_mb: float = MAX_FILE_MB) -> DataFrame:
-    """The source files under root, as _listed() gives them.
+def discover(spark: SparkSession, root: str, languages: list[str] | None = None, exclude: tuple[str, ...] = (), max_mb: float = MAX_FILE_MB, names: list[str] | None = None) -> DataFrame:
+    """The source files under root, or of some absolute names, as _listed() gives them.
 
     Extensions are matched as written; unknown language names add nothing; files of max_mb or more are left out.
     """
     wanted = [e for name in (languages or LANGUAGES) for e in LANGUAGES.get(name, "").split()]
     own = (F.col("length") < max_mb * 1048576) & F.regexp_extract("path", r"\.([^./]+)$", 1).isin(wanted) & ~excluded(F.col("path"), [*EXCLUDED, *exclude])
-    return _listed(_read(spark, root).where(own), language_of(F.col("path"), DETECTED))
+    return _listed(_read(spark, root, names).where(own), language_of(F.col("path"), DETECTED))
 
 
 def discover_updates(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -76,24 +85,78 @@ def discover_updates(spark: SparkSession, root: str, exclude: tuple[str, ...] =
     return _listed(_read(spark, root).where((language != "text") & ~excluded(F.col("path"), [*UPDATE_EXCLUDED, *exclude], absolute=True)), language)
 
 
-def in_work_tree(root: str) -> bool:
+def _git(root: str, *args: str) -> str | None:
+    """What a git command says in a folder; None where it fails or there is no git."""
     try:
-        out = subprocess.run(["git", "-C", root, "rev-parse", "--is-inside-work-tree"], capture_output=True, text=True)
+        out = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True)
     except OSError:
-        return False
-    return out.returncode == 0 and out.stdout.strip() == "true"
+        return None
+    return out.stdout if out.returncode == 0 else None
 
 
-def git_changes(spark: SparkSession, root: str) -> DataFrame:
-    """(status, path) by git's porcelain output: new, modified, deleted; a rename is a deletion and a new file."""
-    out = subprocess.run(["git", "-C", root, "status", "--porcelain=v1", "-z", "--untracked-files=all"], capture_output=True, text=True, check=True).stdout
-    rows, entries = [], iter(out.split("\0"))
+def in_work_tree(root: str) -> bool:
+    return (_git(root, "rev-parse", "--is-inside-work-tree") or "").strip() == "true"
+
+
+def git_commit(root: str) -> str | None:
+    return (_git(root, "rev-parse", "--verify", "-q", "HEAD") or "").strip() or None
+
+
+def _statuses(root: str) -> Iterator[tuple[str, str, str]]:
+    """(status, code, path) of what git reports below a folder, paths below that folder. A rename is a deletion and a new file,
+    a copy a new file; what a rename brings from or takes to outside the folder counts on its own side only."""
+    prefix = (_git(root, "rev-parse", "--show-prefix") or "").strip("\n")
+    out = _git(root, "-c", "status.renames=copies", "status", "--porcelain=v1", "-z", "--untracked-files=all", "--", ".")
+    if out is None:
+        raise ValueError(f"git reports nothing on {root}")
+    entries = iter(out.split("\0"))
     for e in entries:
         if not e:
             continue
         code, path = e[:2], e[3:]
-        if "R" in code:
-            rows += [("new", path), ("deleted", next(entries))]
-        else:
-            rows.append(("deleted" if "D" in code else "new" if code == "??" or "A" in code else "modified", path))
-    return spark.createDataFrame(rows, "status string, path string")
+        found = [("deleted" if "D" in code else "new" if code == "??" or "A" in code or "R" in code or "C" in code else "modified", path)]
+        if "R" in code or "C" in code:
+            before = next(entries)
+            found += [("deleted", before)] * ("R" in code)
+        yield from ((status, code, x[len(prefix) :]) for status, x in found if x.startswith(prefix))
+
+
+class GitStatus(DataSource):
+    """spark.read.format("git_status").load(folder): (status, code, path) of a work tree's changes below a folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_status"
+
+    def schema(self) -> str:
+        return "status string, code string, path string"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return _GitReader(self.options["path"])
+
+
+class _GitReader(DataSourceReader):
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(0)]  # git answers for the whole folder at once
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str, str]]:
+        yield from _statuses(self.root)
+
+
+def git_changes(spark: SparkSession, root: str) -> DataFrame:
+    """(status, path) of the source files that git reports as new, modified or deleted below a folder, paths below it."""
+    spark.dataSource.register(GitStatus)
+    return spark.read.format("git_status").load(root).where(language_of(F.col("path"), UPDATED) != "text").select("status", "path")
+
+
+def git_names(root: str, commit: str | None) -> list[str] | None:
+    """The files below a folder that may differ from a commit's: changed since, changed in the work tree, or untracked;
+    None where git cannot tell."""
+    if commit is None:
+        return None
+    tracked = _git(root, "diff", "--name-only", "--relative", "--no-renames", "-z", commit, "--", ".")
+    untracked = _git(root, "ls-files", "--others", "-z", "--", ".")
+    return None if tracked is None or untracked is None else sorted({x for x in (tracked + untracked).split("\0") if x})
