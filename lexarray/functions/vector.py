@@ -23,12 +23,12 @@ def norm(a: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """cosine, l2 or dot (negated, so that smaller is nearer); any other name means cosine."""
+    """cosine, l2 or dot (negated, so that smaller is nearer); any other name means cosine. A zero vector has no cosine distance: null."""
     if metric == "l2":
         return F.sqrt(_sum(F.zip_with(_wide(a), _wide(b), lambda x, y: (x - y) * (x - y))))
     if metric == "dot":
         return -dot(a, b)
-    return 1.0 - dot(a, b) / (norm(a) * norm(b))
+    return 1.0 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine",
     rows = rows.withColumn("distance", distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]), metric))
     if threshold is not None:
         rows = rows.where(F.col("distance") <= threshold)
-    rows = rows.orderBy("distance", key).limit(k)
+    rows = rows.orderBy(F.asc_nulls_last("distance"), key).limit(k)
     return rows if postfilter is None else rows.where(postfilter)
 
 
@@ -36,7 +36,7 @@ def knn_of(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine
     blocks = queries.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block))))).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
     pairs = vectors.crossJoin(blocks).select(key, "embedding", F.explode("asked").alias("a")).where(F.col(key) != F.col("a.query_id"))
     pairs = pairs.select(F.col("a.query_id").alias("query_id"), key, distance(F.col("embedding"), F.col("a.q"), metric).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), key))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
