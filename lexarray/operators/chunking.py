@@ -1,4 +1,4 @@
-"""Syntactic chunks with metadata: Python by its own parser, brace languages by a scanner of heads and braces.
+"""Syntactic chunks with metadata: Python by its own parser, brace languages by braces.declarations().
 
 A parsed file is a tree of nodes; nodes of chunkable types become chunks if they are small enough, larger ones
 are split among their children, and short neighbours are merged. Runs as one Arrow map over files.
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexarray.operators.braces import declarations
+
 #: Characters of a chunk at most, of one that is merged with the next, and of a merged one at most.
 MOST, LEAST, MERGED = 600, 100, 800
 #: Node types that become chunks.
@@ -42,20 +44,37 @@ class Node:
     children: list = field(default_factory=list)
 
 
-_DECISIONS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.IfExp, ast.Match)
+class _Source:
+    """A Python file's lines, for pieces of it by the positions of its syntax tree."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = [x.encode() for x in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)]
+
+    def piece(self, n: ast.AST) -> str:
+        lines = self.lines[n.lineno - 1 : n.end_lineno]
+        lines[-1] = lines[-1][: n.end_col_offset]
+        lines[0] = lines[0][n.col_offset :]
+        return b"".join(lines).decode()
+
+    def starts(self, n: ast.AST, word: bytes) -> bool:
+        return self.lines[n.lineno - 1].startswith(word, n.col_offset)
+
+
+#: Statements that count for complexity once each, cases of a match and conditional expressions too; an elif belongs to its if.
+_DECISIONS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.TryStar, ast.IfExp, ast.match_case)
 
 
-def _docstring(n: ast.AST, text: str) -> str | None:
+def _docstring(n: ast.AST, source: _Source) -> str | None:
     """The first string of a body as it stands, without triple quotes."""
     first = n.body[0] if n.body else None
     if not (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)):
         return None
-    return (ast.get_source_segment(text, first.value) or "").strip().replace('"""', "").replace("'''", "")
+    return source.piece(first.value).strip().replace('"""', "").replace("'''", "")
 
 
-def _python_meta(n: ast.AST, text: str) -> dict:
+def _python_meta(n: ast.AST, source: _Source) -> dict:
     if isinstance(n, ast.ClassDef):
-        return {"class_name": n.name, "inheritance_chain": [b.id for b in n.bases if isinstance(b, ast.Name)], "docstring": _docstring(n, text), "decorators": [ast.unparse(d) for d in n.decorator_list]}
+        return {"class_name": n.name, "inheritance_chain": [b.id for b in n.bases if isinstance(b, ast.Name)], "docstring": _docstring(n, source), "decorators": [ast.unparse(d) for d in n.decorator_list]}
     a = n.args
     plain = [*a.posonlyargs, *a.args]
     args = plain[: len(plain) - len(a.defaults)] + [x for x, d in zip(a.kwonlyargs, a.kw_defaults) if d is None]  # typed defaults do not count
@@ -65,98 +84,40 @@ def _python_meta(n: ast.AST, text: str) -> dict:
         "function_signature": f"def {n.name}({ast.unparse(a)})" + (f" -> {returns}" if returns else ""),
         "parameter_types": [ast.unparse(x.annotation) for x in args if x.annotation],
         "return_type": returns,
-        "docstring": _docstring(n, text),
+        "docstring": _docstring(n, source),
         "decorators": [ast.unparse(d) for d in n.decorator_list],
-        "complexity_score": 1 + sum(isinstance(x, _DECISIONS) for x in ast.walk(n)),
+        "complexity_score": 1 + sum(isinstance(x, _DECISIONS) and not (isinstance(x, ast.If) and source.starts(x, b"elif")) for x in ast.walk(n)),
     }
 
 
 def parse_python(text: str) -> list[Node]:
+    source = _Source(text)
+
     def nodes(body: list) -> list[Node]:
         out = []
         for n in body:
             kind = {ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "async_function_definition", ast.ClassDef: "class_definition", ast.Import: "import_statement", ast.ImportFrom: "import_from_statement"}.get(type(n), "statement")
             inner = [x for name in ("body", "orelse", "finalbody", "handlers") for x in getattr(n, name, []) if isinstance(getattr(n, name), list)]
-            out.append(Node(kind, n.lineno, n.end_lineno, _python_meta(n, text) if kind.endswith("definition") else {}, nodes(inner)))
+            out.append(Node(kind, n.lineno, n.end_lineno, _python_meta(n, source) if kind.endswith("definition") else {}, nodes(inner)))
         return out
 
     return nodes(ast.parse(text).body)
 
 
-#: Heads of functions and classes in languages with braces.
-_HEADS = (
-    ("class_declaration", re.compile(r"^\s*(?:export\s+|public\s+|private\s+|abstract\s+|final\s+|static\s+)*(?:class|struct|interface|enum|trait|impl)\s+(\w+)(?:<[^>{]*>)?(?:\s+extends\s+([\w.]+))?"), "class_name"),
-    ("class_declaration", re.compile(r"^\s*type\s+(\w+)\s+(?:struct|interface)\b()"), "class_name"),
-    ("function_declaration", re.compile(r"^\s*(?:export\s+|default\s+|public\s+|private\s+|protected\s+|static\s+|async\s+|pub\s+|final\s+)*(?:function\*?|func|fn)\s+(?:\([^)]*\)\s*)?(\w+)()"), "function_name"),
-    ("function_declaration", re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)()\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[\w<>\[\], |]+)?=>"), "function_name"),
-    ("method_definition", re.compile(r"^\s*(?!if\b|for\b|while\b|switch\b|catch\b|else\b|return\b)(?:public\s+|private\s+|protected\s+|static\s+|async\s+|final\s+|[\w<>\[\]]+\s+)*(\w+)\s*\([^;]*\)[^;{]*\{()"), "function_name"),
-)
-_BRACES = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|`(?:\\.|[^`\\])*`|[{}]', re.S)
-_BRANCH = re.compile(r"\b(?:if|for|while|case|catch|match|loop)\b|\?[^?:\n]*:|&&|\|\|")
-
-
-_PARAMETERS = re.compile(r"^[^(]*\b\w+\s*(?:<[^>]*>)?\s*\(([^()]*)\)")
-
-
-def _signature_types(signature: str, language: str) -> tuple[list[str], str | None]:
-    """The parameter types and the return type that a head of a function states."""
-    head = re.sub(r"^(\s*func\s*)\([^)]*\)", r"\1", signature) if language == "go" else signature
-    m = _PARAMETERS.match(head)
-    if not m:
-        return [], None
-    given = [x.strip() for x in re.split(r",(?![^<]*>)", m[1]) if x.strip()]
-    after = head[m.end() :].strip()
-    if language in ("rust", "typescript", "javascript"):
-        types = [x.split(":", 1)[1].split("=")[0].strip() for x in given if ":" in x]
-        back = re.match(r"(?:->|:)\s*([^{=]+?)\s*(?:=>|where\b|$)", after)
-        return types, back[1] if back else None
-    if language == "go":
-        types = [x.split(None, 1)[1] for x in given if len(x.split(None, 1)) == 2]
-        return types, after if after and not after.startswith("(") else None
-    words = head[: m.start(1) - 1].split()
-    types = [re.sub(r"^(?:final\s+|@\w+\s+)*", "", x).rsplit(None, 1)[0] for x in given if len(x.split()) > 1]
-    back = words[-2] if len(words) > 1 and words[-2] not in ("public", "private", "protected", "static", "final", "abstract", "synchronized") else None
-    return types, back
-
-
 def parse_braces(text: str, language: str = "javascript") -> list[Node]:
-    """Nodes from a head's line to the line of its closing brace."""
-    lines = text.split("\n")
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x) + 1)
-    opens: list[int] = []
-    close: dict[int, int] = {}
-    for m in _BRACES.finditer(text):
-        if m[0] == "{":
-            opens.append(m.start())
-        elif m[0] == "}" and opens:
-            close[opens.pop()] = text.count("\n", 0, m.start()) + 1
-    found: list[Node] = []
-    for i, line in enumerate(lines):
-        for kind, head, name in _HEADS:
-            m = head.match(line)
-            brace = text.find("{", starts[i]) if m else -1
-            if m and brace in close and text.count(";", starts[i], brace) == 0:
-                meta: dict = {name: m[1]}
-                if name == "class_name":
-                    meta["inheritance_chain"] = [m[2]] if m[2] else None
-                    implemented = re.search(r"\bimplements\s+([\w\s,.<>]+)", text[starts[i] : brace])
-                    meta["interfaces"] = [x.strip() for x in implemented[1].split(",") if x.strip()] if implemented else None
-                else:
-                    body = "\n".join(lines[i : close[brace]])
-                    signature = text[starts[i] : brace].strip()
-                    types, back = _signature_types(signature, language)
-                    meta |= {"function_signature": signature, "parameter_types": types or None, "return_type": back, "complexity_score": 1 + len(_BRANCH.findall(body))}
-                found.append(Node(kind, i + 1, close[brace], meta))
-                break
+    """Nodes from the first line of a declaration to that of its closing brace; complexity is counted for scripts only."""
     roots: list[Node] = []
-    stack: list[Node] = []
-    for n in found:
-        while stack and stack[-1].last < n.first:
+    stack: list[tuple[Node, int]] = []
+    for d, first, last in declarations(text, language):
+        if d.kind == "class_declaration":
+            meta = {"class_name": d.name, "inheritance_chain": d.bases, "interfaces": d.interfaces}
+        else:
+            meta = {"function_name": d.name, "function_signature": d.signature, "parameter_types": d.types, "return_type": d.returns, "complexity_score": 1 + d.branches if language in ("javascript", "typescript") else None}
+        node = Node(d.kind, first, last, meta)
+        while stack and stack[-1][1] <= d.start:
             stack.pop()
-        (stack[-1].children if stack else roots).append(n)
-        stack.append(n)
+        (stack[-1][0].children if stack else roots).append(node)
+        stack.append((node, d.end))
     return roots
 
 
