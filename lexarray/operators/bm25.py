@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarray.functions.text import tokens
+from lexarray.functions.tokenise import tokens
 
 K1, B = 1.2, 0.75
 
@@ -92,7 +92,7 @@ class Stored:
         docs = spark.read.parquet(f"{path}/docs")
         each = docs.select("doc", "language", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
         found = each.groupBy("term", "doc", "language", "dl").agg(F.count("*").cast("int").alias("tf"))
-        found.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        found.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
         docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
         return Stored(spark, path)
 

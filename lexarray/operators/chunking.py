@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from lexarray.operators.braces import declarations
 
@@ -248,24 +249,49 @@ def dependencies_of(imports: list[str], language: str) -> list[str]:
 PARSED = ("python", "javascript", "typescript", "java", "go", "rust")
 
 
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def _arrow_schema() -> pa.Schema:
+    lists = ("parameter_types", "inheritance_chain", "decorators", "interfaces", "import_statements", "dependencies")
+    kinds = dict.fromkeys(lists, pa.list_(pa.string())) | dict.fromkeys(("start_line", "end_line", "complexity_score"), pa.int32())
+    return pa.schema([(n, kinds.get(n, pa.string())) for n in _NAMES])
+
+
+def file_rows(path: str, language: str, text: str | None, chunker: Callable[[str, str], list[dict]]) -> Iterator[dict]:
+    """A file's chunks as rows of SCHEMA; empty values are null."""
+    imports = imports_of(text or "", language)
+    shared = {"file_path": path, "import_statements": imports, "dependencies": dependencies_of(imports, language)}
+    for c in chunker(text or "", language):
+        row = shared | c
+        yield {n: row.get(n) or None for n in _NAMES}
+
+
 def syntactic_chunks(files: DataFrame, nested: bool = False) -> DataFrame:
     """Chunks of files (path, language, content) with their metadata; files of unparsed languages give none here.
 
     nested: every node of a telling type is a chunk, inner ones too, and a file without any is one block.
     """
-    lists = ("parameter_types", "inheritance_chain", "decorators", "interfaces", "import_statements", "dependencies")
-    kinds = dict.fromkeys(lists, pa.list_(pa.string())) | dict.fromkeys(("start_line", "end_line", "complexity_score"), pa.int32())
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
     chunker = nested_chunks_of if nested else chunks_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, language, text in zip(*(c.to_pylist() for c in batch.columns)):
-                imports = imports_of(text or "", language)
-                shared = {"file_path": path, "import_statements": imports, "dependencies": dependencies_of(imports, language)}
-                rows += [{k: v or None for k, v in (shared | c).items()} for c in chunker(text or "", language)]
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema)
+            rows = [r for path, language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in file_rows(path, language, text, chunker)]
+            yield pa.RecordBatch.from_pylist(rows, _arrow_schema())
 
     return files.where(F.col("language").isin(*PARSED)).select("path", "language", "content").mapInArrow(run, SCHEMA)
+
+
+@udtf(returnType=SCHEMA)
+class CodeChunks:
+    """A table function: code_chunks(path, language, content) gives the chunks of one file, in SQL by a lateral join."""
+
+    def eval(self, path: str, language: str, content: str) -> Iterator[tuple]:
+        if language in PARSED:
+            for r in file_rows(path, language, content, chunks_of):
+                yield tuple(r.values())
+
+
+def register(spark: SparkSession) -> None:
+    """Makes code_chunks known to SQL."""
+    spark.udtf.register("code_chunks", CodeChunks)

@@ -175,7 +175,7 @@ class IndexStore:
         after = marks.get("last_row", 0)
         chunks = numbered(incremental.first_of_key(chunked(fresh)), after)
         report("embedding", 50.0)
-        chunks = embedded(chunks, self.embed) if self.settings.embedding_enabled else chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+        chunks = embedded(chunks, self.embed, self.settings.batch_size) if self.settings.embedding_enabled else chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
         chunks = graph.cut(chunks)
         report("storing", 75.0)
         names = [c.split()[0] for c in CHUNKS.split(", ")]

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarray.functions import text, vector
+from lexarray.functions import text, tokenise, vector
 from lexarray.operators import bm25, search
 from lexarray.plans.sql_parts import DISTANCE, RAW, TOKENS, VECTORS
 from lexarray.plans.sql_parts import bm25 as bm25_sql
@@ -78,12 +78,12 @@ def bm25_incremental(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("terms"))
+    rows = table(spark, sf, "documents").select("doc_id", tokenise.tokens(F.col("text")).alias("terms"))
     return rows.select("doc_id", F.size("terms").cast("long").alias("n_tokens"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"), F.md5(F.array_join("terms", " ").cast("binary")).alias("digest"))
 
 
 def identifier_split(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", text.raw_tokens(F.col("text")).alias("t"))
+    rows = table(spark, sf, "documents").select("doc_id", tokenise.tokens(F.col("text"), raw=True).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
