@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexarray.operators import graph, incremental
+from lexarray.operators import cells, graph, incremental
 from lexarray.operators.chunking import SCHEMA, syntactic_chunks
 from lexarray.operators.embed import embedded, hashed
 from lexarray.operators.lines import line_chunks
@@ -44,6 +46,9 @@ def numbered(chunks: DataFrame, after: int = 0) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("rowid", F.col("_before") + F.col("_n") + 1 + after).drop("_part", "_n", "_size", "_before")
 
 
+_VECTORS = "path string, rowid long, embedding array<float>, cell int"
+
+
 class Session:
     """Counters of one indexing run and its log."""
 
@@ -80,7 +85,7 @@ class IndexStore:
     def __init__(self, spark: SparkSession, folder: str | None = None, embed: Callable | None = None, settings: Settings | None = None) -> None:
         self.settings = settings or Settings()
         self.spark, self.folder, self.embed = spark, folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), self.settings.index_folder), embed or hashed
-        self.segments = Segments(spark, self.folder)
+        self.segments = Segments(spark, self.folder, {"vectors": "cell"})
 
     def current(self) -> int | None:
         """The number of the last commit."""
@@ -95,6 +100,31 @@ class IndexStore:
     def bm25(self) -> Segments | None:
         return self.segments if self.current() else None
 
+    def near(self, query: list[float]) -> DataFrame | None:
+        """(rowid, embedding) of the cells nearest to a vector; None where the index is flat, so that all vectors count."""
+        m = self.segments.manifest()
+        if self.settings.index_type == "flat" or "centers" not in m["marks"]:
+            return None
+        wanted = cells.probed(self._centers(m["marks"]["centers"]), query, m["marks"]["probes"])
+        return self.segments.read("vectors", _VECTORS, m).where(F.col("cell").isin(wanted)).select("rowid", "embedding")
+
+    def _centers(self, name: str) -> np.ndarray:
+        return np.array([r["center"] for r in self.spark.read.parquet(f"{self.folder}/{name}").orderBy("cell").collect()])  # cells.MOST_CELLS at most
+
+    def _in_cells(self, chunks: DataFrame, marks: dict) -> tuple[dict, dict]:
+        """The table of vectors by cell, and marks of the cells: those of the first run that has vectors hold for later ones."""
+        rows = chunks.where("embedding is not null").select(F.col("file_path").alias("path"), "rowid", "embedding")
+        own = {k: marks[k] for k in ("centers", "probes", "folders") if k in marks}
+        if not own:
+            centers = cells.learned(rows, "rowid")
+            if not len(centers):
+                return {}, {}
+            probes = cells.probes_for(rows.withColumn("cell", cells.cell_of(F.col("embedding"), centers)), centers, "rowid", "embedding")
+            name = f"centers-{uuid.uuid4().hex[:8]}"
+            self.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "cell int, center array<double>").write.parquet(f"{self.folder}/{name}")
+            own = {"centers": name, "probes": probes, "folders": [name]}
+        return {"vectors": rows.withColumn("cell", cells.cell_of(F.col("embedding"), self._centers(own["centers"])))}, own
+
     def dependents(self) -> DataFrame:
         """(dep_path, dependent): which indexed files import which, from the records as they are now: a new file may be what
         an old one imports."""
@@ -183,7 +213,8 @@ class IndexStore:
         fresh_records = fresh.join(own, "path", "left").select("path", "file_hash", F.current_timestamp().alias("last_indexed"), "language", "chunk_ids", "dependencies")
         texts = chunks.select(F.col("rowid").alias("doc"), F.col("file_path").alias("path"), "language", "content")
         seen = counts.get("new", 0) + counts.get("modified", 0)
-        done = store.add({"chunks": chunks.select(*names, F.col("file_path").alias("path")), "records": fresh_records}, texts, gone.select("path"), lambda added: {"last_row": after + added, "root": root, "commit": commit, "dirty": dirty})
+        vectors, kept = self._in_cells(chunks, marks) if self.settings.index_type != "flat" and self.settings.embedding_enabled else ({}, {})
+        done = store.add(vectors | {"chunks": chunks.select(*names, F.col("file_path").alias("path")), "records": fresh_records}, texts, gone.select("path"), lambda added: {"last_row": after + added, "root": root, "commit": commit, "dirty": dirty, **kept})
         n = done["docs_added"]
         session.add("chunks_created", n), session.add("embeddings_generated", n), session.add("files_processed", seen)
         session.add("database_operations", 3)

@@ -76,8 +76,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Segments:
     """Tables by name, each with a column path, and texts (doc, path, language, content) in a folder all executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, partitions: dict[str, str] | None = None) -> None:
+        """partitions: the column by which folders of a table are split."""
+        self.spark, self.folder, self.partitions = spark, folder, partitions or {}
 
     # files
     def _at(self, name: str) -> tuple:
@@ -117,9 +118,10 @@ class Segments:
         stream.close()
 
     def _sweep(self) -> None:
-        """Folders that neither the current manifest nor the one before it names are deleted, and older manifests."""
+        """Folders that neither the current manifest nor the one before it names are deleted, and older manifests. marks may name
+        more folders to keep, as `folders`."""
         names = self._versions()
-        named = {x for v in names[-2:] for m in [self._manifest(v)] for x in [*(s["name"] for s in m["segments"]), *m["tombstones"]]}
+        named = {x for v in names[-2:] for m in [self._manifest(v)] for x in [*(s["name"] for s in m["segments"]), *m["tombstones"], *m["marks"].get("folders", [])]}
         root, fs = self._at(".")
         for x in fs.listStatus(root):
             name = x.getPath().getName()
@@ -210,12 +212,16 @@ class Segments:
     def _written(self, number: int, tables: dict[str, DataFrame], texts: DataFrame | None) -> dict:
         name, docs = f"seg-{number}-{uuid.uuid4().hex[:8]}", None
         for table, rows in tables.items():
-            rows.write.parquet(f"{self.folder}/{name}/{table}")
+            self._write(rows, name, table)
         if texts is not None:
             found = texts.select("doc", "path", "language", counted(F.col("content")).alias("c")).select("doc", "path", "language", "c.dl", "c.terms", "c.tfs")
             docs = self._documents(name, found)
         return {"name": name, "number": number, "tables": [*tables, *(["docs", "postings"] if docs else [])], "docs": docs["n"] if docs else 0, "length": docs["length"] if docs else 0}
 
+    def _write(self, rows: DataFrame, segment: str, table: str) -> None:
+        by = self.partitions.get(table)
+        (rows.write.partitionBy(by) if by else rows.write).parquet(f"{self.folder}/{segment}/{table}")
+
     def _documents(self, name: str, found: DataFrame) -> dict:
         """Writes documents with their counts, and from these the postings."""
         seen = Observation()
@@ -241,7 +247,8 @@ class Segments:
             for table in sorted({t for s in full for t in s["tables"]} - {"docs", "postings"}):
                 first = next(s for s in full if table in s["tables"])
                 schema = self.spark.read.parquet(f"{self.folder}/{first['name']}/{table}").schema
-                self._live(m, self._union(m, table, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), full)).drop("seg").write.parquet(f"{self.folder}/{name}/{table}")
+                rows = self._live(m, self._union(m, table, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), full)).drop("seg")
+                self._write(rows, name, table)
             docs = None
             if any("docs" in s["tables"] for s in full):
                 docs = self._documents(name, self._live(m, self._union(m, "docs", _DOCS, full)).drop("seg", "range"))

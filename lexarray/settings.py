@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass, field
 from pathlib import Path
 
-#: The kinds of vector index that can be named; searches are exact whichever it is.
+#: The kinds of vector index that can be named; flat is exact, the others search the nearest cells of an inverted file.
 INDEX_TYPES = ("flat", "ivf", "hnsw")
 
 

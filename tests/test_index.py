@@ -3,9 +3,10 @@
 import json
 import os
 import subprocess
+import time
 
 import pytest
-from lexarray.api import Service
+from lexarray.api import ANSWER, Cancelled, Engine, Service, TaskRegistry
 from lexarray.operators import evaluation
 from lexarray.operators.index import IndexStore, Session, progress
 from lexarray.settings import Settings, codebase, listed
@@ -145,3 +146,47 @@ def test_evaluation_runs(spark, tmp_path):
     assert evaluation.lower_percentile([3.0, 1.0, 2.0], 95) == 2.0
     evaluation.report([out], {"m": times}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text())["evaluations"]["m"]["method"] == "m"
+
+
+def test_cells_are_searched_where_settings_say_so(spark, root, tmp_path, monkeypatch):
+    monkeypatch.setenv("VEC_INDEX_TYPE", "ivf")
+    for k in range(12):
+        (root / f"m{k}.py").write_text(f"def make_{k}(thing_{k}):\n    return 'word{k} ' * {k} + thing_{k}\n")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert store.index(str(root))["status"] == "success"
+    q = [float(x) for x in store.embed("make_3 thing_3")]
+    near = store.near(q)
+    assert 0 < near.count() <= store.chunks().count() and "cell=" in "".join(x for x in near.inputFiles())
+    engine = Service(store).engine()
+    exact = {r.rowid for r in Engine(store.chunks(), store.embed).semantic("return thing_3", n=3, threshold=None).collect()}
+    found = {r.rowid for r in engine.semantic("return thing_3", n=3, threshold=None).collect()}
+    assert len(found) == 3 and found & exact
+    (root / "m3.py").write_text("def make_other():\n    return 5\n")
+    os.utime(root / "m3.py", (2e9, 2e9))
+    assert store.index(str(root))["changes"]["modified"] == 1
+    every = {r.rowid for r in store.segments.read("vectors", "path string, rowid long, embedding array<float>, cell int").collect()}
+    assert every == {r.rowid for r in store.chunks().collect()}
+    assert set(engine.search_code("make", max_results=2)["results"][0]) == {*ANSWER, "score"}
+
+
+def test_cancelling_ends_the_spark_job(spark):
+    def slow():
+        def wait(batches):
+            import time
+
+            for b in batches:
+                time.sleep(60)
+                yield b
+
+        return spark.range(0, 4, 1, 4).mapInPandas(wait, "id long").count()
+
+    tasks = TaskRegistry(spark)
+    key, began = tasks.start("slow", slow), time.time()
+    while not tasks.share(key)["jobs"] and time.time() - began < 30:
+        time.sleep(0.1)
+    assert tasks.share(key)["tasks"] >= 4 and tasks.cancel(key) == "success"
+    while tasks.share(key)["jobs"] and time.time() - began < 50:
+        time.sleep(0.1)
+    assert time.time() - began < 50 and tasks.tasks[key]["status"] == "cancelled" and tasks.cancel(key) == "not_found"
+    with pytest.raises(Cancelled):
+        tasks.checked(key)
