@@ -136,7 +136,9 @@ def function_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return repository.of_file(_parts(spark, sf), GOAL).select("rowid", "semantic_type")
+    """All chunks of the file that holds the first part."""
+    rows = _parts(spark, sf)
+    return repository.of_file(rows, rows.where("rowid = 1").first()["file_path"]).select("rowid", "semantic_type")
 
 
 ENDS = ("py", "JS", "tsx", "rs", "HTM", "html", "cc", "yml", "md", "h")
@@ -245,7 +247,7 @@ def oracle_sql() -> dict[str, str]:
         "migration_check": "select count(*) total, count(*) filter (vec_id % 10 > 0) with_vector, count(*) filter (vec_id % 10 > 0) migrated, true complete from embeddings",
         "pairwise_cosine": "with v as (select vec_id, cast(embedding as double[]) e from embeddings) select x.vec_id, round(list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))), 4) similarity from v x join v y on y.vec_id = x.vec_id + 1",
         "function_lookup": f"with {_PC} select rowid, file_path from pc where function_name = 'red_ring' order by rowid limit 5",
-        "file_scan": f"with {_PC} select rowid, case when function_name is not null then 'function_definition' else 'class_definition' end semantic_type from pc where file_path = '{GOAL}'",
+        "file_scan": f"with {_PC} select rowid, case when function_name is not null then 'function_definition' else 'class_definition' end semantic_type from pc where file_path = (select file_path from pc where rowid = 1)",
         "file_languages": f"with {paths} select p_partkey, {named(files.LANGUAGES)} scanned, {named(files.DETECTED)} detected, {named(files.EXTRACTED)} extracted, {named(files.UPDATED)} updated from pt",
         "glob_excludes": f"with {paths} select p_partkey, {left_out([*files.EXCLUDED, '*red_*.p?'], True)} by_index, {left_out([g.replace('**', '*') for g in files.UPDATE_EXCLUDED], False)} by_update from pt",
     }
