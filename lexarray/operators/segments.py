@@ -18,7 +18,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from lexarray.operators.bm25 import K1, B, query_terms
 #: So many segments of like size become one.
 FANOUT = 4
 #: Documents in a range, as a power of two.
-RANGE_BITS = 5
+RANGE_BITS = 6
 #: Ranges that a search names in its filter, so that files skip the others; more are joined.
 NAMED = 512
 #: Room for rounding errors of bounds and scores.
@@ -37,40 +39,34 @@ _ROOM = 1e-9
 _DOCS = "doc long, path string, language string, dl int, terms array<string>, tfs array<int>, range long"
 _POSTINGS = "term string, range long, language string, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>"
 _DEAD = "doc long, dl int, terms array<string>, before long"
-_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-_BLOCK_TYPES = {"term": pa.string(), "range": pa.int64(), "language": pa.string(), "n": pa.int32(), "max_tf": pa.int32(), "min_dl": pa.int32(), "docs": _LONGS, "tfs": _INTS, "dls": _INTS}
-#: Blocks that a task gives out at a time.
-_ROWS = 1 << 14
+#: Documents that are turned into blocks together: whole ranges.
+_DOCS_AT_ONCE = 1 << 11
 _EMPTY = {"version": 0, "segments": [], "tombstones": [], "docs": 0, "length": 0, "marks": {}}
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by range turned into blocks by term and language; documents of a range come one after the other."""
-    held: dict[tuple[str, str | None], list[tuple[int, int, int]]] = {}
-    now, rows = None, []
-
-    def packed() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_BLOCK_TYPES)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _BLOCK_TYPES.values(), strict=True)], list(_BLOCK_TYPES))
-
-    def close() -> None:
-        for (term, language), own in held.items():
-            docs, tfs, dls = zip(*own, strict=True)
-            rows.append((term, now, language, len(own), max(tfs), min(dls), docs, tfs, dls))
-        held.clear()
-
+    """Documents with their terms turned into blocks by range, language and term: whole batches are sorted at once. A range that
+    lies in two batches has two blocks of a term, which only makes its bound larger."""
     for batch in batches:
-        for doc, language, dl, terms, tfs, place in zip(*(batch.column(c).to_pylist() for c in ("doc", "language", "dl", "terms", "tfs", "range")), strict=True):
-            if place != now:
-                close()
-                now = place
-                if len(rows) >= _ROWS:
-                    yield packed()
-                    rows = []
-            for term, tf in zip(terms, tfs, strict=True):
-                held.setdefault((term, language), []).append((doc, tf, dl))
-    close()
-    yield packed()
+        for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
+            part = batch.slice(at, _DOCS_AT_ONCE)
+            column = {n: part.column(n) for n in part.schema.names}
+            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(column["terms"]).to_numpy(zero_copy_only=False))
+            if not len(owner):
+                continue
+            terms, language = column["terms"].flatten().dictionary_encode(), column["language"].dictionary_encode("encode")
+            code, tongue = terms.indices.to_numpy().astype(np.int64), language.indices.to_numpy().astype(np.int64)
+            ranges, place = np.unique(column["range"].to_numpy(), return_inverse=True)
+            key = (place[owner] * len(language.dictionary) + tongue[owner]) * len(terms.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            tf, dl = column["tfs"].flatten().to_numpy()[order], column["dl"].to_numpy()[owner]
+            ends = pa.array(np.append(first, len(key)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (column["doc"].to_numpy()[owner], tf, dl)]
+            head = [terms.dictionary.take(pa.array(code[order][first])), pa.array(ranges[place[owner[first]]]), language.dictionary.take(pa.array(tongue[owner[first]]))]
+            counts = [pa.array(x.astype(np.int32)) for x in (np.diff(np.append(first, len(key))), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first))]
+            yield pa.RecordBatch.from_arrays([*head, *counts, *lists], ["term", "range", "language", "n", "max_tf", "min_dl", "docs", "tfs", "dls"])
 
 
 class Segments:
@@ -229,7 +225,7 @@ class Segments:
         numbered.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).write.parquet(f"{self.folder}/{name}/docs")
         docs = self.spark.read.schema(_DOCS).parquet(f"{self.folder}/{name}/docs")
         blocks = docs.mapInArrow(_blocks, _POSTINGS).repartitionByRange("term", "range")  # a term that every document holds is spread over ranges
-        blocks.sortWithinPartitions("term", "range").write.parquet(f"{self.folder}/{name}/postings")
+        blocks.sortWithinPartitions("term", "range").write.option("compression", "zstd").parquet(f"{self.folder}/{name}/postings")
         return seen.get
 
     def _merge(self, m: dict) -> int:
