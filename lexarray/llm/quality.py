@@ -25,7 +25,7 @@ class Rule(NamedTuple):
     high: float | None
 
 
-#: The threshold table.
+#: The threshold table. A rule says nothing of a text for which its ratio is not defined, which is null.
 RULES = (
     Rule("words_too_short", "mean_word_chars", 2.5, None),
     Rule("words_too_long", "mean_word_chars", None, 12.0),
@@ -38,6 +38,8 @@ RULES = (
 _SPACE = " \t\n\x0b\f\r"
 _GAP = r"[\x20\x09-\x0D]+"
 _WINDOW = 8
+#: Scripts that are written without spaces between words.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -54,21 +56,28 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
     return F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns of q: the counts and ratios of every whole text, in one struct.
+def with_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", stop_words: dict[str, str] = STOP_WORDS) -> DataFrame:
+    """docs, as struct d, with the counts and ratios of every whole text.
 
-    Words are maximal runs without ASCII white space. Null texts have none. n_repeat_words counts the words
+    stop_ratio is counted with the words of all languages listed, as labels may be wrong, and null for texts of
+    other languages and of none; mean_word_chars is null where most characters are of scripts without spaces. Words are maximal runs without ASCII white space. Null texts have none. n_repeat_words counts the words
     inside 8-word windows that occur at least twice in the text, the first occurrence included.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     body = F.btrim(text, F.lit(_SPACE))
-    out = docs.select(F.struct(*docs.columns).alias("d"), text.alias("t"), F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, _GAP)).alias("w"))
+    lang = F.lower(F.substring_index(F.col(lang_col).cast("string"), "-", 1)) if lang_col in docs.columns else F.lit(None).cast("string")
+    out = docs.select(F.struct(*docs.columns).alias("d"), lang.isin(list(stop_words)).alias("listed"), text.alias("t"), F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, _GAP)).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
+    stop = sorted({w for words in stop_words.values() for w in words.split()})
+    joined = F.array_join("w", "")
+    unspaced = F.length(F.regexp_replace(joined, "[^" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "]+", ""))
     out = out.select(
         "d",
+        "listed",
+        # a text with most characters of three bytes has over two bytes a character; others need no second look
+        F.when(F.octet_length(joined) > 2 * F.length(joined), 2 * unspaced > F.length(joined)).otherwise(False).alias("unspaced"),
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.length(joined).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         lines.alias("l"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(stop))).alias("n_stop"),
@@ -92,34 +101,35 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_symbols",
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        _share(F.col("word_chars"), F.col("n_words")).alias("mean_word_chars"),
+        F.when(~F.col("unspaced"), _share(F.col("word_chars"), F.col("n_words"))).alias("mean_word_chars"),
         _share(F.col("n_symbols"), F.col("n_words")).alias("symbol_ratio"),
-        _share(F.col("n_stop"), F.col("n_words")).alias("stop_ratio"),
+        F.when(F.col("listed"), _share(F.col("n_stop"), F.col("n_words"))).alias("stop_ratio"),
         _share(F.col("n_letter"), F.col("n_words")).alias("letter_ratio"),
         _share(F.size("l") - F.size(F.array_distinct("l")), F.size("l")).alias("dup_line_ratio"),
     )
     return out
 
 
-def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judged(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, **options: object) -> DataFrame:
     """Every row of docs, as struct d, with its counts, ratios, base_failed, failed_rules and kept.
 
     base_failed: under 20 words, or over 30 % of the words repeated. kept: not base_failed and no rule of the
-    table fails. Cases: null, empty and wordless texts have no words and fail the base; repeated rows get equal
+    table fails; a rule fails no text for which its ratio is null. Cases: null, empty and wordless texts have no words and fail the base; repeated rows get equal
     results; an empty table gives no rows; columns of docs may have any names, as they stay inside d.
     """
-    out = with_counts(docs, text_col)
+    out = with_counts(docs, text_col, **options)
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).withColumn("failed_rules", compiled(rules))
     # the partition's number keeps a later filter above these projections: pushed through them it would repeat every expression
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.spark_partition_id() >= 0))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, lang_col: str = "lang", **options: object) -> DataFrame:
     """doc_id, the counts, base_failed, kept and failed_rules of every row of docs; the cases are those of judged()."""
-    out = judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", rules)
+    lang = [F.col(lang_col).alias("lang")] if lang_col in docs.columns else []
+    out = judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *lang), "text", rules, **options)
     return out.select("d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
-def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, **options: object) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    return judged(docs, text_col, rules).where("kept").select("d.*")
+    return judged(docs, text_col, rules, **options).where("kept").select("d.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexarray.llm.quality import RULES, STOP_WORDS
+from lexarray.llm.quality import RULES, STOP_WORDS, UNSPACED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,26 +27,26 @@ from d left join hit using (rid) left join items using (rid)"""
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for x in STOP_WORDS.values() for w in x.split()}))
 _METRIC = {
-    "mean_word_chars": "case when n_words > 0 then word_chars / n_words else 0 end",
+    "mean_word_chars": "case when n_words = 0 then 0 when 2 * n_unspaced <= word_chars then word_chars / n_words end",
     "symbol_ratio": "case when n_words > 0 then n_symbols / n_words else 0 end",
-    "stop_ratio": "case when n_words > 0 then n_stop / n_words else 0 end",
+    "stop_ratio": f"case when lower(split_part(lang, '-', 1)) not in ({', '.join(map(repr, STOP_WORDS))}) then null when lang is null then null when n_words > 0 then n_stop / n_words else 0 end",
     "letter_ratio": "case when n_words > 0 then n_letter / n_words else 0 end",
     "dup_line_ratio": "case when n_lines > 0 then n_dup_lines / n_lines else 0 end",
 }
 _BAD = ", ".join(f"case when {' or '.join([f'({_METRIC[r.metric]}) < {r.low}'] * (r.low is not None) + [f'({_METRIC[r.metric]}) > {r.high}'] * (r.high is not None))} then '{r.name}' end" for r in RULES)
 
-#: The rows and columns of the quality rules over a relation src(doc_id, text), keyed by rid.
+#: The rows and columns of the quality rules over a relation src(doc_id, text, lang), keyed by rid.
 _OP4 = rf"""
 q0 as (select src.*, row_number() over () rid from src),
-q1 as (select rid, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from q0),
+q1 as (select rid, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from q0),
 q2 as (select rid, i, array_to_string(w[i:i + 7], ' ') g from (select rid, w, unnest(range(1, len(w) - 6)) i from q1)),
 q3 as (select rid, i from q2 qualify count(*) over (partition by rid, g) > 1),
 q4 as (select rid, count(distinct p) n from (select rid, unnest(range(i, i + 8)) p from q3) group by rid),
-q5 as (select q1.rid, len(w) n_words, len(array_to_string(w, '')) word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(l) n_lines,
+q5 as (select q1.rid, lang, len(regexp_extract_all(t, '[{"".join(chr(92) + "p{" + x + "}" for x in UNSPACED)}]')) n_unspaced, len(w) n_words, len(array_to_string(w, '')) word_chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(l) n_lines,
   len(l) - len(list_distinct(l)) n_dup_lines, coalesce(n, 0) n_repeat_words, len(list_filter(w, lambda x: lower(x) in ({_STOP}))) n_stop, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) n_letter
   from q1 left join q4 using (rid)),
 q6 as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, list_filter([{_BAD}], lambda x: x is not null) failed from q5),
-q7 as (select q0.* exclude (rid), q6.* exclude (rid), not base_failed and len(failed) = 0 kept from q0 join q6 using (rid))"""
+q7 as (select q0.* exclude (rid), q6.* exclude (rid, lang), not base_failed and len(failed) = 0 kept from q0 join q6 using (rid))"""
 
 OP4 = f"""with src as (select * from documents),{_OP4}
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words,
