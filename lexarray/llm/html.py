@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -51,7 +52,9 @@ class Page:
         self.texts: list[tuple[int, str]] = []
         self.links: list[int] = []
         stack: list[tuple[str, int]] = [("body", 0)]
-        opened: Counter[str] = Counter()
+        # where in the stack each name, and any block, stands: no search has to walk the elements between
+        places: dict[str, list[int]] = defaultdict(list)
+        blocks: list[int] = []
         raw = link = 0
         buffer: list[str] = []
         linked = 0
@@ -70,8 +73,10 @@ class Page:
             for name, _ in stack[k:]:
                 raw -= name in RAW
                 link -= name == "a"
-                opened[name] -= 1
+                places[name].pop()
             del stack[k:]
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
 
         at, end = 0, len(html)
         while at < end:
@@ -91,9 +96,9 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                if opened[name] > 0:  # what is searched is closed, so that all searches together are linear
-                    k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
-                    if any(x[0] in BLOCKS for x in stack[k:]):
+                if places[name]:
+                    k = places[name][-1]
+                    if blocks and blocks[-1] >= k:
                         flush()
                     pop_to(k)
                 elif name in BLOCKS:
@@ -111,21 +116,12 @@ class Page:
             if block:
                 flush()
                 shut, walls = _CLOSES.get(name, ()), _WITHIN.get(name, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-                if shut:
-                    low = None
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in walls:
-                            break
-                        if stack[k][0] in shut:
-                            low = k
-                    if low is not None:
-                        pop_to(low)
+                if blocks and stack[blocks[-1]][0] == "p":
+                    pop_to(blocks[-1])
+                wall = max((places[x][-1] for x in walls if places[x]), default=0)
+                low = min((places[x][k] for x in shut if (k := bisect(places[x], wall)) < len(places[x])), default=None)
+                if low is not None:
+                    pop_to(low)
             if name in VOID:
                 continue
             if name in _LITERAL:
@@ -150,8 +146,10 @@ class Page:
                 self.bad.append(bad)
                 self.mark.append(mark)
                 node = len(self.tag) - 1
+            places[name].append(len(stack))
+            if block:
+                blocks.append(len(stack))
             stack.append((name, node))
-            opened[name] += 1
             raw += name in RAW
             link += name == "a"
         flush()

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 
@@ -94,3 +95,10 @@ def test_place_of_the_first_text_and_open_tags():
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>Some words of text that stand here.</p>")] * 3, "page_id long, url string, html string")
     assert len({tuple(r) for r in extracted(df).collect()}) == 1 and extracted(df).count() == 3
+
+
+def test_pages_of_many_open_elements_take_linear_time():
+    for a, b in (("<div>", "<td>x"), ("<b>", "<hr>"), ("<i>", "<li>x"), ("<b>", "</i>x"), ("<table><tr>", "</b><td>x")):
+        began = time.process_time()
+        Page(a * 40000 + b * 40000)
+        assert time.process_time() - began < 5
