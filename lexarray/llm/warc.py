@@ -61,8 +61,8 @@ def with_originals(pages: DataFrame, key: str, digest: str, size: str, least: in
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, records_per_file: int = 5000, file_bytes: int = FILE_BYTES) -> None:
     """A record for each row of pages, in files under path of at most records_per_file records and file_bytes of payload.
 
-    Payloads of more than an equal share of a file's bytes go into files of their own folder, so many in
-    each as the largest of them allows; only a payload above file_bytes exceeds them, alone in its file.
+    Payloads of more than an equal share of a file's bytes go into files of their own folder, each task beginning
+    a new one before the next record would exceed it; only a payload above file_bytes does, alone in its file.
 
     Of rows with equal payloads of at least `least` bytes the one with the smallest id is a response and
     the others are revisits of it; all others are responses. Null html is an empty payload; null urls give
@@ -92,12 +92,25 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     )
     record = F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")))
     share = file_bytes // records_per_file
-    largest = pages.select(F.max(F.octet_length(payload))).first()[0] or 0
-    parts = [("small", F.col("size") <= share, records_per_file)]
-    if largest > share:
-        parts.append(("large", F.col("size") > share, max(1, min(records_per_file, file_bytes // largest))))
-    for name, some, records in parts:
-        rows.where(some).select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/{name}")
+    written = F.when(revisit, 0).otherwise(F.col("size"))
+    out = rows.select(record.alias("value"), written.alias("written"))
+    out.where(F.col("written") <= share).select("value").write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).text(f"{path}/small")
+    if pages.where(F.octet_length(payload) > share).isEmpty():
+        return
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = held = n = 0
+        for batch in batches:
+            files = []
+            for size in batch.column(1).to_pylist():
+                if n == records_per_file or n and held + size > file_bytes:
+                    file, held, n = file + 1, 0, 0
+                held, n = held + size, n + 1
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.int32())], ["value", "file"])
+
+    large = out.where(F.col("written") > share).mapInArrow(filed, "value string, file int")
+    large.write.partitionBy("file").option("lineSep", _CRLF * 2).text(f"{path}/large")
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")

@@ -67,6 +67,15 @@ def test_files_are_bounded_by_bytes(spark, tmp_path):
         assert all(len(f) <= 10 and (sum(f) <= limit or len(f) == 1 or sum(f) == 0) for f in files.values())
 
 
+def test_one_huge_page_does_not_split_the_others(spark, tmp_path):
+    rows = [(i, "u", chr(97 + i % 26) * (4000 + i)) for i in range(300)] + [(300, "u", "z" * 6_400_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    write_warc(df, str(tmp_path / "w"), file_bytes=12_800_000)
+    back = read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.page_id for r in back) == list(range(301)) and all(r.valid for r in back)
+    assert len({r.path for r in back}) <= 2
+
+
 def test_a_broken_chain_ends_there(spark):
     links = spark.createDataFrame([("f", 0, 10), ("f", 10, 25), ("f", 30, 40), ("g", 5, 9)], "path string, at long, next long")
     assert sorted(tuple(r) for r in reachable(links).collect()) == [("f", 0), ("f", 10)]
