@@ -92,9 +92,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     )
     record = F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload")))
     share = file_bytes // records_per_file
-    written = F.when(revisit, 0).otherwise(F.col("size"))
-    out = rows.select(record.alias("value"), written.alias("written"))
-    out.where(F.col("written") <= share).select("value").write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).text(f"{path}/small")
+    # by size, so that a pass drops the other's rows before it works out their digests
+    rows.where(F.col("size") <= share).select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).text(f"{path}/small")
     if pages.where(F.octet_length(payload) > share).isEmpty():
         return
 
@@ -109,7 +108,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                 files.append(file)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.int32())], ["value", "file"])
 
-    large = out.where(F.col("written") > share).mapInArrow(filed, "value string, file int")
+    large = rows.where(F.col("size") > share).select(record.alias("value"), F.when(revisit, 0).otherwise(F.col("size")).alias("written")).mapInArrow(filed, "value string, file int")
     large.write.partitionBy("file").option("lineSep", _CRLF * 2).text(f"{path}/large")
 
 
