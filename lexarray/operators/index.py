@@ -6,7 +6,6 @@ of other files stay where they are. Readers never see half of a commit, and a lo
 
 from __future__ import annotations
 
-import json
 import os
 import time
 import uuid
@@ -25,6 +24,7 @@ from lexarray.settings import Settings, codebase
 from lexarray.sources.files import discover, git_changes, git_commit, git_names, in_work_tree
 
 RECORDS = "path string, file_hash string, last_indexed timestamp, language string, chunk_ids array<string>, dependencies array<string>"
+LOG = "session string, lines array<string>, counters map<string, double>"
 CHUNKS = f"{SCHEMA}, language string, rowid long, embedding array<float>"
 
 
@@ -68,10 +68,10 @@ class Session:
         done = self.counts["files_processed"]
         return {"session": self.id, **self.counts, "total_processing_time": spent, "average_file_time": spent / done if done else 0, "success_rate": done / max(1, self.counts["files_discovered"]) * 100}
 
-    def write(self, path: str) -> None:
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "w") as f:
-            f.write("\n".join([*self.lines, json.dumps(self.summary())]) + "\n")
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Appends the run as one row of a table that all executors share."""
+        row = self.summary()
+        spark.createDataFrame([(row.pop("session"), self.lines, {k: float(v) for k, v in row.items()})], LOG).coalesce(1).write.mode("append").parquet(path)
 
 
 def progress(done: int, total: int) -> float:
@@ -133,6 +133,14 @@ class IndexStore:
         below = every.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"))
         return graph.resolve(modules, below).select("dep_path", "dependent")
 
+    def log(self) -> DataFrame:
+        """The runs so far, one row each, from a table beside the index; clearing the index keeps it."""
+        path = f"{self.folder}_log"
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(path)
+
     def clear(self) -> None:
         self.segments.clear()
 
@@ -188,6 +196,12 @@ class IndexStore:
         """Indexes a folder: in full where nothing is indexed, else what has changed; languages and exclusions hold both times.
         use_git: in a work tree only files that git names are read; elsewhere all are."""
         root, session = codebase(root), Session()
+        told = report
+
+        def report(phase: str, share: float) -> None:
+            session.log(f"{phase} {share:g}%")
+            told(phase, share)
+
         report("discovering", 0.0)
         store, marks = self.segments, self.segments.manifest()["marks"]
         first = self.records().isEmpty()
@@ -195,9 +209,11 @@ class IndexStore:
         dirty = (git_names(root, commit) or []) if commit else []
         files = graph.cut(discover(self.spark, root, languages, exclude, self.settings.max_file_mb, None if first or not use_git else self._named(root)))
         changes = graph.cut(files.select("path", F.lit("new").alias("status")) if first else self.changes(root, files, use_git))
-        counts = {r[0]: r[1] for r in changes.groupBy("status").count().collect()}
-        session.add("files_discovered", files.count())
+        tally = changes.select("status").unionByName(files.select(F.lit("discovered").alias("status")))
+        counts = {r[0]: r[1] for r in tally.groupBy("status").count().collect()}  # four rows at most
+        session.add("files_discovered", counts.pop("discovered", 0))
         if not counts:
+            session.write(self.spark, f"{self.folder}_log")
             return {"status": "up_to_date", "session": session.summary()}
         report("parsing", 25.0)
         gone = changes.where("status in ('deleted', 'modified')")
@@ -219,4 +235,5 @@ class IndexStore:
         session.add("chunks_created", n), session.add("embeddings_generated", n), session.add("files_processed", seen)
         session.add("database_operations", 3)
         report("completed", 100.0)
+        session.write(self.spark, f"{self.folder}_log")
         return {"status": "success", "changes": {k: counts.get(k, 0) for k in ("new", "modified", "deleted")}, "languages_detected": sorted(r[0] for r in self.records().select("language").distinct().collect()), "written": done, "session": session.summary()}

@@ -134,6 +134,21 @@ def route(query: str) -> tuple[str, str]:
     return "general", query
 
 
+def _plain(pattern: str) -> str:
+    """A pattern for texts of all languages and lines, as Python's own engine reads it."""
+    return pattern.replace(".", r"[^\n]").replace(r"\w", r"[\p{L}\p{N}_]")
+
+
+def route_of(query: Column) -> Column:
+    """route() for a column of queries: a struct of field and value."""
+    low = F.lower(query)
+    out = F.struct(F.lit("general").alias("field"), query.alias("value"))
+    for test, field, capture in reversed(ROUTES):
+        found = F.struct(F.lit(field).alias("field"), F.regexp_extract(low, _plain(capture), 1).alias("value"))
+        out = F.when(low.rlike(_plain(test)), found).otherwise(out)
+    return out
+
+
 def search_metadata(chunks: DataFrame, query: str, n: int = 50) -> DataFrame:
     field, value = route(query)
     if field == "return_type":
@@ -194,3 +209,10 @@ def expand_query(query: str, most: int = 5) -> list[str]:
     """The query, then with one more word each, at most `most` in all."""
     low = query.lower()
     return [query, *(f"{query} {w}" for base, words in EXPANSIONS.items() if base in low for w in words if w not in low)][:most]
+
+
+def expanded(query: Column, most: int = 5) -> Column:
+    """expand_query() for a column of queries: an array."""
+    low = F.lower(query)
+    more = [F.when(low.contains(base) & ~low.contains(w), F.concat_ws(" ", query, F.lit(w))) for base, words in EXPANSIONS.items() for w in words]
+    return F.slice(F.array_compact(F.array(query, *more)), 1, most)

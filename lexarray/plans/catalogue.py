@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexarray.plans import analysis_queries, code_queries, index_queries, repository_queries, search_queries
+from lexarray.plans import analysis_queries, code_queries, index_queries, repository_queries, search_queries, tool_queries
 
-_MODULES = (search_queries, analysis_queries, repository_queries, code_queries, index_queries)
+_MODULES = (search_queries, analysis_queries, repository_queries, code_queries, index_queries, tool_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

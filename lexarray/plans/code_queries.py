@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexarray.operators import repository
 from lexarray.operators.chunking import register
 from lexarray.operators.chunking import syntactic_chunks as chunk
 from lexarray.operators.embed import embedded
@@ -73,6 +74,13 @@ def chunks_in_sql(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("select c.semantic_type, f.language, count(*) n, sum(length(c.content)) chars, sum(c.complexity_score) complexity from {files} f, lateral code_chunks(f.path, f.language, f.content) c group by 1, 2", files=_files(spark, sf))
 
 
+def file_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """What each file imports and depends on, its lines, functions and classes."""
+    files = _files(spark, sf)
+    rows = repository.file_metadata(files, chunk(files))
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("imports", "dependencies")})
+
+
 def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The signs of the default model's vectors, which are those of whole numbers."""
     rows = embedded(chunks_from_documents(table(spark, sf, "documents")))
@@ -91,7 +99,7 @@ def streaming_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (syntactic_chunks, code_metadata, chunks_in_sql, embed_chunks, streaming_index)}
+    return {f.__name__: f for f in (syntactic_chunks, code_metadata, chunks_in_sql, file_metadata, embed_chunks, streaming_index)}
 
 
 _PARTS = r"""p as (select p_partkey % 4 kind, 'part/' || p_partkey file_path, regexp_replace(lower(p_name), '[^a-z]', '_', 'g') f, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') b, p_type t, p_name n, chr(10) nl from part),
@@ -116,6 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "syntactic_chunks": f"with {_PARTS} select file_path, cast(2 - kind as int) start_line, cast(9 - 2 * kind as int) end_line, case kind when 0 then 'function_definition' else 'class_declaration' end semantic_type, content from c",
         "code_metadata": f"with {_PARTS} {_META}",
         "chunks_in_sql": f"with {_PARTS} select case kind when 0 then 'function_definition' else 'class_declaration' end semantic_type, case kind when 0 then 'python' else 'javascript' end as language, count(*) n, cast(sum(len(content)) as bigint) chars, cast(case kind when 0 then 2 * count(*) end as bigint) complexity from c group by kind",
+        "file_metadata": "select 'part/' || p_partkey file_path, case p_partkey % 4 when 1 then 'javascript' when 2 then 'text' else 'python' end as language, case p_partkey % 4 when 0 then 'import os' end imports, case p_partkey % 4 when 0 then 'os' end dependencies, cast(case p_partkey % 4 when 0 then 9 when 1 then 7 else 1 end as int) total_lines, cast(p_partkey % 4 = 0 as bigint) total_functions, cast(p_partkey % 4 = 1 as bigint) total_classes from part",
         "embed_chunks": f"with {_SIGNS} select rowid, string_agg(case when s > 0 then '+' when s < 0 then '-' else '0' end, '' order by g.k) signs from g left join s on s.doc_id = rowid and s.k = g.k group by rowid",
         "streaming_index": r"with l as (select source || '/' || doc_id file_path, string_split(text, chr(10)) l from documents), w as (select file_path, l, unnest(range(0, len(l), 12)) a from l) select file_path, cast(a + 1 as int) start_line, cast(least(a + 15, len(l)) as int) end_line from w where regexp_matches(array_to_string(l[a + 1:a + 15], chr(10)), '[^\s]')",
     }

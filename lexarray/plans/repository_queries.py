@@ -90,7 +90,7 @@ def import_extract(spark: SparkSession, sf: str) -> DataFrame:
 def relevance_score(spark: SparkSession, sf: str) -> DataFrame:
     words = F.split("text", r"\s+")
     docs = table(spark, sf, "documents")
-    score = quality.relevance(F.lit("the thand table anthor"), F.col("text"), F.concat_ws("_", F.get(words, 1), F.get(words, 2)), F.get(words, 3), F.substring("text", 1, 60))
+    score = quality.relevance(F.lit("the thand table anthor"), F.col("text"), F.concat_ws("_", F.get(words, 1), F.get(words, 2)), F.get(words, 3), F.col("text"))
     return docs.select("doc_id", F.round(score, 6).alias("score"))
 
 
@@ -240,7 +240,7 @@ def oracle_sql() -> dict[str, str]:
         "file_summary": f"with {_PC}, su as (select file_path, list_sort(list_distinct(flatten(list(imports)))) i, list_sort(list_distinct(flatten(list(deps)))) d, list_sort(list_distinct(list(function_name) filter (function_name is not null))) f, list_sort(list_distinct(list(class_name) filter (class_name is not null))) c from pc group by file_path) select file_path, array_to_string(i, ',') imports, array_to_string(d, ',') dependencies, coalesce(array_to_string(f, ','), '') functions, coalesce(array_to_string(c, ','), '') classes from su",
         "import_targets": "with w as (select p_partkey, p_partkey % 5 k, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b from part) select p_partkey, case when k < 2 then a when k = 2 then b end target, case when k < 2 then a when k = 2 then '../' || a || '/' || b || '.js' when k = 3 then b end dependency from w",
         "import_extract": "with t as (select doc_id, regexp_replace(text, '(?m)^(\\w+) (\\w+)', 'import \\2' || chr(10) || 'from \\1 import x', 'g') x from documents), m as (select doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(x, '(?m)^\\s*import\\s+([A-Za-z_][\\w.]*)', 1), regexp_extract_all(x, '(?m)^\\s*from\\s+([A-Za-z_][\\w.]*)\\s+import', 1)))) m from t) select doc_id, cast(len(m) as bigint) n, md5(array_to_string(m, ',')) digest from m where len(m) > 0",
-        "relevance_score": f"with d as (select doc_id, text, regexp_split_to_array(text, '\\s+') s, substr(text, 1, 60) doc from documents), e as (select *, case when len(s) > 2 then s[2] || '_' || s[3] when len(s) > 1 then s[2] else '' end fn, coalesce(s[4], '') cls from d), f as (select *, regexp_extract_all(lower(fn), '[a-z]+') parts from e), g as (select doc_id, len(list_intersect({query}, list_distinct({low.format(c='text')}))) / 4.0 o, list_sum(list_transform({query}, lambda w: case when {inside.format(c='fn')} then 0.4 when len(list_filter(parts, lambda p: len(w) > 4 and len(p) > 4 and substr(w, 1, {n}) = substr(p, 1, {n}))) > 0 then 0.2 else 0.0 end)) b, case when len(list_filter({query}, lambda w: {inside.format(c='cls')})) > 0 then 0.3 else 0 end c, case when len(list_filter({query}, lambda w: contains(lower(doc), w))) > 0 then 0.2 else 0 end x from f) select doc_id, round(cast(least(1.0, o + b + c + x) as double), 6) score from g",
+        "relevance_score": f"with d as (select doc_id, text, regexp_split_to_array(text, '\\s+') s, text doc from documents), e as (select *, case when len(s) > 2 then s[2] || '_' || s[3] when len(s) > 1 then s[2] else '' end fn, coalesce(s[4], '') cls from d), f as (select *, regexp_extract_all(lower(fn), '[a-z]+') parts from e), g as (select doc_id, len(list_intersect({query}, list_distinct({low.format(c='text')}))) / 4.0 o, list_sum(list_transform({query}, lambda w: case when {inside.format(c='fn')} then 0.4 when len(list_filter(parts, lambda p: len(w) > 4 and len(p) > 4 and substr(w, 1, {n}) = substr(p, 1, {n}))) > 0 then 0.2 else 0.0 end)) b, case when len(list_filter({query}, lambda w: {inside.format(c='cls')})) > 0 then 0.3 else 0 end c, case when len(list_filter({query}, lambda w: contains(lower(doc), w))) > 0 then 0.2 else 0 end x from f) select doc_id, round(cast(least(1.0, o + b + c + x) as double), 6) score from g",
         "chunk_items": f"with {_PC} select rowid, concat_ws(',', 'function:' || function_name, 'class:' || class_name, 'file:' || file_name) items from pc",
         "graded_ndcg": f"with {_PC}, {_JUDGED}, {_ndcg(10)} select query_id, round(v, 6) ndcg from nd10",
         "evaluate_method": f"with {_PC}, {_JUDGED}, {_ndcg(5)}, {_ndcg(10)}, {_pr(5)}, {_pr(10)}, hi as (select query_id, rank, len(list_intersect(items, w)) > 0 hit, len(w) n from rk join wt using (query_id)), ap as (select query_id, sum(x) / any_value(n) v from (select *, sum(cast(hit as int)) over (partition by query_id order by rank) / rank x from hi) where hit group by query_id), mt as ({rows}) select metric, round(avg(v), 6) \"avg\", round(cast(min(v) as double), 6) \"min\", round(cast(max(v) as double), 6) \"max\" from mt group by metric",

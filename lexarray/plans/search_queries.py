@@ -222,7 +222,7 @@ def index_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_type(spark: SparkSession, sf: str) -> DataFrame:
-    asked = F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("item_id") % len(ASKED) + 1).cast("int")), F.substring("text", 1, 12))
+    asked = F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("item_id") % len(ASKED) + 1).cast("int")), "text")
     return table(spark, sf, "benchmark").select("item_id", search.query_type(asked).alias("kind"))
 
 
@@ -230,14 +230,23 @@ def query_type(spark: SparkSession, sf: str) -> DataFrame:
 ASKED = ("return type of", "Import of", "CLASS named", "a method", "any type", "where is")
 
 
+#: What is put before a turn of a conversation to make a question that is routed or expanded.
+ROUTED = ("function that returns", "functions named", "class that inherits from", "class", "import", "anything")
+EXPANDED = ("user auth", "get DATA from config", "plain words", "delete error")
+
+
+def _turns(spark: SparkSession, sf: str, before: tuple[str, ...]) -> DataFrame:
+    rows = chunks_from_conversations(table(spark, sf, "conversations"))
+    first = F.element_at(F.array(*[F.lit(x) for x in before]), (F.col("rowid") % len(before) + 1).cast("int"))
+    return rows.select("rowid", F.concat_ws(" ", first, "content").alias("q"))
+
+
 def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(i, r, x) for i, q in enumerate(("user auth", "get DATA from config", "plain words", "delete error")) for r, x in enumerate(search.expand_query(q))]
-    return spark.createDataFrame(rows, "query_id long, rank long, expanded string")
+    return _turns(spark, sf, EXPANDED).select("rowid", F.posexplode(search.expanded(F.col("q"))).alias("rank", "expanded"))
 
 
 def query_router(spark: SparkSession, sf: str) -> DataFrame:
-    asked = ("function that returns bool", "functions named load", "class that inherits from Base", "class UserManager", "import os", "anything else")
-    return spark.createDataFrame([(i, *search.route(q)) for i, q in enumerate(asked)], "query_id long, field string, value string")
+    return _turns(spark, sf, ROUTED).select("rowid", search.route_of(F.col("q")).alias("r")).select("rowid", "r.field", "r.value")
 
 
 def knn_sql(metric: str = "cosine", k: int = 10, where: str = "", after: str = "") -> str:
@@ -276,8 +285,10 @@ def oracle_sql() -> dict[str, str]:
 
     kinds = "case " + " ".join(f"when {' or '.join(f'contains(lower(a), {chr(39)}{w}{chr(39)})' for w in words)} then '{name}'" for name, words in search.QUERY_TYPES) + " else 'general_search' end"
     asked = "[" + ", ".join(f"'{x}'" for x in ASKED) + "]"
-    expansions = ", ".join(f"({i}, {r}, '{x}')" for i, r, x in [(0, 0, "user auth"), (0, 1, "user auth authenticate"), (0, 2, "user auth login"), (0, 3, "user auth credential"), (0, 4, "user auth token"), (1, 0, "get DATA from config"), (1, 1, "get DATA from config information"), (1, 2, "get DATA from config record"), (1, 3, "get DATA from config entity"), (1, 4, "get DATA from config model"), (2, 0, "plain words"), (3, 0, "delete error"), (3, 1, "delete error remove"), (3, 2, "delete error destroy"), (3, 3, "delete error drop"), (3, 4, "delete error exception")])
-    routes = ", ".join(f"({i}, '{f}', '{v}')" for i, f, v in [(0, "return_type", "s"), (1, "function_name", "s"), (2, "inherits_from", "s"), (3, "class_name", "usermanager"), (4, "import_module", "os"), (5, "general", "anything else")])
+    turns = lambda before: f"a as (select conv_id * 1000 + turn rowid, concat_ws(' ', {list(before)}[cast((conv_id * 1000 + turn) % {len(before)} as int) + 1], text) q from conversations), l as (select rowid, q, lower(q) s from a)"
+    more = ", ".join(f"case when contains(s, '{base}') and not contains(s, '{w}') then q || ' {w}' end" for base, words in search.EXPANSIONS.items() for w in words)
+    in_sql = lambda p: p.replace(".", r"[^\n]").replace(r"\w", r"[\p{L}\p{N}_]")
+    routed = lambda value, other: "case " + " ".join(f"when regexp_matches(s, '{in_sql(t)}') then {value(f, in_sql(c))}" for t, f, c in search.ROUTES) + f" else {other} end"
     return {
         "bm25_topk": f"with {TOKENS}, {bm25_sql(TERMS)} {_TOP}",
         "bm25_unstored": f"with {TOKENS}, {bm25_sql(TERMS)} {_TOP}",
@@ -312,7 +323,7 @@ def oracle_sql() -> dict[str, str]:
         "corpus_stats": "select lang language, count(*) n, cast(sum(n_chars) as bigint) chars from documents group by lang",
         "files_by_chunks": "select 'conv/' || conv_id file_path, count(*) n from conversations group by conv_id order by n desc, file_path limit 15",
         "index_status": "select count(*) n_chunks, count(distinct conv_id) n_files, max(turn) last_line, round(sum(octet_length(encode(text))) / 1048576, 2) size_mb from conversations",
-        "query_type": f"select item_id, {kinds} kind from (select item_id, {asked}[cast(item_id % {len(ASKED)} as int) + 1] || ' ' || substr(text, 1, 12) a from benchmark)",
-        "query_expansion": f"select cast(a as bigint) query_id, cast(b as bigint) rank, c expanded from (values {expansions}) t(a, b, c)",
-        "query_router": f"select cast(a as bigint) query_id, b field, c \"value\" from (values {routes}) t(a, b, c)",
+        "query_type": f"select item_id, {kinds} kind from (select item_id, {asked}[cast(item_id % {len(ASKED)} as int) + 1] || ' ' || text a from benchmark)",
+        "query_expansion": f"with {turns(EXPANDED)}, x as (select rowid, list_filter([q, {more}], lambda e: e is not null)[1:5] x from l) select rowid, cast(unnest(range(len(x))) as int) rank, unnest(x) expanded from x",
+        "query_router": f"""with {turns(ROUTED)} select rowid, {routed(lambda f, c: f"'{f}'", "'general'")} field, {routed(lambda f, c: f"regexp_extract(s, '{c}', 1)", "q")} "value" from l""",
     }

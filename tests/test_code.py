@@ -152,3 +152,10 @@ def test_stored_index_ranks_as_the_unstored(spark, tmp_path):
     assert stored.stats().first() == bm25.stats(index).first()
     after = stored.update(index.where("doc < 5").select("doc"), index.where("doc = 21"), str(tmp_path / "b"))
     assert after.docs.count() == 17
+
+
+def test_routing_and_expansion_as_columns(spark):
+    asked = ["function that returns bool", "Functions named größe_1", "class that inherits from Base", "class\nUserManager", "class A\nB import os", "import", "", "Get user DATA, save error config", "x function\nreturn y", "auth login token"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "i int, q string").select("i", search.route_of(F.col("q")).alias("r"), search.expanded(F.col("q")).alias("x"))
+    for r in rows.collect():
+        assert tuple(r.r) == search.route(asked[r.i]) and r.x == search.expand_query(asked[r.i]), asked[r.i]

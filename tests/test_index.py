@@ -120,9 +120,22 @@ def test_settings_and_session(tmp_path, monkeypatch):
     assert progress(1, 4) == 25.0 and progress(0, 0) == 0.0
     session = Session()
     session.add("files_discovered", 4), session.add("files_processed", 3), session.log("begun")
-    session.write(str(tmp_path / "logs" / "run.log"))
-    lines = (tmp_path / "logs" / "run.log").read_text().split("\n")
-    assert lines[0] == "begun" and json.loads(lines[1])["success_rate"] == 75.0
+    assert session.summary()["success_rate"] == 75.0
+
+
+def test_sessions_are_rows_of_a_table(spark, tmp_path):
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a.py").write_text("def f():\n    return 1\n")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert store.log().collect() == []
+    store.index(str(tmp_path / "code"))
+    store.index(str(tmp_path / "code"))
+    store.clear()
+    first, second = sorted(store.log().collect(), key=lambda r: -len(r.lines))
+    assert first.counters["files_processed"] == first.counters["files_discovered"] == 1 and first.counters["chunks_created"] == 1
+    assert [x.split()[0] for x in first.lines] == ["discovering", "parsing", "embedding", "storing", "completed"]
+    assert second.counters["files_processed"] == 0 and second.lines == ["discovering 0%"]
+
 
 
 def test_evaluation_runs(spark, tmp_path):
