@@ -66,8 +66,9 @@ def _square(x: Column) -> Column:
 
 
 def _tested(c: Column) -> Column:
-    """A candidate with the statistics of the battery."""
-    s = c["s"]
+    """A candidate with its encoding and its symbols' places in the alphabet. Names of joined words, in which each capital
+    is followed by a small letter, count in lower case."""
+    s = F.when(c["s"].rlike("[A-Z](?![a-z])"), c["s"]).otherwise(F.lower(c["s"]))
     body = F.regexp_replace(s, "=+$", "")
     name, alphabet, known = F.lit(None).cast("string"), F.lit(""), F.lit(0)
     for label, pattern, symbols in reversed(ENCODINGS):
@@ -96,9 +97,25 @@ def _measured(c: Column) -> Column:
     return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), n.alias("n"), c["k"].alias("k"), squares.alias("squares"), products.alias("products"), variance.alias("variance"), _total(upper).alias("n1"), _changes(upper).alias("runs"))
 
 
-#: What is not random, as far as the tests are to tell it from random: symbols that repeat as those of words do (the sum
-#: of their squared shares), neighbours with a correlation, and a share of changes about the middle off the expected one.
-WORDLIKE, CORRELATED, UNEVEN = 0.06, 0.5, 0.3
+#: How structured a string has to be not to be random: the correlation of neighbours, and the share of changes about the
+#: middle by which it is off the expected one. Runs, sequences and sorted strings have more of both.
+CORRELATED, UNEVEN = 0.8, 0.4
+
+#: Per mille of the letters a to z in English text, and as how many letters they count beside the corpus's own.
+ENGLISH = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+PRIOR = 10_000
+
+
+def letter_odds(docs: DataFrame, text_col: str = "text") -> tuple[float, float]:
+    """How likely two letters, and three, of a word are the same one: by the counts of A-Z in all whole texts in either case,
+    with ENGLISH as PRIOR letters more, so that a small or empty corpus has odds too, or by ENGLISH alone where its pairs are
+    rarer, as names in code are English in any corpus. Collects 26 numbers."""
+    low = docs.select(F.lower(F.col(text_col)).alias("t"))
+    count = lambda c: F.coalesce(F.sum(F.octet_length("t") - F.octet_length(F.replace("t", F.lit(c)))), F.lit(0))
+    found = low.agg(*[count(chr(97 + i)).alias(f"n{i}") for i in range(26)]).first()
+    counts = [n + PRIOR * e / sum(ENGLISH) for n, e in zip(found, ENGLISH, strict=True)]
+    odds = lambda x: tuple(sum((n / sum(x)) ** power for n in x) for power in (2, 3))
+    return min(odds(counts), odds(ENGLISH))
 
 
 def _below(z: Column) -> Column:
@@ -106,16 +123,21 @@ def _below(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
-def _judged(c: Column) -> Column:
-    """p: of three tests the largest p-value, each of the hypothesis that the string is no more random than words are.
+def _judged(c: Column, odds: tuple[float, float]) -> Column:
+    """p: of three tests the largest p-value, each of the hypothesis that the string is made as words or sequences are.
 
-    Chi-squared: for text of n characters over k symbols it is about k - 1 + (n - 1) (k * WORDLIKE - 1), for random
-    strings k - 1; runs: the share of changes about the middle is off by UNEVEN; serial: the correlation is CORRELATED.
-    A string counts as random only if all three reject, so the largest p-value holds for their combination.
+    Chi-squared: over k symbols it is k (n - 1) U + k - n, where U is the share of pairs of the string's characters that are
+    equal. Under the hypothesis a pair is equal with the corpus's odds for letters (at least twice those of random symbols),
+    which gives the exact mean and variance; the p-value is that of a gamma variable with these, by Wilson and Hilferty.
+    Runs: the share of changes about the middle is off by UNEVEN; serial: the correlation is CORRELATED. A string counts as
+    random only if all three reject, so the largest p-value holds for their combination.
     """
-    n, k = c["n"], c["k"]
-    chi, off = k / n * c["squares"] - n, F.greatest(k * WORDLIKE, F.lit(2.0)) - 1
-    uniform = _below((chi - (k - 1) - (n - 1) * off) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * off))
+    n, k, (two, three) = c["n"], c["k"], odds
+    share = F.greatest(F.lit(two), 2 / k)
+    pairs = n * (n - 1) / 2
+    variance = n * (n - 1) / 4 * (4 * (n - 2) * share * share * (three / two**2 - 1) + 2 * share * (1 - share))
+    spread = variance / (9 * _square(pairs * share))
+    uniform = _below((F.cbrt((c["squares"] - n) / 2 / (pairs * share)) - (1 - spread)) / F.sqrt(spread))
     n1, n0 = c["n1"], n - c["n1"]
     expected = 2 * n1 * n0 / (n * (n - 1))
     runs = F.when((n1 > 0) & (n0 > 0), _below((F.abs(c["runs"] / (n - 1) - expected) - UNEVEN) * F.sqrt(n - 1) / 0.4)).otherwise(1.0)
@@ -124,16 +146,18 @@ def _judged(c: Column) -> Column:
     return F.struct(F.when(fits, F.greatest(uniform, runs, serial)).otherwise(1.0).alias("p"), n.alias("n"), c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"))
 
 
-def scanned(docs: DataFrame, text_col: str = "text", rate: float = 0.02) -> DataFrame:
+def scanned(docs: DataFrame, text_col: str = "text", rate: float = 0.02, odds: tuple[float, float] | None = None) -> DataFrame:
     """docs, as struct d, with base and random: arrays of spans of every whole text.
 
     base spans (start, end, kind 0 to 2) come from the fixed patterns. random spans are strings of 20 or more
     characters of an encoding's alphabet (decimals aside) that do not overlap base spans and that the battery tells from
     words: chi-squared uniformity over the inferred alphabet, runs about its middle and serial correlation give one
     p-value (see _judged), and Benjamini and Hochberg's procedure at `rate` over the text's candidates, each weighted by
-    its share of their length, picks those that are random.
+    its share of their length, picks those that are random; of equal p-values the longer one comes first, then the earlier
+    one. odds: letter_odds() of the texts to compare with, by default of docs.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    odds = odds or letter_odds(docs, text_col)
     kinds = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "cand": (CANDIDATE, 0)}
     out = docs.select(F.struct(*docs.columns).alias("d"), text.alias("t"))
     out = _ends(out.select("d", *[_found(F.col("t"), p, g).alias(n) for n, (p, g) in kinds.items()]), list(kinds))
@@ -145,7 +169,7 @@ def scanned(docs: DataFrame, text_col: str = "text", rate: float = 0.02) -> Data
     out = out.withColumn("cand", clear)
     out = out.withColumn("cand", F.transform("cand", _tested))
     out = out.withColumn("cand", F.transform(F.filter("cand", lambda c: F.size(c["v"]) > 3), _measured))
-    out = out.withColumn("cand", F.transform("cand", _judged))
+    out = out.withColumn("cand", F.transform("cand", lambda c: _judged(c, odds)))
     out = out.withColumn("m", F.size("cand")).withColumn("length", _total(F.transform("cand", lambda c: c["n"])))
     ranked = F.sort_array(F.transform("cand", lambda c: F.struct((c["p"] * F.col("length") / (c["n"] * F.col("m"))).alias("q"), c["start"].alias("start"), c["end"].alias("end"))))
     out = out.withColumn("cand", ranked)
@@ -159,7 +183,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float | tuple[float, float]) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of docs.
 
     spans lists kind:start:end by start, then kind, in code points with the end excluded; base_sha256 is the

@@ -4,7 +4,9 @@ import random
 import re
 import string
 
-from lexarray.llm.secrets import secret_spans
+import pytest
+
+from lexarray.llm.secrets import ENGLISH, letter_odds, secret_spans
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -65,8 +67,20 @@ def test_random_strings_are_found_and_words_are_not(spark):
 CLASSES = (("0-9", "0123456789"), ("0-9a-f", "0123456789abcdef"), ("0-9A-F", "0123456789ABCDEF"), ("A-Z2-7", string.ascii_uppercase + "234567"), ("a-z0-9", string.ascii_lowercase + string.digits), ("A-Za-z0-9+/", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"), ("A-Za-z0-9_-", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"))
 
 
-def p_value(s):
+def odds_of(texts):
+    """From their definition: letters of all texts and 10,000 English ones."""
+    counts = {c: 10000 * e / sum(ENGLISH) for c, e in zip(string.ascii_lowercase, ENGLISH)}
+    for c in "".join(t or "" for t in texts).lower():
+        if c in counts:
+            counts[c] += 1
+    found = [(sum((x / sum(n)) ** 2 for x in n), sum((x / sum(n)) ** 3 for x in n)) for n in (list(counts.values()), ENGLISH)]
+    return found[0] if found[0][0] < found[1][0] else found[1]
+
+
+def p_value(s, odds):
     """The largest p-value of the three tests, from their definitions."""
+    if all(b in string.ascii_lowercase and b for a, b in zip(s, [*s[1:], ""]) if a in string.ascii_uppercase):
+        s = s.lower()
     body = s.rstrip("=")
     for i, (members, alphabet) in enumerate(CLASSES):
         if re.fullmatch(f"[{members}]+" + "=*" * (i in (3, 5, 6)), s):
@@ -77,25 +91,27 @@ def p_value(s):
         return 1.0
     n, k = len(body), len(alphabet)
     phi = lambda z: 1 / (1 + math.exp(min(700, -(1.5976 * z + 0.07056 * z**3))))
-    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
-    off = max(k * 0.06, 2) - 1
-    uniform = phi((chi - (k - 1 + (n - 1) * off)) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * off))
+    share, peaked = max(odds[0], 2 / k), odds[1] / odds[0] ** 2 - 1
+    equal = sum(body[a] == body[b] for a in range(n) for b in range(a))
+    mean, variance = n * (n - 1) / 2 * share, n * (n - 1) / 4 * (4 * (n - 2) * share**2 * peaked + 2 * (share - share**2))
+    c = variance / (9 * mean**2)
+    uniform = phi((math.cbrt(equal / mean) - 1 + c) / math.sqrt(c))
     v = [alphabet.index(c) + 1 for c in body]
     high = [x > k / 2 for x in v]
     changes = sum(a != b for a, b in zip(high, high[1:]))
     if len(set(high)) < 2 or len(set(v)) < 2:
         return 1.0
-    runs = phi((abs(changes / (n - 1) - 2 * sum(high) * (n - sum(high)) / (n * (n - 1))) - 0.3) * math.sqrt(n - 1) / 0.4)
+    runs = phi((abs(changes / (n - 1) - 2 * sum(high) * (n - sum(high)) / (n * (n - 1))) - 0.4) * math.sqrt(n - 1) / 0.4)
     mean = sum(v) / n
     r = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / sum((a - mean) ** 2 for a in v)
-    serial = phi((abs(r + 1 / n) - 0.5) * math.sqrt(n) / math.sqrt(0.75))
+    serial = phi((abs(r + 1 / n) - 0.8) * math.sqrt(n) / 0.6)
     return max(uniform, runs, serial)
 
 
-def random_spans(text, rate=0.02):
+def random_spans(text, odds, rate=0.02):
     base = [tuple(map(int, x.split(":")[1:])) for x in brute(text)[2].split(",") if x]
     found = [m for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text or "") if not any(a < m.end() and m.start() < b for a, b in base)]
-    found = [(p_value(m[0]), len(m[0].rstrip("=")), m.start(), m.end()) for m in found if len(m[0].rstrip("=")) > 3]
+    found = [(p_value(m[0], odds), len(m[0].rstrip("=")), m.start(), m.end()) for m in found if len(m[0].rstrip("=")) > 3]
     total = sum(n for _, n, _, _ in found)
     ranked = sorted((p * total / (n * len(found)), a, b) for p, n, a, b in found)
     last = max([i + 1 for i, (q, _, _) in enumerate(ranked) if q <= rate * (i + 1) / len(ranked)], default=0)
@@ -113,7 +129,8 @@ def test_random_spans_against_brute_force(spark):
     texts += [None, "", texts[0], texts[0], " ".join(strings)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")) for r in secret_spans(df).collect()}
-    assert got == {i: random_spans(t) for i, t in enumerate(texts)}
+    odds = odds_of(texts)
+    assert got == {i: random_spans(t, odds) for i, t in enumerate(texts)}
     assert sum(map(len, got.values())) > 100
 
 
@@ -125,3 +142,25 @@ def test_many_matches_in_one_text(spark):
 def test_no_python_in_the_plan(spark):
     plan = secret_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def share_found(spark, strings):
+    df = spark.createDataFrame([(i, f"some text {s} more") for i, s in enumerate(strings)], "doc_id long, text string")
+    odds = letter_odds(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    return sum("random" in r.spans for r in secret_spans(df, odds=odds).collect()) / len(strings)
+
+
+def test_power_and_false_alarms(spark):
+    rng = random.Random(21)
+    drawn = lambda symbols, n: ["".join(rng.choice(symbols) for _ in range(n)) for _ in range(200)]
+    for symbols, n, least in ((string.ascii_letters + string.digits, 20, 0.8), (string.ascii_letters + string.digits, 32, 0.97), (string.ascii_lowercase + string.digits, 40, 0.9), (string.ascii_lowercase, 64, 0.9)):
+        assert share_found(spark, drawn(symbols, n)) >= least, (len(symbols), n)
+    words = "quick request wrapper factory handler session manager internal property source builder abstract interface provider resource document service message listener security account database function parameter exception".split()
+    names = [sep.join(rng.choice(words).title() if camel else rng.choice(words) for _ in range(rng.randrange(4, 8))) for sep, camel in (("_", False), ("-", False), ("/", False), ("", True), ("", False)) for _ in range(100)]
+    assert share_found(spark, names) <= 0.03
+
+
+def test_letter_odds_of_no_letters_are_those_of_english(spark):
+    none = spark.createDataFrame([(None,), ("",), ("123",)], "text string")
+    for df in (none, none.limit(0)):
+        assert letter_odds(df) == pytest.approx(odds_of([]))
