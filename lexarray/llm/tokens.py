@@ -15,6 +15,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ _CELLS = 512
 _CELL = np.dtype([("key", np.uint64), ("weight", np.int64), ("tokens", np.uint16)])
 #: Entries of a worker's cache, after which it starts anew.
 _CACHE = 1 << 19
+#: Longer pre-tokens go by BLAKE2: a polynomial modulo 2**64 is equal for some long regular ones, whatever its base.
+_LONG = 256
 
 
 def _loaded(definition: str):  # noqa: ANN202
@@ -181,6 +184,8 @@ class Counter:
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _POWERS.up[: len(points)], out=total[1:])
         keys = mix((total[edge[1:]] - total[start]) * _POWERS.down[start] + np.diff(edge).astype(np.uint64))
+        for j in np.flatnonzero(np.diff(edge) > _LONG):
+            keys[j] = int.from_bytes(blake2b(text[edge[j] : edge[j + 1]].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         owner = np.asarray(owners, np.int64)[np.searchsorted(at, start, side="right") - 1]
         return text, keys, edge, owner
 
@@ -189,7 +194,7 @@ class Counter:
         out = self.specials(column)
         for text, keys, edge, owner in self.runs(column):
             cell = (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
-            found = self.keys[cell] == keys
+            found = (self.keys[cell] == keys) & (self.tokens[cell] > 0)  # a cell whose tasks' majorities cancel out keeps a key without a count
             n = np.where(found, self.tokens[cell], 0).astype(np.int64)
             missing = np.flatnonzero(~found)
             if len(missing):

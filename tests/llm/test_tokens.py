@@ -66,3 +66,21 @@ def test_cases(spark, library):
 def test_other_tokenizers_are_refused(spark):
     with pytest.raises(ValueError, match="byte-level"):
         tokens.token_counts(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_several_tasks_with_equal_majorities(spark, library):
+    """A cell in which two tasks' pre-tokens weigh the same has no count, whatever key it keeps."""
+    texts = [f"{name} " * 50 for name in ("alpha", "omega", "banana", "orchestra")] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(8, "doc_id")
+    found = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs, PATH, bits=1).collect()}
+    assert found == {i: want(library, x) for i, x in enumerate(texts)}
+
+
+def test_long_pre_tokens_that_a_polynomial_confuses(library):
+    bits = [bin(k).count("1") % 2 for k in range(1 << 12)]
+    texts = ["".join("az"[b] for b in bits), "".join("za"[b] for b in bits), "".join("eq"[b] for b in bits), "".join("qe"[b] for b in bits)]
+    definition = open(PATH).read()
+    counter = tokens.Counter(definition, tokens._classes(definition), np.zeros(16, np.uint64), np.zeros(16, np.int64))
+    keys = [int(k) for x in texts for _, keys, _, _ in counter.runs(pa.array([x])) for k in keys]
+    assert len(set(keys)) == len(texts)
+    assert counter.counted(pa.array(texts)).tolist() == [want(library, x) for x in texts]
