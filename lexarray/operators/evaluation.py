@@ -27,12 +27,14 @@ def item_score(item: Column, wanted: Column) -> Column:
 
 def graded(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """(query_id, rank, score): the items of all results in order, one after another, with their scores."""
+    flat = ranked.select("query_id", "rank", F.posexplode("items").alias("i", "item"))
     wanted = qrels.groupBy("query_id").agg(F.sort_array(F.collect_set("item")).alias("wanted"))
-    flat = ranked.join(wanted, "query_id", "left").select("query_id", "rank", F.coalesce("wanted", F.array().cast("array<string>")).alias("wanted"), F.posexplode("items").alias("i", "item"))
+    # each different item is compared once, and what is sorted carries its score only
+    scored = flat.select("query_id", "item").distinct().join(wanted, "query_id").select("query_id", "item", item_score(F.col("item"), F.col("wanted")).alias("score"))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "i"))
-    return flat.select("query_id", place.alias("rank"), item_score(F.col("item"), F.col("wanted")).alias("score"))
+    return flat.join(scored, ["query_id", "item"], "left").select("query_id", place.alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def evaluated(ranked: DataFrame, qrels: DataFrame) -> DataFrame:

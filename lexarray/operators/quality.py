@@ -100,12 +100,16 @@ def precision_recall(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def average_precision(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(query_id, ap): precision at each relevant rank, over the number of relevant items; queries without a hit are left out."""
-    flagged = ranked.join(qrels.groupBy("query_id").agg(F.collect_set("item").alias("wanted")), "query_id")
-    flagged = flagged.withColumn("hit", F.arrays_overlap("items", "wanted").cast("int"))
-    running = F.sum("hit").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    flagged = flagged.withColumn("precision", running / F.col("rank"))
-    return flagged.where("hit = 1").groupBy("query_id").agg((F.sum("precision") / F.first(F.size("wanted"))).alias("ap"))
+    """(query_id, ap): precision at each relevant rank, over the number of relevant items; queries without a hit are left out.
+
+    Hits are joined by query and item, so no row carries a query's relevant items; a query has each rank once.
+    """
+    wanted = qrels.where(F.col("item").isNotNull()).select("query_id", "item").distinct()
+    hits = ranked.select("query_id", "rank", F.explode("items").alias("item")).join(wanted, ["query_id", "item"], "left_semi").select("query_id", "rank").distinct()
+    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    running = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    sums = hits.select("query_id", (running / F.col("rank")).alias("precision")).groupBy("query_id").agg(F.sum("precision").alias("total"))
+    return sums.join(sizes, "query_id").select("query_id", (F.col("total") / F.col("relevant")).alias("ap"))
 
 
 def ndcg(scores: DataFrame, k: int) -> DataFrame:

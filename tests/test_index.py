@@ -203,3 +203,14 @@ def test_cancelling_ends_the_spark_job(spark):
     assert time.time() - began < 50 and tasks.tasks[key]["status"] == "cancelled" and tasks.cancel(key) == "not_found"
     with pytest.raises(Cancelled):
         tasks.checked(key)
+
+
+def test_average_precision_carries_no_query_s_items(spark):
+    """Hits are joined by item: no row holds all relevant items of its query."""
+    from lexarray.operators import quality
+
+    ranked = spark.createDataFrame([("q", 1, ["a", "b"]), ("q", 2, ["x"]), ("q", 3, ["b", None]), ("r", 1, ["y"]), ("s", 1, ["a"])], "query_id string, rank int, items array<string>")
+    qrels = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "b"), ("q", "c"), ("q", None), ("r", "z")], "query_id string, item string")
+    out = quality.average_precision(ranked, qrels)
+    assert [(r["query_id"], round(r["ap"], 9)) for r in out.collect()] == [("q", round((1 / 1 + 2 / 3) / 3, 9))]
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
