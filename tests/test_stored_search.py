@@ -1,9 +1,12 @@
 """The inverted file of vectors and the trigram index against exact searches."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexarray.functions.vector import distance
 from lexarray.operators import search
 from lexarray.operators.cells import VectorCells
 from lexarray.operators.trigrams import Trigrams, pattern_grams
@@ -64,3 +67,22 @@ def test_few_rows_are_read(spark, tmp_path):
     index = Trigrams.write(rows, ["content"], str(tmp_path / "i"))
     assert index.candidates("content", "number 1777").count() <= 200
     assert sorted(r.content for r in search.keyword_search(index.narrowed([("content", "number 1777")]), "number 1777").collect()) == sorted(f"text number {i}" for i in [1777, *range(17770, 17780)])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_many_queries_equal_pairs_one_by_one(spark, metric):
+    """Ties of copies, zero vectors, other dimensions, nulls and non-finite components: as distance() has them, in any split."""
+    from pyspark.sql import Window
+
+    pick = random.Random(5)
+    rows = [(i, [float(pick.randint(-2, 2)) for _ in range(3)]) for i in range(300)] + [(i, [1.0, 2.0, 3.0]) for i in range(300, 340)]
+    rows += [(340, [0.0] * 3), (341, None), (342, [1.0, 2.0]), (343, [1.0, None, 2.0]), (344, [float("inf"), 1.0, 1.0]), (345, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 20 = 0 or vec_id > 338").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = queries.join(vectors, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", distance(F.col("embedding"), F.col("q"), metric).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id"))
+    want = pairs.withColumn("rank", rank).where("rank <= 5").collect()
+    for block in (7, 1000):
+        found = search.knn_of(queries, vectors, 5, metric, block=block)
+        assert sorted(map(repr, found.select("query_id", "vec_id", "distance", "rank").collect())) == sorted(map(repr, want))
+    assert "MapInArrow" in search.knn_of(queries, vectors, 5, metric)._jdf.queryExecution().toString()
