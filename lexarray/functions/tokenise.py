@@ -5,15 +5,20 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexarray.functions import text
 
 #: Words a task remembers, after which it starts anew.
-_MEMORY = 1 << 18
+_MEMORY = 1 << 16
+#: Bytes of texts that are split together.
+_RUN = 1 << 20
 
 
 class Tokeniser:
@@ -37,9 +42,14 @@ class Tokeniser:
 
     def __call__(self, content: str | None) -> list[str]:
         out: list[str] = []
-        known = self.known
+        known, stop, raw = self.known, self.stop, self.raw
         for word in self.delimiters.split(content or ""):
             if len(word) > 1:
+                if word.isascii() and word.isalpha() and (word.islower() or word[1:].islower()):  # one part, all letters: nothing to split or remember
+                    low = word.lower()
+                    if raw or len(low) > 2 and low not in stop:
+                        out.append(low)
+                    continue
                 found = known.get(word)
                 if found is None:
                     if len(known) >= _MEMORY:
@@ -49,13 +59,37 @@ class Tokeniser:
         return out
 
 
+def sliced(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about _RUN bytes, so that what Python holds does not grow with an Arrow batch."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _RUN, side="right")))
+        yield texts.slice(a, b - a).to_pylist()
+        a = b
+
+
+def _tokens(texts: pa.Array, language: str | None, raw: bool) -> pa.Array:
+    split, kind = Tokeniser(language, raw), pa.list_(pa.string())
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([split(x) for x in some], kind) for some in sliced(texts))])
+
+
+def _counts(texts: pa.Array, language: str | None) -> pa.Array:
+    split, kinds = Tokeniser(language), (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()))
+    parts = [[pa.array([], t)] for t in kinds]
+    for some in sliced(texts):
+        found = [Counter(split(x)) for x in some]
+        for part, t, values in zip(parts, kinds, ([c.total() for c in found], [list(c) for c in found], [list(c.values()) for c in found]), strict=True):
+            part.append(pa.array(values, t))
+    return pa.StructArray.from_arrays(list(map(pa.concat_arrays, parts)), ["dl", "terms", "tfs"])
+
+
 def tokens(content: Column, language: str | None = None, raw: bool = False) -> Column:
     """text.tokens() or text.raw_tokens() of a text column, by Arrow batches."""
 
     @F.arrow_udf("array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        split = Tokeniser(language, raw)
-        return pa.array([split(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+        return _tokens(texts, language, raw)
 
     return run(text.strip_comments(F.coalesce(content, F.lit("")), language))
 
@@ -65,9 +99,6 @@ def counted(content: Column, language: str | None = None) -> Column:
 
     @F.arrow_udf("struct<dl:int,terms:array<string>,tfs:array<int>>")
     def run(texts: pa.Array) -> pa.Array:
-        split = Tokeniser(language)
-        found = [Counter(split(x)) for x in texts.to_pylist()]
-        columns = [pa.array([c.total() for c in found], pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-        return pa.StructArray.from_arrays(columns, ["dl", "terms", "tfs"])
+        return _counts(texts, language)
 
     return run(text.strip_comments(F.coalesce(content, F.lit("")), language))

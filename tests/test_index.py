@@ -214,3 +214,35 @@ def test_average_precision_carries_no_query_s_items(spark):
     out = quality.average_precision(ranked, qrels)
     assert [(r["query_id"], round(r["ap"], 9)) for r in out.collect()] == [("q", round((1 / 1 + 2 / 3) / 3, 9))]
     assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokenising_a_large_batch_holds_little(spark):
+    """What Python holds is bounded by a run of texts, not by the Arrow batch; results are those of single texts."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from lexarray.functions import tokenise
+
+    texts = [None, ""] + [" ".join(f"w{(i * 7919 + j * 31) % 5000}x" for j in range(300)) for i in range(8000)]
+    column = pa.array(texts)
+    rows, split = spark.createDataFrame(list(enumerate(texts[:50])), "i int, t string"), tokenise.Tokeniser()
+    found = rows.select(tokenise.tokens(rows.t).alias("x"), tokenise.counted(rows.t).alias("c")).orderBy("i").collect()
+    for r, x in zip(found, texts, strict=False):
+        assert r["x"] == split(x) and r["c"]["dl"] == len(split(x))
+        assert dict(zip(r["c"]["terms"], r["c"]["tfs"], strict=True)) == dict(Counter(split(x)))
+    tracemalloc.start()
+    out = tokenise._counts(column, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == len(texts) and peak < 40e6
+
+
+def test_plain_words_are_what_their_parts_are():
+    from lexarray.functions.tokenise import Tokeniser
+
+    words = "plain Plain pLain PLAIN Pl pl PL aB a_b the The THE ab abc éa Éa x1 1x İx".split()
+    for raw in (False, True):
+        split = Tokeniser(raw=raw)
+        assert split(" ".join(words)) == [t for w in words for t in split.parts(w)]
