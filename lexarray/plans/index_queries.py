@@ -80,13 +80,18 @@ def segment_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream of files of documents, with changed, repeated and deleted ones, ends as a batch build of the last versions."""
+    """A stream of files of documents, with changed, repeated and deleted ones, ends as a batch build of the last versions.
+
+    A version has as many files as the table has splits. Files come in the order they were written, so a batch that takes files
+    of two versions changes nothing: the last version of a path counts in it."""
     base = _folder(spark, "stream")
     texts = _texts(spark, sf)
     for version, rows in enumerate((texts, texts.where("doc % 5 = 0").withColumn("content", F.concat_ws(" ", "content", F.lit("changed"))), texts.where("doc % 7 = 0").withColumn("content", F.lit(None).cast("string")), texts.where("doc % 35 = 0"))):
-        rows.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(f"{base}/files")
+        rows.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{base}/files")
+        if not version:
+            per_version = max(1, len(spark.read.parquet(f"{base}/files").inputFiles()))
     store = Segments(spark, f"{base}/store")
-    files = spark.readStream.schema("doc long, path string, language string, content string, version int").option("maxFilesPerTrigger", 1).parquet(f"{base}/files")
+    files = spark.readStream.schema("doc long, path string, language string, content string, version int").option("maxFilesPerTrigger", per_version).parquet(f"{base}/files")
     stream_segments(files, store, f"{base}/checkpoint").awaitTermination()
     rows = store.documents().groupBy("language").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"), F.sum(F.array_contains("terms", "changed").cast("int")).alias("n_changed")).collect()  # a row a language
     path, fs = Segments(spark, base)._at(".")

@@ -132,3 +132,22 @@ def test_driver_asks_git(spark, work_tree, tmp_path):
     assert {os.path.basename(r.path) for r in store.records().collect()} == {"a.py", "b.py"}
     assert store.chunks().where("content like '%dirty%'").isEmpty() and not store.bm25().search("b_changed", 1).isEmpty()
     assert out["written"]["docs_removed"] == 3
+
+
+def test_streamed_versions_are_no_single_task(spark, tmp_path, monkeypatch):
+    """A table of several files is streamed by several files a version, with the same end."""
+    from lexarray.plans import index_queries
+
+    docs, counts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    through = index_queries.stream_segments
+
+    def counted(files, store, checkpoint):
+        counts.append(len(spark.read.parquet(store.folder.removesuffix("store") + "files").inputFiles()))
+        return through(files, store, checkpoint)
+
+    monkeypatch.setattr(index_queries, "stream_segments", counted)
+    found = []
+    for n in (1, 5):
+        docs.repartition(n, "doc_id").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        found.append(sorted(map(tuple, index_queries.stream_upserts(spark, f"{tmp_path}/{n}").collect()), key=repr))
+    assert found[0] == found[1] and counts[1] > counts[0]
