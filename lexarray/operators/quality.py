@@ -32,13 +32,18 @@ def overlap(query: Column, content: Column) -> Column:
 def relevance(query: Column, content: Column, function_name: Column, class_name: Column, docstring: Column) -> Column:
     """Word overlap with boosts: 0.4 for each query word that fits the function's name, or 0.2 where only its root
     does; 0.3 once for the class; 0.2 once for the docstring; at most 1."""
-    q = word_set(query)
-    inside = lambda name: lambda w: F.lower(_text(name)).contains(w) | ((F.length(_text(name)) > 0) & w.contains(F.lower(_text(name))))
-    parts = F.regexp_extract_all(F.lower(_text(function_name)), F.lit("([a-z]+)"), F.lit(1))
-    boost = F.aggregate(q, F.lit(0.0), lambda s, w: s + F.when(inside(function_name)(w), 0.4).when(F.exists(parts, lambda p: root_match(w, p)), 0.2).otherwise(0.0))
-    once = lambda name, x: F.when(F.exists(q, inside(name)), x).otherwise(0.0)
-    documented = F.when(F.exists(q, lambda w: F.lower(_text(docstring)).contains(w)), 0.2).otherwise(0.0)
-    return F.least(F.lit(1.0), overlap(query, content) + boost + once(class_name, 0.3) + documented)
+    name = F.lower(_text(function_name))
+    # bound once a row: what a lambda names is evaluated anew for each word
+    bound = F.struct(word_set(query).alias("q"), overlap(query, content).alias("shared"), name.alias("function"), F.regexp_extract_all(name, F.lit("([a-z]+)"), F.lit(1)).alias("parts"), F.lower(_text(class_name)).alias("class"), F.lower(_text(docstring)).alias("doc"))
+    inside = lambda name: lambda w: name.contains(w) | ((F.length(name) > 0) & w.contains(name))
+
+    def score(s: Column) -> Column:
+        boost = F.aggregate(s["q"], F.lit(0.0), lambda total, w: total + F.when(inside(s["function"])(w), 0.4).when(F.exists(s["parts"], lambda p: root_match(w, p)), 0.2).otherwise(0.0))
+        named = F.when(F.exists(s["q"], inside(s["class"])), 0.3).otherwise(0.0)
+        documented = F.when(F.exists(s["q"], lambda w: s["doc"].contains(w)), 0.2).otherwise(0.0)
+        return F.least(F.lit(1.0), s["shared"] + boost + named + documented)
+
+    return F.element_at(F.transform(F.array(bound), score), 1)
 
 
 def balanced(content: Column) -> Column:

@@ -246,3 +246,16 @@ def test_plain_words_are_what_their_parts_are():
     for raw in (False, True):
         split = Tokeniser(raw=raw)
         assert split(" ".join(words)) == [t for w in words for t in split.parts(w)]
+
+
+def test_relevance_reads_names_once_a_row(spark):
+    """Names that are split off a text are bound before the words of the query are gone through."""
+    from pyspark.sql import functions as F
+
+    from lexarray.operators import quality
+
+    rows = spark.range(1).select(F.lit("a get_user b").alias("text"))
+    word = lambda i: F.get(F.split("text", " "), i)
+    out = rows.select(quality.relevance(F.lit("user table"), F.col("text"), word(1), word(2), F.col("text")).alias("x"))
+    assert out.first()["x"] == pytest.approx(0.9)
+    assert out._jdf.queryExecution().analyzed().toString().count("split(") <= 3
