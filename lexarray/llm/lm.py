@@ -3,12 +3,13 @@
 Counts of words and of word pairs are quantised on a log scale. A count of level q is kept as q entries
 (n-gram, 1) ... (n-gram, q) of one Bloom filter, which is broadcast; a count is read back by probing for
 one level after another until one is missing. The filter is sized for the entries counted and a rate of false
-hits; where it would be too big to broadcast, the same levels are joined from the tables of counts instead.
+hits. It consists of small blocks, and all that is kept of an n-gram lies in one of them; where the filter would be too
+big to broadcast, each token is joined with the blocks of its n-grams instead, and reads the same there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from lexarray.llm.kernels import LOWER, SPACED_WORDS, Words, chunks, mix, signed
 _END, _START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A757A757A757A7)
 _COUNT = "h long, v long, c long"
 _RUN = 1 << 20
+#: Bits of a block of the filter, as a power of two.
+_BLOCK = 10
 
 
 #: What a key is moved by for each level.
@@ -49,30 +52,94 @@ def _value(c: Column) -> Column:
     return F.when(c > 0, F.pow(F.lit(2.0), F.length(F.bin(c)) - 1)).otherwise(0.0)
 
 
-class Frequencies:
-    """The log-frequency filter."""
+def _block_of(key: str, bits: int) -> Column:
+    """The block of a filter of 2**bits bits that a key lies in."""
+    return F.shiftrightunsigned(key, 64 - (bits - _BLOCK)) if bits > _BLOCK else F.lit(0).cast("long")
 
-    def __init__(self, bloom: tables.Bloom) -> None:
-        self.bloom = bloom
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        q = levels(counts)
+class Frequencies:
+    """The log-frequency filter of 2**bits bits, or some of its blocks."""
+
+    def __init__(self, bits: int, words: np.ndarray | None = None, probes: int = 3) -> None:
+        self.bits, self.probes, self.inner = bits, probes, min(bits, _BLOCK)
+        self.words = np.zeros(max(1, (1 << bits) // 64), np.uint64) if words is None else words
+
+    def block(self, keys: np.ndarray) -> np.ndarray:
+        """As _block_of."""
+        return (keys >> np.uint64(64 - (self.bits - _BLOCK)) if self.bits > _BLOCK else np.zeros(len(keys), np.uint64)).astype(np.int64)
+
+    def _places(self, keys: np.ndarray, level: int, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Word and bit of each probe, for blocks that lie one after another in words."""
+        h = mix(keys + _STEP[level])
+        mask, start = np.uint64((1 << self.inner) - 1), block << max(0, self.inner - 6)
+        for k in range(self.probes):
+            at = (h >> np.uint64(20 * k)) & mask
+            yield start + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, block: np.ndarray | None = None) -> None:
+        """block: where the blocks of keys lie in words, by default at their numbers."""
+        q, block = levels(counts), self.block(keys) if block is None else block
         for level in range(1, int(q.max(initial=0)) + 1):
-            self.bloom.add(keys[q >= level] + _STEP[level])
+            some = q >= level
+            for word, bit in self._places(keys[some], level, block[some]):
+                np.bitwise_or.at(self.words, word, bit)
 
-    def read(self, keys: np.ndarray) -> np.ndarray:
+    def read(self, keys: np.ndarray, block: np.ndarray | None = None) -> np.ndarray:
         """The counts of keys, 0 where the first level is missing."""
+        block = self.block(keys) if block is None else block
         q, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(left) and level < 64:
-            left = left[self.bloom.has(keys[left] + _STEP[level])]
+            held = np.ones(len(left), bool)
+            for word, bit in self._places(keys[left], level, block[left]):
+                held &= self.words[word] & bit != 0
+            left = left[held]
             q[left] = level
             level += 1
         return value(q)
 
 
+def _blocks(grams: DataFrame, bits: int) -> DataFrame:
+    """(block, cells): the filter of grams (h, c) as a table of its blocks that are not empty."""
+    size = (1 << min(bits, _BLOCK)) // 64 or 1
+
+    def packed(block: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array([x.tobytes() for x in words.reshape(-1, size)], pa.binary())], ["block", "cells"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, words = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # the last one, which the next batch may add to
+        for batch in batches:
+            if batch.num_rows:
+                found, place = np.unique(np.concatenate([block, batch.column(0).to_numpy()]), return_inverse=True)
+                own = Frequencies(bits, np.zeros(len(found) * size, np.uint64))
+                own.words[: len(words)] = words
+                own.add(batch.column(1).to_numpy().astype(np.int64).view(np.uint64), batch.column(2).to_numpy(), place[len(block) :])
+                if len(found) > 1:
+                    yield packed(found[:-1], own.words[:-size])
+                block, words = found[-1:], own.words[-size:]
+        yield packed(block, words)
+
+    rows = grams.select(_block_of("h", bits).alias("block"), "h", "c").repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(run, "block long, cells binary")
+
+
+def _read_in(bits: int) -> Callable[[Column, Column], Column]:
+    """What Frequencies.read() gives for a key, from the block that it lies in."""
+
+    @F.arrow_udf("double")
+    def run(keys: pa.Array, cells: pa.Array) -> pa.Array:
+        out, there = np.zeros(len(keys)), cells.is_valid().to_numpy(zero_copy_only=False)
+        if there.any():
+            words = np.frombuffer(b"".join(cells.drop_null().to_pylist()), np.uint64)
+            out[there] = Frequencies(bits, words).read(keys.to_numpy().astype(np.int64).view(np.uint64)[there], np.arange(there.sum()))
+        return pa.array(out)
+
+    return run
+
+
 def needed_bits(entries: int, false_rate: float, probes: int = 3) -> int:
-    """The power of two of a filter's bits for which at most false_rate of the probed keys that it lacks seem held."""
-    return max(20, int(np.ceil(np.log2(max(1, entries) * probes / -np.log1p(-(false_rate ** (1 / probes)))))))
+    """The power of two of a filter's bits for which at most false_rate of the probed keys that it lacks seem held; some
+    more for blocks that hold more entries than others."""
+    return max(20, int(np.ceil(np.log2(max(1, entries) * 1.02 * probes / -np.log1p(-(false_rate ** (1 / probes)))))))
 
 
 class _Tally:
@@ -137,8 +204,8 @@ def _within(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_keys[at] == keys
 
 
-def _joined(rows: DataFrame, counts: DataFrame, pair_counts: DataFrame, contexts: DataFrame, ends: float, mass: float, weight: float) -> DataFrame:
-    """The model's part of each token, with the columns of scores summed by text, its counts joined from their tables."""
+def _joined(rows: DataFrame, blocks: DataFrame, bits: int, contexts: DataFrame, ends: float, mass: float, weight: float) -> DataFrame:
+    """The model's part of each token, with the columns of scores summed by text, read from the filter's blocks joined to it."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,14 +215,19 @@ def _joined(rows: DataFrame, counts: DataFrame, pair_counts: DataFrame, contexts
                 prev, word = np.concatenate([_before(w), _last(w)]), np.concatenate([w.hash, np.full(m, _END)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(text) for c in range(3)), pa.array(signed(prev)), pa.array(signed(word)), pa.array(signed(_pair(prev, word)))], ["id", "dig", "held_out", "prev", "word", "pair"])
 
-    out = rows.mapInArrow(tokens, "id long, dig long, held_out boolean, prev long, word long, pair long")
-    kept = (("prev", contexts.select("h", F.col("d").alias("x"))), ("word", counts.select("h", _value(F.col("c")).alias("x"))), ("pair", pair_counts.select("h", _value(F.col("c")).alias("x"))))
-    for name, table in kept:
-        out = out.join(table.select(turned("h").alias("t"), F.col("x").alias(f"n_{name}")), turned(name) == F.col("t"), "left").drop("t")
-    single = (F.when(F.col("word") == int(signed(np.array([_END]))[0]), ends).otherwise(F.coalesce("n_word", F.lit(0.0))) + 0.1) / F.lit(float(mass))
-    p = F.when(F.col("n_prev") > 0, weight * F.coalesce("n_pair", F.lit(0.0)) / F.col("n_prev") + (1 - weight) * single).otherwise(single)
+    out, read = rows.mapInArrow(tokens, "id long, dig long, held_out boolean, prev long, word long, pair long"), _read_in(bits)
+    for name in ("word", "pair"):
+        out = out.withColumn("b", _block_of(name, bits)).join(blocks.select(turned("block").alias("t"), "cells"), turned("b") == F.col("t"), "left")
+        out = out.withColumn(f"n_{name}", read(F.col(name), F.col("cells"))).drop("t", "b", "cells", *([name] if name == "pair" else []))
+    out = out.join(contexts.select(turned("h").alias("t"), "d"), turned("prev") == F.col("t"), "left").drop("t")
+    single = (F.when(F.col("word") == int(signed(np.array([_END]))[0]), ends).otherwise(F.col("n_word")) + 0.1) / F.lit(float(mass))
     none = F.lit(0).cast("long")
-    return out.select("id", "dig", "held_out", none.alias("own"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), F.log10(F.least(p, F.lit(1.0))).alias("model"))
+    return out.select("id", "dig", "held_out", none.alias("own"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), _log_p(F.col("n_pair"), F.col("d"), single, weight).alias("model"))
+
+
+def _log_p(pair: Column, d: Column, single: Column, weight: float) -> Column:
+    """log10 of a token's probability; d is null or 0 after what was never seen before a word."""
+    return F.log10(F.least(F.when(d > 0, weight * pair / d + (1 - weight) * single).otherwise(single), F.lit(1.0)))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, bits: int | None = None, head: int = 1 << 20, weight: float = 0.6, false_rate: float = 0.01, most_bits: int = 29) -> DataFrame:
@@ -169,10 +241,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     the training texts is kept.
 
     Levels are read from the filter. It has 2**bits bits, by default the power of two for which a missing level seems
-    held at a rate of at most false_rate; beyond 2**most_bits bits the levels are joined, without false hits. Counts
-    and d of the `head` most frequent words are broadcast too; other words' counts are joined for base_score, and for d
-    the filter gives the most that the word's count can be, so that their probabilities add up to one at most. Words
-    are told apart by 64-bit hashes.
+    held at a rate of at most false_rate. Up to 2**most_bits bits it is broadcast, beyond that its blocks are joined.
+    Counts and d of the `head` most frequent words are broadcast too, those of other words are joined. Neither most_bits
+    nor head changes a result. Words are told apart by 64-bit hashes.
 
     Cases: null and empty texts are one end token; rows without doc_id are neither learned from nor held out;
     repeated rows count each and score alike; an empty table gives no rows; with nothing learned, N and V are 0.
@@ -205,6 +276,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     n, v, kept = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(_value(F.col("c"))), F.lit(0.0))).first()
     pair_counts = tables.cut(train.mapInArrow(pairs, _COUNT).groupBy("h", "v").agg(F.sum("c").alias("c")))
     contexts = tables.cut(pair_counts.groupBy(F.col("v").alias("h")).agg(F.sum(_value(F.col("c"))).alias("d")))
+    words_of = counts.join(contexts.select(turned("h").alias("t"), "d"), turned("h") == F.col("t"), "left").select("h", "c", F.coalesce("d", F.lit(0.0)).alias("d"))
+    words_of = tables.cut(words_of)
     pair_counts = pair_counts.select("h", "c")
 
     # counts fall into at most a few hundred classes; the largest classes that fit make up the head
@@ -215,7 +288,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if total > head:
             break
         lowest = r["q"]
-    top = counts.where(scale >= lowest).join(contexts.select(turned("h").alias("t"), "d"), turned("h") == F.col("t"), "left").select("h", "c", F.coalesce("d", F.lit(0.0)).alias("d")).toArrow()
+    top = words_of.where(scale >= lowest).toArrow()
     keys = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, c, d = keys[order], top.column("c").to_numpy()[order], top.column("d").to_numpy()[order]
@@ -232,35 +305,39 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     by_join = bits > most_bits
 
     def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Frequencies(tables.Bloom.empty(bits))
+        own = Frequencies(bits)
         for batch in batches:
             own.add(batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(1).to_numpy())
-        yield from tables.emit(own.bloom.words)
+        yield from tables.emit(own.words)
 
-    filled = None if by_join else tables.sent(spark, tables.merge(grams.mapInArrow(insert, "block int, cells binary"), (1 << bits) // 64, np.uint64, add=False))
+    filled = None if by_join else tables.sent(spark, tables.merge(grams.mapInArrow(insert, "block int, cells binary"), max(1, (1 << bits) // 64), np.uint64, add=False))
     mass, model_mass = n + 0.1 * (v + 1), kept + 0.1 * (v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = None if by_join else Frequencies(tables.Bloom(filled.value)).read
+        read = None if by_join else Frequencies(bits, filled.value).read
         heads, head_counts, head_sums = exact.value
 
-        def probability(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+        def probability(prev: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+            """log10 of the probabilities after words whose d is at hand, 0 of the others; where these are, with f and p(w)."""
             own, place = np.unique(np.concatenate([prev, word]), return_inverse=True)
             held = read(own)
             held[own == _END] = end_value
             at, known = _within(heads, own)
-            below = np.where(held > 0, 2 * held - 1, 0.0)  # the most that a count of this level can be
-            sums = np.where(known, head_sums[at], below) if len(heads) else below
-            sums[own == _START] = starts
+            sums = np.where(known, head_sums[at], 0.0) if len(heads) else np.zeros(len(own))
+            sums[own == _START], known[own == _START] = starts, True
             of_prev, single = sums[place[: len(prev)]], (held[place[len(prev) :]] + 0.1) / model_mass
-            both, place = np.unique(_pair(prev, word), return_inverse=True)
-            share = np.divide(read(both)[place], of_prev, out=np.zeros(len(prev)), where=of_prev > 0)
-            return np.log10(np.minimum(np.where(of_prev > 0, weight * share + (1 - weight) * single, single), 1.0))
+            both, pair = np.unique(_pair(prev, word), return_inverse=True)
+            f = read(both)[pair]
+            share = np.divide(f, of_prev, out=np.zeros(len(prev)), where=of_prev > 0)
+            log = np.log10(np.minimum(np.where(of_prev > 0, weight * share + (1 - weight) * single, single), 1.0))
+            open_at = np.flatnonzero(~known[place[: len(prev)]])
+            log[open_at] = 0.0
+            return log, open_at, f[open_at], single[open_at]
 
         for batch in batches:
             size = len(batch.column(0))
             n_tokens, n_known, base, model = np.ones(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-            docs_of, tails, times = [], [], []
+            docs_of, tails, times, shares, singles = [], [], [], [], []
             for i, w, of in _texts(batch.column(3)):
                 m = len(w.first) - 1
                 own, place = np.unique(w.hash, return_inverse=True)
@@ -276,8 +353,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     docs_of.append(i + (packed >> 32))
                     tails.append(own[packed & 0xFFFFFFFF])
                     times.append(k)
+                    shares.append(np.zeros(len(k)))
+                    singles.append(np.full(len(k), np.nan))
                 if not by_join:
-                    model[i : i + m] = np.bincount(of, probability(_before(w), w.hash), minlength=m) + probability(_last(w), np.full(m, _END))
+                    for prev, word, text in ((_before(w), w.hash, of), (_last(w), np.full(m, _END), np.arange(m))):
+                        log, at, f, single = probability(prev, word)
+                        model[i : i + m] += np.bincount(text, log, minlength=m)
+                        docs_of.append(i + text[at])
+                        tails.append(prev[at])
+                        times.append(np.zeros(len(at), np.int64))
+                        shares.append(f)
+                        singles.append(single)
             of = np.concatenate([np.arange(size), *docs_of])
             own_row = np.arange(len(of)) < size
             digs = batch.column(1).to_numpy()
@@ -296,17 +382,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     pa.array(np.concatenate([n_known, zero.astype(np.int64)])),
                     pa.array(np.concatenate([base, zero])),
                     pa.array(np.concatenate([model, zero])),
+                    pa.array(np.concatenate([np.zeros(size), *shares])),
+                    pa.array(np.concatenate([np.full(size, np.nan), *singles]), from_pandas=True),
                 ],
-                ["id", "dig", "held_out", "h", "tf", "own", "n_tokens", "n_known", "base", "model"],
+                ["id", "dig", "held_out", "h", "tf", "own", "n_tokens", "n_known", "base", "model", "f", "single"],
             )
 
-    scored = rows.mapInArrow(score, "id long, dig long, held_out boolean, h long, tf long, own long, n_tokens long, n_known long, base double, model double")
-    joined = scored.join(counts.select(turned("h").alias("t"), "c"), turned("h") == F.col("t"), "left")
+    scored = rows.mapInArrow(score, "id long, dig long, held_out boolean, h long, tf long, own long, n_tokens long, n_known long, base double, model double, f double, single double")
+    joined = scored.join(words_of.select(turned("h").alias("t"), "c", "d"), turned("h") == F.col("t"), "left")
     tail = F.col("own") == 0
     c = F.coalesce("c", F.lit(0))
-    joined = joined.select("id", "dig", "held_out", "own", "n_tokens", F.when(tail, F.when(c > 0, F.col("tf")).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"), F.when(tail, F.col("tf") * F.log10(c + 0.1)).otherwise(F.col("base")).alias("base"), "model")
+    joined = joined.select("id", "dig", "held_out", "own", "n_tokens", F.when(tail, F.when(c > 0, F.col("tf")).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"), F.when(tail, F.col("tf") * F.log10(c + 0.1)).otherwise(F.col("base")).alias("base"), F.when(F.col("single").isNotNull(), _log_p(F.col("f"), F.col("d"), F.col("single"), weight)).otherwise(F.col("model")).alias("model"))
     if by_join:
-        joined = joined.unionByName(_joined(rows, counts, pair_counts, contexts, end_value, model_mass, weight))
+        joined = joined.unionByName(_joined(rows, tables.cut(_blocks(grams, bits)), bits, contexts, end_value, model_mass, weight))
     out = joined.groupBy("id", "dig", "held_out").agg(*[F.sum(x).alias(x) for x in ("own", "n_tokens", "n_known", "base", "model")])
     out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias("_"))  # repeated rows were summed together
     each = lambda x: (F.col(x) / F.col("own"))

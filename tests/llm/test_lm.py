@@ -107,3 +107,12 @@ def test_no_pair_is_left_out(spark):
     seen = [r for r in lm_scores(df).collect() if not r.held_out]
     # each word has one successor: it costs about log10(0.6)
     assert len(seen) > 50 and all(r.score / r.n_tokens > -0.3 for r in seen)
+
+
+def test_what_is_broadcast_changes_no_result(spark):
+    # a full filter with many false hits, so that reading another way would show
+    rows = [(i, f"the cat {i % 7} sat on mat {i} of {i * i % 91}") for i in range(200)] + [(None, "cat"), (300, None), (301, "never seen words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sent = scores(df, bits=12)
+    for other in (scores(df, bits=12, head=3), scores(df, bits=12, most_bits=1)):
+        assert all(a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) for a, b in zip(sent, other, strict=True))
