@@ -12,7 +12,7 @@ from lexarray.operators import repository
 from lexarray.operators.chunking import register
 from lexarray.operators.chunking import syntactic_chunks as chunk
 from lexarray.operators.embed import embedded
-from lexarray.sources.corpus import chunks_from_documents, table
+from lexarray.sources.corpus import chunks_from_documents, dealt, table
 from lexarray.streaming.index import stream_index
 
 PYTHON = '''import os
@@ -51,7 +51,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     python = F.format_string("import os\n\ndef %s(size: int, kind=1) -> %s:\n    '''%s.'''\n    if size:\n        return \"%s\" * size\n    elif kind:\n        return 2\n    return size", name, brand, F.col("p_type"), F.col("p_name"))
     script = F.format_string("// class No {\nclass %s extends Base {\n  %s(size) {\n    while (size) { size--; }\n    return `}${size}`;\n  }\n}", brand, name)
     kind = F.col("p_partkey") % 4
-    return table(spark, sf, "part").select(
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey").select(
         F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"),
         F.when(kind.isin(0, 3), "python").when(kind == 1, "javascript").otherwise("text").alias("language"),
         F.when(kind == 0, python).when(kind == 1, script).when(kind == 2, F.col("p_name")).otherwise("def (").alias("content"),

@@ -4,6 +4,7 @@ from lexarray.api import Engine, TaskRegistry
 from lexarray.operators import bm25, graph, incremental, quality, search
 from lexarray.operators.chunking import chunks_of, nested_chunks_of, semantic_type_of, syntactic_chunks
 from lexarray.operators.embed import embedded
+from lexarray.plans import code_queries
 from lexarray.plans.code_queries import JAVASCRIPT, PYTHON
 from lexarray.sources.files import discover, git_changes
 from pyspark.sql import functions as F
@@ -175,3 +176,11 @@ def test_counted_index_is_shuffled_once(spark, tmp_path):
     assert ranked(bm25.search(stored.docs, query, 9)) == ranked(bm25.search(plain, query, 9)) == ranked(stored.search(query, 9))
     changed = bm25.update(bm25.occurrences(stored.docs, query), counts.where("doc < 9").select("doc"), bm25.occurrences(counts.where("doc = 4"), query))
     assert ranked(bm25.best(changed, query, 9)) == ranked(bm25.search(plain.where("doc >= 9 or doc = 4"), query, 9))
+
+
+def test_parts_of_one_row_group_are_parsed_by_many_tasks(spark, tmp_path):
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("code_metadata", "syntactic_chunks"):
+        rows = code_queries.queries()[name](spark, str(tmp_path))
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1, name
