@@ -5,7 +5,9 @@ paths it removes or replaces; a manifest names what is current. Readers leave ou
 of like size are merged, so that there are only logarithmically many; merging reads terms, not texts. One writer commits at
 a time: a manifest's file can be created once only, so the second of two writers fails and has to start over.
 
-Postings lie in blocks: one row for a term and a range of documents, with the largest frequency and the smallest length in it.
+Postings lie in blocks, one for a term and a range of documents, with the largest frequency and the smallest length in it; a row
+holds a term's blocks, up to 64. They are dealt to files packed, as most terms of most corpora are rare: a row a block would be
+shuffled and sorted at many times its size.
 No document of a range can score above the sum of its terms' bounds, so a search reads the ranges with the largest bounds
 first and then only those whose bound reaches the n-th best score found. Documents are scored in full, so rows are exact.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -37,36 +40,75 @@ NAMED = 512
 _ROOM = 1e-9
 
 _DOCS = "doc long, path string, language string, dl int, terms array<string>, tfs array<int>, range long"
-_POSTINGS = "term string, range long, language string, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>"
+_POSTINGS = "term string, language string, n int, range long, last long, ranges array<long>, ns array<int>, max_tfs array<int>, min_dls array<int>, docs array<long>, tfs array<int>, dls array<int>"
 _DEAD = "doc long, dl int, terms array<string>, before long"
-#: Documents that are turned into blocks together: whole ranges.
-_DOCS_AT_ONCE = 1 << 11
+#: Blocks of a row.
+_ROW = 64
+#: Postings of a file, about, and those dealt together; terms drawn to set the bounds of files, which change no result.
+_FILE, _AT_ONCE, _DRAWN = 1 << 20, 1 << 21, 1 << 16
+#: Intervals of ranges that a filter names.
+_INTERVALS = 32
 _EMPTY = {"version": 0, "segments": [], "tombstones": [], "docs": 0, "length": 0, "marks": {}}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their terms turned into blocks by range, language and term: whole batches are sorted at once. A range that
-    lies in two batches has two blocks of a term, which only makes its bound larger."""
+def _dealt(batches: Iterator[pa.RecordBatch], bounds: list[str]) -> Iterator[pa.RecordBatch]:
+    """The postings of documents by part, packed: parts lie between bounds, and a term that is a bound more than once, as many
+    documents hold it, is spread over parts by ranges of documents."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
-        for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
-            part = batch.slice(at, _DOCS_AT_ONCE)
-            column = {n: part.column(n) for n in part.schema.names}
-            owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(column["terms"]).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.list_value_length(batch.column("terms")).fill_null(0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _AT_ONCE, side="right")))
+            column = {n: batch.column(n).slice(a, b - a) for n in batch.schema.names}
+            a = b
+            owner = np.repeat(np.arange(len(column["doc"])), pc.list_value_length(column["terms"]).fill_null(0).to_numpy(zero_copy_only=False))
             if not len(owner):
                 continue
-            terms, language = column["terms"].flatten().dictionary_encode(), column["language"].dictionary_encode("encode")
-            code, tongue = terms.indices.to_numpy().astype(np.int64), language.indices.to_numpy().astype(np.int64)
-            ranges, place = np.unique(column["range"].to_numpy(), return_inverse=True)
-            key = (place[owner] * len(language.dictionary) + tongue[owner]) * len(terms.dictionary) + code
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], owner[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            tf, dl = column["tfs"].flatten().to_numpy()[order], column["dl"].to_numpy()[owner]
-            ends = pa.array(np.append(first, len(key)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (column["doc"].to_numpy()[owner], tf, dl)]
-            head = [terms.dictionary.take(pa.array(code[order][first])), pa.array(ranges[place[owner[first]]]), language.dictionary.take(pa.array(tongue[owner[first]]))]
-            counts = [pa.array(x.astype(np.int32)) for x in (np.diff(np.append(first, len(key))), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first))]
-            yield pa.RecordBatch.from_arrays([*head, *counts, *lists], ["term", "range", "language", "n", "max_tf", "min_dl", "docs", "tfs", "dls"])
+            terms = column["terms"].flatten().dictionary_encode()
+            known, code = terms.dictionary.to_pylist(), terms.indices.to_numpy()
+            low, high = (np.array([f(bounds, t) for t in known])[code] for f in (bisect_left, bisect_right))
+            part = low + column["range"].to_numpy()[owner] % (high - low + 1)
+            order = np.argsort(part, kind="stable")
+            part, of = part[order], pa.array(owner[order])
+            own = [terms.dictionary.take(pa.array(code[order])), *(column[n].take(of) for n in ("language", "range", "doc")), column["tfs"].flatten().take(pa.array(order)), column["dl"].take(of)]
+            rows = pa.RecordBatch.from_arrays(own, ["term", "language", "range", "doc", "tf", "dl"])
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            packed = []
+            for x, y in zip(at, np.append(at[1:], len(part)), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                    out.write_batch(rows.slice(x, y - x))
+                packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of a part as blocks, those of a term and language in one row, or in rows of _ROW blocks, sorted by term."""
+    held = [pa.ipc.open_stream(x.as_buffer()).read_all() for batch in batches for x in batch.column(1)]
+    if not held:
+        return
+    rows = pa.concat_tables(held).combine_chunks().to_batches()[0]
+    held.clear()
+    terms, language = rows.column(0).dictionary_encode(), rows.column(1).dictionary_encode("encode")
+    rank = np.empty(len(terms.dictionary), np.int64)
+    rank[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(rank))
+    code, tongue, place = terms.indices.to_numpy(), language.indices.to_numpy(), rows.column(2).to_numpy()
+    key = rank[code] * len(language.dictionary) + tongue
+    order = np.lexsort((place, key))
+    key, place, doc, tf, dl = key[order], place[order], *(rows.column(n).to_numpy()[order] for n in (3, 4, 5))
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])))
+    n = np.diff(np.append(first, len(key)))
+    new = np.append(True, key[first][1:] != key[first][:-1])
+    since = np.arange(len(first)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    row = np.flatnonzero(since % _ROW == 0)
+    ends = np.append(row[1:], len(first)) - 1
+    of = order[first[row]]
+    blocks, postings = pa.array(np.append(row, len(first)), pa.int32()), pa.array(np.append(first[row], len(key)), pa.int32())
+    lists = [pa.ListArray.from_arrays(blocks, pa.array(x)) for x in (place[first], n.astype(np.int32), np.maximum.reduceat(tf, first), np.minimum.reduceat(dl, first))]
+    lists += [pa.ListArray.from_arrays(postings, pa.array(x)) for x in (doc, tf, dl)]
+    head = [terms.dictionary.take(pa.array(code[of])), language.dictionary.take(pa.array(tongue[of])), pa.array(np.add.reduceat(n, row).astype(np.int32)), pa.array(place[first[row]]), pa.array(place[first[ends]])]
+    yield pa.RecordBatch.from_arrays([*head, *lists], ["term", "language", "n", "range", "last", "ranges", "ns", "max_tfs", "min_dls", "docs", "tfs", "dls"])
 
 
 class Segments:
@@ -156,7 +198,7 @@ class Segments:
     def postings(self) -> DataFrame:
         """(term, doc, language, tf, dl) of the live documents."""
         m = self.manifest()
-        return self._live(m, self._opened(self._union(m, "postings", _POSTINGS)), "doc").drop("seg", "range")
+        return self._live(m, self._opened(self._union(m, "postings", _POSTINGS)), "doc").drop("seg")
 
     def stats(self) -> DataFrame:
         """n_docs, avg_len and n_terms, without reading a document."""
@@ -222,10 +264,15 @@ class Segments:
         """Writes documents with their counts, and from these the postings."""
         seen = Observation()
         numbered = found.withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
-        numbered.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).write.parquet(f"{self.folder}/{name}/docs")
+        numbered.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings")).write.parquet(f"{self.folder}/{name}/docs")
         docs = self.spark.read.schema(_DOCS).parquet(f"{self.folder}/{name}/docs")
-        blocks = docs.mapInArrow(_blocks, _POSTINGS).repartitionByRange("term", "range")  # a term that every document holds is spread over ranges
-        blocks.sortWithinPartitions("term", "range").write.option("compression", "zstd").parquet(f"{self.folder}/{name}/postings")
+        parts, bounds = max(1, math.ceil(seen.get["postings"] / _FILE)), []
+        if parts > 1:
+            each = docs.select("doc", F.explode("terms").alias("term"))
+            drawn = sorted(r["term"] for r in each.where(F.pmod(F.xxhash64("doc", "term"), F.lit(seen.get["postings"])) < _DRAWN).select("term").collect())
+            bounds = [drawn[len(drawn) * k // parts] for k in range(1, parts)]
+        packed = docs.mapInArrow(lambda batches: _dealt(batches, bounds), "part int, packed binary").repartitionById(parts, "part")
+        packed.mapInArrow(_blocks, _POSTINGS).write.option("compression", "zstd").parquet(f"{self.folder}/{name}/postings")
         return seen.get
 
     def _merge(self, m: dict) -> int:
@@ -266,8 +313,12 @@ class Segments:
         return counts.groupBy("term").agg(F.sum("n").alias("df"))
 
     @staticmethod
-    def _opened(blocks: DataFrame) -> DataFrame:
-        return blocks.select("term", "range", "language", "seg", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p")).select("term", "range", "language", "seg", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+    def _opened(rows: DataFrame, placed: bool = False) -> DataFrame:
+        """term, language, seg, doc, tf and dl of each posting; range too if placed."""
+        place = F.flatten(F.transform(F.arrays_zip("ranges", "ns"), lambda x: F.array_repeat(x["ranges"], x["ns"])))
+        lists = [F.col(x) for x in ("docs", "tfs", "dls")] + [place.alias("places")] * placed
+        each = rows.select("term", "language", "seg", F.explode(F.arrays_zip(*lists)).alias("p"))
+        return each.select("term", "language", "seg", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), *[F.col("p.places").alias("range")] * placed)
 
     def search(self, query: str, n: int = 50, language: str | None = None, k1: float = K1, b: float = B, report: dict | None = None) -> DataFrame:
         """(doc, score) of the n best live documents, as bm25.search() ranks them; report gets how many ranges of documents
@@ -291,8 +342,10 @@ class Segments:
         if language is not None:
             blocks = blocks.where(F.col("language") == language)
         place = ["seg", "range"]
-        bounds = blocks.groupBy(*place).agg(F.sum(part("max_tf", "min_dl")).alias("bound"))  # reads no document
-        best = lambda x: self._live(m, self._opened(x), "doc").groupBy("doc").agg(F.sum(part("tf", "dl")).alias("score")).orderBy(F.desc("score"), "doc").limit(n)
+        each = blocks.select("term", "seg", F.explode(F.arrays_zip("ranges", "max_tfs", "min_dls")).alias("b"))
+        each = each.select("term", "seg", F.col("b.ranges").alias("range"), F.col("b.max_tfs").alias("max_tf"), F.col("b.min_dls").alias("min_dl"))
+        bounds = each.groupBy(*place).agg(F.sum(part("max_tf", "min_dl")).alias("bound"))  # reads no document
+        best = lambda x: self._live(m, x, "doc").groupBy("doc").agg(F.sum(part("tf", "dl")).alias("score")).orderBy(F.desc("score"), "doc").limit(n)
         top = bounds.orderBy(F.desc("bound"), *place).limit(NAMED + 1).collect()
         found = best(self._of(blocks, top[:n])).collect()
         least = found[-1]["score"] * (1 - _ROOM) if len(found) == n else 0.0
@@ -301,13 +354,19 @@ class Segments:
             report |= {"ranges": bounds.count(), "read": bounds.where(F.col("bound") >= least).count()}
         if len(named) <= min(n, NAMED):  # these are read already
             return self.spark.createDataFrame(found, "doc long, score double").orderBy(F.desc("score"), "doc")
-        return best(self._of(blocks, named) if len(named) <= NAMED else blocks.join(bounds.where(F.col("bound") >= least).select(*place), place, "left_semi"))
+        return best(self._of(blocks, named) if len(named) <= NAMED else self._opened(blocks, placed=True).join(bounds.where(F.col("bound") >= least).select(*place), place, "left_semi"))
 
-    @staticmethod
-    def _of(blocks: DataFrame, rows: list) -> DataFrame:
-        """The blocks of some ranges, by a filter that files can skip by."""
+    @classmethod
+    def _of(cls, blocks: DataFrame, rows: list) -> DataFrame:
+        """The postings of some ranges, by a filter that files can skip by: intervals between the widest gaps."""
         by: dict[int, list[int]] = {}
         for r in rows:
             by.setdefault(r["seg"], []).append(r["range"])
-        tests = [(F.col("seg") == s) & F.col("range").isin(ranges) for s, ranges in sorted(by.items())]
-        return blocks.where(reduce(lambda x, y: x | y, tests, F.lit(False)))
+        either = lambda tests: reduce(lambda x, y: x | y, tests, F.lit(False))
+        near = []
+        for s, ranges in sorted(by.items()):
+            own = np.unique(ranges)
+            cuts = np.sort(np.argsort(-np.diff(own), kind="stable")[: _INTERVALS - 1]) + 1
+            near += [(F.col("seg") == s) & (F.col("range") <= int(x[-1])) & (F.col("last") >= int(x[0])) for x in np.split(own, cuts)]
+        exact = [(F.col("seg") == s) & F.col("range").isin(ranges) for s, ranges in sorted(by.items())]
+        return cls._opened(blocks.where(either(near)), placed=True).where(either(exact))

@@ -151,3 +151,20 @@ def test_streamed_versions_are_no_single_task(spark, tmp_path, monkeypatch):
         docs.repartition(n, "doc_id").write.parquet(f"{tmp_path}/{n}/documents.parquet")
         found.append(sorted(map(tuple, index_queries.stream_upserts(spark, f"{tmp_path}/{n}").collect()), key=repr))
     assert found[0] == found[1] and counts[1] > counts[0]
+
+
+def test_blocks_share_rows_and_files_are_many(spark, tmp_path, monkeypatch):
+    """Postings are dealt packed: a row holds a term's blocks of many ranges, and no file holds all of a frequent term."""
+    monkeypatch.setattr("lexarray.operators.segments._FILE", 300, raising=False)
+    rows = [(i, path, None if i % 7 == 0 else language, content) for i, path, language, content in made(3000)]
+    store = Segments(spark, str(tmp_path / "s"))
+    store.add(texts=rows_of(spark, rows))
+    stored = spark.read.parquet(f"{store.folder}/{store.manifest()['segments'][0]['name']}/postings")
+    held = stored.where("term = 'alpha'")
+    assert held.select(F.input_file_name()).distinct().count() > 1
+    assert held.count() * 3 < len({(i >> 6, language) for i, _, language, content in rows if "alpha" in content.split()})
+    assert {(r.term, r.doc, r.language, r.tf, r.dl) for r in store.postings().collect()} == {(t, i, language, content.split().count(t), len(content.split())) for i, _, language, content in rows for t in content.split()}
+    for query, language in (("alpha beta own77", None), ("gamma own7 own1200", "fr"), ("zeta alpha", "en")):
+        report = {}
+        assert ranked(store.search(query, 8, language, report=report)) == by_plain(spark, rows, query, 8, language), query
+        assert 0 < report["read"] <= report["ranges"]
