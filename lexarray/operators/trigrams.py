@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a block of postings.
 _BLOCK = 256
+#: Bytes of texts whose trigrams are held at once, unless one text has more.
+_CHARS = 1 << 21
 #: Candidates that a filter names, so that files skip other rows; more are joined.
 NAMED = 1000
 _POSTINGS = "field string, gram string, n int, rows array<long>"
@@ -25,6 +29,31 @@ def pattern_grams(pattern: str) -> list[str]:
     return sorted(set().union(*map(grams_of, re.split("[%_]", pattern.lower()))))
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where blocks of texts begin and end: of _BLOCK texts, or fewer if they have more than _CHARS bytes."""
+    ends, a = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy(), 0
+    while a < len(texts):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _CHARS, side="right"))
+        yield a, (b := min(max(a + 1, b), a + _BLOCK, len(texts)))
+        a = b
+
+
+def _held(texts: pa.Array, keys: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The different trigrams of some texts, in how many of them each is, and their keys. A trigram is one number of three
+    code points."""
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy())
+    inside = np.flatnonzero(of[2:] == of[:-2])
+    coded = pa.array((points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside]).dictionary_encode()
+    pair = np.sort(coded.indices.to_numpy().astype(np.int64) * _BLOCK + of[inside])
+    pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
+    number = coded.dictionary.to_numpy()
+    every = np.stack([number >> 42, number >> 21 & 0x1FFFFF, number & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    n = np.bincount(pair // _BLOCK, minlength=len(number)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), keys.take(pa.array(pair % _BLOCK)))
+    return pa.array([every[i : i + 3] for i in range(0, len(every), 3)], pa.string()), pa.array(n), lists
+
+
 class Trigrams:
     """Postings of the fields of a table by rowid, in a folder."""
 
@@ -44,16 +73,11 @@ class Trigrams:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, _BLOCK):
-                    part = batch.slice(a, _BLOCK)
-                    keys = part.column(0).to_pylist()
-                    held: dict[tuple[str, str], list[int]] = {}
-                    for k, field in enumerate(fields):
-                        for own, text in zip(keys, part.column(k + 1).to_pylist(), strict=True):
-                            for gram in grams_of(text or ""):
-                                held.setdefault((field, gram), []).append(own)
-                    columns = [[f for f, _ in held], [g for _, g in held], list(map(len, held.values())), list(held.values())]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["field", "gram", "n", "rows"])
+                for k, field in enumerate(fields):
+                    texts = pc.fill_null(batch.column(k + 1), "")
+                    for a, b in _runs(texts):
+                        grams, n, own = _held(texts.slice(a, b - a), batch.column(0).slice(a, b - a))
+                        yield pa.RecordBatch.from_arrays([pa.repeat(field, len(grams)), grams, n, own], ["field", "gram", "n", "rows"])
 
         blocks = kept.select(F.col(key).cast("long").alias("key"), *texts).mapInArrow(run, _POSTINGS)
         spread = F.element_at("rows", 1)  # a trigram of most texts is spread over ranges

@@ -86,3 +86,21 @@ def test_many_queries_equal_pairs_one_by_one(spark, metric):
         found = search.knn_of(queries, vectors, 5, metric, block=block)
         assert sorted(map(repr, found.select("query_id", "vec_id", "distance", "rank").collect())) == sorted(map(repr, want))
     assert "MapInArrow" in search.knn_of(queries, vectors, 5, metric)._jdf.queryExecution().toString()
+
+
+def test_trigrams_of_a_block_are_those_of_its_texts():
+    """A block's trigrams are found as numbers; long texts make small blocks, so that what is held is bounded by bytes."""
+    import pyarrow as pa
+
+    from lexarray.operators import trigrams
+
+    texts, keys = ["", "ab", "abc", "abcabc", "éß日本語x😀😀😀", "a b c", "aaaaaa", "c", "\x00\x00\x00x"], range(100, 109)
+    want: dict[str, list[int]] = {}
+    for key, text in zip(keys, texts, strict=True):
+        for gram in trigrams.grams_of(text):
+            want.setdefault(gram, []).append(key)
+    grams, n, rows = trigrams._held(pa.array(texts), pa.array(keys))
+    assert dict(zip(grams.to_pylist(), rows.to_pylist(), strict=True)) == want and n.to_pylist() == list(map(len, rows.to_pylist()))
+    assert len(trigrams._held(pa.array(["", "ab"]), pa.array([1, 2]))[0]) == 0
+    long = "x" * (trigrams._CHARS + 1)
+    assert list(trigrams._runs(pa.array(["a"] * 300 + [long, "b"]))) == [(0, 256), (256, 300), (300, 301), (301, 302)]
