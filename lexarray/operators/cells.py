@@ -29,6 +29,19 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
 
+def _directions(vectors: Column) -> Column:
+    """Vectors (not null) of unit length, by batches: in a column expression each component would add up the whole vector anew."""
+
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        if not len(batch):
+            return pa.array([], pa.list_(pa.float64()))
+        units = _unit(batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(units) + 1) * units.shape[1], pa.int32()), pa.array(units.reshape(-1)))
+
+    return run(vectors)
+
+
 def learned(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cells: int | None = None, seed: int = 0) -> np.ndarray:
     """Centers of unit length, by Spark's k-means over the vectors' directions; null vectors count for nothing."""
     rows = vectors.where(F.col(column).isNotNull()).select(F.col(key).alias("_key"), F.col(column).cast("array<double>").alias("v"))
@@ -37,8 +50,7 @@ def learned(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
         return np.zeros((0, 0))
     if n > SAMPLE:
         rows = rows.where(F.pmod(F.xxhash64("_key"), F.lit(n)) < SAMPLE)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    units = rows.select(array_to_vector(F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).alias("features"))
+    units = rows.select(array_to_vector(_directions(F.col("v"))).alias("features"))
     k = min(cells or max(1, round(math.sqrt(n))), MOST_CELLS)
     if k == 1 or n < 2:
         return np.zeros((1, len(rows.first()["v"])))

@@ -104,3 +104,18 @@ def test_trigrams_of_a_block_are_those_of_its_texts():
     assert len(trigrams._held(pa.array(["", "ab"]), pa.array([1, 2]))[0]) == 0
     long = "x" * (trigrams._CHARS + 1)
     assert list(trigrams._runs(pa.array(["a"] * 300 + [long, "b"]))) == [(0, 256), (256, 300), (300, 301), (301, 302)]
+
+
+def test_centers_are_learned_from_directions_by_batches(spark, monkeypatch):
+    """k-means is given vectors of unit length, each added up once and not once a component."""
+    from lexarray.operators import cells
+
+    given = []
+    fit = cells.KMeans.fit
+    monkeypatch.setattr(cells.KMeans, "fit", lambda self, rows: given.append(rows) or fit(self, rows))
+    rows = [(i, [float(i), 1.0, 0.0]) for i in range(1, 9)] + [(9, [0.0, 0.0, 0.0]), (10, None)]
+    centers = cells.learned(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cells=2)
+    assert centers.shape == (2, 3)
+    lengths = sorted(round(float(np.linalg.norm(r["features"].toArray())), 9) for r in given[0].collect())
+    assert lengths == [0.0] + [1.0] * 8
+    assert "aggregate(" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
