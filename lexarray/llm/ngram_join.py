@@ -112,7 +112,7 @@ def _classes(rows: DataFrame, n: int, percent: int, bits: int) -> tuple[DataFram
         length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
         return length & ((100 + percent) * most >= percent * (nx + ny)) & ((100 + percent) * suffix >= percent * (nx + ny))
 
-    members = groups.candidates(listed, "n", ["sig"], percent, placed=True)
+    members = groups.candidates(listed, "n", ["sig"], percent, F.col("r"), placed=True)
     base = tables.cut(listed.select("id", "dig", "r", "n", "k"))
     tables.drop(listed)
 
@@ -152,7 +152,7 @@ def _classes(rows: DataFrame, n: int, percent: int, bits: int) -> tuple[DataFram
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = tables.sent(spark, tables.bloom_of(pairs.select(F.explode(F.array("a", "b")))).words)
+        ends = tables.sent(spark, tables.bloom_of(pairs.select("a", "b")).words)
         _, few = tables.split_by(held[0], F.col("k"), ends)
         both = pairs.join(few.select(groups.turned("k").alias("ta"), F.col("s").alias("sa")), groups.turned("a") == F.col("ta"))
         both = both.join(few.select(groups.turned("k").alias("tb"), F.col("s").alias("sb")), groups.turned("b") == F.col("tb"))
