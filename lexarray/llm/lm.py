@@ -1,18 +1,20 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and of word pairs are quantised on a log scale. A count of level q is kept as q entries
-(n-gram, 1) ... (n-gram, q) of one Bloom filter, which is broadcast; a count is read back by probing for
-one level after another until one is missing. The filter is sized for the entries counted and a rate of false
-hits. It consists of small blocks, and all that is kept of an n-gram lies in one of them; where the filter would be too
-big to broadcast, each token is joined with the blocks of its n-grams instead, and reads the same there.
+Counts of word pairs are quantised on a log scale. A count of level q is kept as q entries (n-gram, 1) ... (n-gram, q)
+of one Bloom filter; a count is read back by probing for one level after another until one is missing. The filter is
+sized for the entries counted and a rate of false hits. It lies in parts, each of which holds all the pairs of its
+contexts (of very frequent contexts, some of the pairs), and is never put together: tokens are counted, and later read,
+where the part of their pair is. They travel packed, gathered over many texts: a context once, a pair in five bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,19 @@ from lexarray.llm.kernels import LOWER, SPACED_WORDS, Words, chunks, mix, signed
 
 #: Stand for the end and the start of a text; no word has a reserved hash but by chance of 2**-64.
 _END, _START = np.uint64(0x0E4D0E4D0E4D0E4D), np.uint64(0x57A757A757A757A7)
-_COUNT = "h long, v long, c long"
 _RUN = 1 << 20
 #: Bits of a block of the filter, as a power of two.
 _BLOCK = 10
+#: Tokens that a task gathers before it sends them, and training tokens of a part of the filter.
+_GATHER, _PART = 1 << 20, 1 << 22
+#: Parts are told by so many bits; a context with more than one of 2**_HOT tokens is dealt by its pairs.
+_ROUTE, _HOT = 12, 18
+#: Bits of a pair's hash that travel beside its context.
+_SHORT = 40
+#: The parts are read in so many turns, each over all texts, so that what one turn shuffles is deleted before the next.
+_TURNS = 2
+#: In place of a word's level: its count is not at hand and has to be joined.
+_OPEN = 255
 
 
 #: What a key is moved by for each level.
@@ -52,45 +63,35 @@ def _value(c: Column) -> Column:
     return F.when(c > 0, F.pow(F.lit(2.0), F.length(F.bin(c)) - 1)).otherwise(0.0)
 
 
-def _block_of(key: str, bits: int) -> Column:
-    """The block of a filter of 2**bits bits that a key lies in."""
-    return F.shiftrightunsigned(key, 64 - (bits - _BLOCK)) if bits > _BLOCK else F.lit(0).cast("long")
-
-
 class Frequencies:
-    """The log-frequency filter of 2**bits bits, or some of its blocks."""
+    """The part of a log-frequency filter that holds the keys with some first `skip` bits: 2**bits bits in blocks, all that
+    is kept of a key lying in one of them. Where a key lies and is probed does not depend on skip, if bits + skip is the same."""
 
-    def __init__(self, bits: int, words: np.ndarray | None = None, probes: int = 3) -> None:
-        self.bits, self.probes, self.inner = bits, probes, min(bits, _BLOCK)
+    def __init__(self, bits: int, skip: int = 0, words: np.ndarray | None = None, probes: int = 3) -> None:
+        self.bits, self.skip, self.probes, self.inner = bits, skip, probes, min(bits, _BLOCK)
         self.words = np.zeros(max(1, (1 << bits) // 64), np.uint64) if words is None else words
 
-    def block(self, keys: np.ndarray) -> np.ndarray:
-        """As _block_of."""
-        return (keys >> np.uint64(64 - (self.bits - _BLOCK)) if self.bits > _BLOCK else np.zeros(len(keys), np.uint64)).astype(np.int64)
-
-    def _places(self, keys: np.ndarray, level: int, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Word and bit of each probe, for blocks that lie one after another in words."""
+    def _places(self, keys: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Word and bit of each probe."""
+        block = (keys << np.uint64(self.skip)) >> np.uint64(64 - (self.bits - _BLOCK)) if self.bits > _BLOCK else np.zeros(len(keys), np.uint64)
         h = mix(keys + _STEP[level])
-        mask, start = np.uint64((1 << self.inner) - 1), block << max(0, self.inner - 6)
+        mask, start = np.uint64((1 << self.inner) - 1), block.astype(np.int64) << max(0, self.inner - 6)
         for k in range(self.probes):
             at = (h >> np.uint64(20 * k)) & mask
             yield start + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, block: np.ndarray | None = None) -> None:
-        """block: where the blocks of keys lie in words, by default at their numbers."""
-        q, block = levels(counts), self.block(keys) if block is None else block
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        q = levels(counts)
         for level in range(1, int(q.max(initial=0)) + 1):
-            some = q >= level
-            for word, bit in self._places(keys[some], level, block[some]):
+            for word, bit in self._places(keys[q >= level], level):
                 np.bitwise_or.at(self.words, word, bit)
 
-    def read(self, keys: np.ndarray, block: np.ndarray | None = None) -> np.ndarray:
+    def read(self, keys: np.ndarray) -> np.ndarray:
         """The counts of keys, 0 where the first level is missing."""
-        block = self.block(keys) if block is None else block
         q, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(left) and level < 64:
             held = np.ones(len(left), bool)
-            for word, bit in self._places(keys[left], level, block[left]):
+            for word, bit in self._places(keys[left], level):
                 held &= self.words[word] & bit != 0
             left = left[held]
             q[left] = level
@@ -98,44 +99,6 @@ class Frequencies:
         return value(q)
 
 
-def _blocks(grams: DataFrame, bits: int) -> DataFrame:
-    """(block, cells): the filter of grams (h, c) as a table of its blocks that are not empty."""
-    size = (1 << min(bits, _BLOCK)) // 64 or 1
-
-    def packed(block: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(block), pa.array([x.tobytes() for x in words.reshape(-1, size)], pa.binary())], ["block", "cells"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # the last one, which the next batch may add to
-        for batch in batches:
-            if batch.num_rows:
-                found, place = np.unique(np.concatenate([block, batch.column(0).to_numpy()]), return_inverse=True)
-                own = Frequencies(bits, np.zeros(len(found) * size, np.uint64))
-                own.words[: len(words)] = words
-                own.add(batch.column(1).to_numpy().astype(np.int64).view(np.uint64), batch.column(2).to_numpy(), place[len(block) :])
-                if len(found) > 1:
-                    yield packed(found[:-1], own.words[:-size])
-                block, words = found[-1:], own.words[-size:]
-        yield packed(block, words)
-
-    rows = grams.select(_block_of("h", bits).alias("block"), "h", "c").repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(run, "block long, cells binary")
-
-
-def _read_in(bits: int) -> Callable[[Column, Column], Column]:
-    """What Frequencies.read() gives for a key, from the block that it lies in."""
-
-    @F.arrow_udf("double")
-    def run(keys: pa.Array, cells: pa.Array) -> pa.Array:
-        out, there = np.zeros(len(keys)), cells.is_valid().to_numpy(zero_copy_only=False)
-        if there.any():
-            words = np.frombuffer(b"".join(cells.drop_null().to_pylist()), np.uint64)
-            out[there] = Frequencies(bits, words).read(keys.to_numpy().astype(np.int64).view(np.uint64)[there], np.arange(there.sum()))
-        return pa.array(out)
-
-    return run
-
-
 def needed_bits(entries: int, false_rate: float, probes: int = 3) -> int:
     """The power of two of a filter's bits for which at most false_rate of the probed keys that it lacks seem held; some
     more for blocks that hold more entries than others."""
@@ -143,26 +106,25 @@ def needed_bits(entries: int, false_rate: float, probes: int = 3) -> int:
 
 
 class _Tally:
-    """Counts of keys of one task, each with the context that it belongs to, merged whenever many have gathered."""
+    """Counts of keys of one task, merged whenever many have gathered."""
 
     def __init__(self) -> None:
-        self.keys, self.of, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, of: np.ndarray) -> None:
-        self.held.append((keys, of))
+    def add(self, keys: np.ndarray) -> None:
+        self.held.append(keys)
         self.size += len(keys)
         if self.size > 1 << 20:
             self.fold()
 
     def fold(self) -> None:
         if self.held:
-            keys = np.concatenate([self.keys, *(k for k, _ in self.held)])
-            of = np.concatenate([self.of, *(x for _, x in self.held)])
+            keys = np.concatenate([self.keys, *self.held])
             counts = np.concatenate([self.counts, np.ones(self.size, np.int64)])
-            self.keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
-            self.of, self.counts = of[first], np.bincount(place, counts, minlength=len(first)).astype(np.int64)
+            self.keys, place = np.unique(keys, return_inverse=True)
+            self.counts = np.bincount(place, counts, minlength=len(self.keys)).astype(np.int64)
             self.held, self.size = [], 0
 
     def batches(self, most: int = 0) -> Iterator[pa.RecordBatch]:
@@ -172,7 +134,7 @@ class _Tally:
         self.fold()
         for i in range(0, len(self.keys), 1 << 16):
             part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(self.keys[part])), pa.array(signed(self.of[part])), pa.array(self.counts[part])], ["h", "v", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(self.keys[part])), pa.array(self.counts[part])], ["h", "c"])
         self.__init__()
 
 
@@ -204,30 +166,79 @@ def _within(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_keys[at] == keys
 
 
-def _joined(rows: DataFrame, blocks: DataFrame, bits: int, contexts: DataFrame, ends: float, mass: float, weight: float) -> DataFrame:
-    """The model's part of each token, with the columns of scores summed by text, read from the filter's blocks joined to it."""
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, w, of in _texts(batch.column(3)):
-                m = len(w.first) - 1
-                text = pa.array(i + np.concatenate([of, np.arange(m)]))
-                prev, word = np.concatenate([_before(w), _last(w)]), np.concatenate([w.hash, np.full(m, _END)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(text) for c in range(3)), pa.array(signed(prev)), pa.array(signed(word)), pa.array(signed(_pair(prev, word)))], ["id", "dig", "held_out", "prev", "word", "pair"])
-
-    out, read = rows.mapInArrow(tokens, "id long, dig long, held_out boolean, prev long, word long, pair long"), _read_in(bits)
-    for name in ("word", "pair"):
-        out = out.withColumn("b", _block_of(name, bits)).join(blocks.select(turned("block").alias("t"), "cells"), turned("b") == F.col("t"), "left")
-        out = out.withColumn(f"n_{name}", read(F.col(name), F.col("cells"))).drop("t", "b", "cells", *([name] if name == "pair" else []))
-    out = out.join(contexts.select(turned("h").alias("t"), "d"), turned("prev") == F.col("t"), "left").drop("t")
-    single = (F.when(F.col("word") == int(signed(np.array([_END]))[0]), ends).otherwise(F.col("n_word")) + 0.1) / F.lit(float(mass))
-    none = F.lit(0).cast("long")
-    return out.select("id", "dig", "held_out", none.alias("own"), none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), _log_p(F.col("n_pair"), F.col("d"), single, weight).alias("model"))
-
-
-def _log_p(pair: Column, d: Column, single: Column, weight: float) -> Column:
-    """log10 of a token's probability; d is null or 0 after what was never seen before a word."""
-    return F.log10(F.least(F.when(d > 0, weight * pair / d + (1 - weight) * single).otherwise(single), F.lit(1.0)))
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows, whose last column is the text, with about _GATHER tokens: the other columns, and of each token the
+    word before, the word, and the number of its row in the run. A text's end is a token."""
+    rows, found, n, size = [], [], 0, 0
+    for batch in batches:
+        last = batch.num_columns - 1
+        for i, w, of in _texts(batch.column(last)):
+            m = len(w.first) - 1
+            rows.append(batch.select(range(last)).slice(i, m))
+            found += [(_before(w), w.hash, (n + of).astype(np.int32)), (_last(w), np.full(m, _END), np.arange(n, n + m, dtype=np.int32))]
+            n, size = n + m, size + len(w.hash) + m
+            if size >= _GATHER:
+                out = (rows, *(np.concatenate(x) for x in zip(*found)))
+                rows, found, n, size = [], [], 0, 0
+                yield out
+    if n:
+        yield rows, *(np.concatenate(x) for x in zip(*found))
+
+
+def _keys(contexts: np.ndarray, pairs: np.ndarray, of: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The filter's keys of pairs, given by the short hash and the number of the context. The first _ROUTE bits are the
+    context's own, but for hot ones."""
+    route = (mix(contexts) >> np.uint64(64 - _ROUTE))[of]
+    route = np.where(_within(hot, contexts)[1][of], pairs >> np.uint64(_SHORT - _ROUTE), route)
+    return (route << np.uint64(64 - _ROUTE)) | (mix(pairs) >> np.uint64(_ROUTE))
+
+
+def _distinct(of: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by context's number and short hash: these, the order that brings equal ones together, where each begins."""
+    own = (of.astype(np.uint64) << np.uint64(_SHORT)) | pairs
+    order = np.argsort(own)
+    own = own[order]
+    first = np.ones(len(own), bool)
+    first[1:] = own[1:] != own[:-1]
+    at = np.flatnonzero(first)
+    return (own[at] >> np.uint64(_SHORT)).astype(np.int64), own[at] & np.uint64((1 << _SHORT) - 1), order, at
+
+
+def _dealt(prev: np.ndarray, word: np.ndarray, hot: np.ndarray, skip: int) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """For each of 2**skip parts that has some of the tokens: its number; contexts, the number of pairs of each, the pairs
+    and how often each comes; of each pair one token; and the tokens in this order."""
+    contexts, of = np.unique(prev, return_inverse=True)
+    of, pairs, order, at = _distinct(of, _pair(prev, word) >> np.uint64(64 - _SHORT))
+    times = np.diff(np.append(at, len(order)))
+    part = (_keys(contexts, pairs, of, hot) >> np.uint64(64 - _ROUTE) >> np.uint64(_ROUTE - skip)).astype(np.uint16)
+    turn = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[turn], np.arange((1 << skip) + 1))
+    for p in np.flatnonzero(np.diff(ends)):
+        own = turn[ends[p] : ends[p + 1]]
+        first = np.flatnonzero(np.diff(of[own], prepend=-1))
+        n = times[own]
+        tokens = order[np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        columns = {"v": contexts[of[own[first]]], "n": np.diff(np.append(first, len(own))).astype(np.uint32), "low": pairs[own].astype(np.uint32), "high": (pairs[own] >> np.uint64(32)).astype(np.uint8), "c": n.astype(np.uint32)}
+        yield int(p), columns, order[at[own]], tokens
+
+
+_PACKED = "part int, v binary, n binary, low binary, high binary, c binary"
+_KINDS = {"v": np.uint64, "n": np.uint32, "low": np.uint32, "high": np.uint8, "c": np.uint32}
+
+
+def _packed(rows: list[tuple[int, dict[str, np.ndarray]]]) -> dict[str, pa.Array]:
+    return {"part": pa.array([p for p, _ in rows], pa.int32())} | {name: pa.array([x[name].tobytes() for _, x in rows], pa.binary()) for name in (rows[0][1] if rows else ())}
+
+
+def _column(table: pa.Table, name: str, kind: type, rows: slice = slice(None)) -> np.ndarray:
+    """What the rows of a packed column hold, together."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table.column(name)[rows])])
+
+
+def _unpacked(table: pa.Table, rows: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, each pair's number of context, pairs and how often each comes."""
+    v, n, low, high, c = (_column(table, name, kind, rows) for name, kind in _KINDS.items())
+    return v, np.repeat(np.arange(len(v)), n), low | (high.astype(np.uint64) << np.uint64(32)), c.astype(np.int64)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0, bits: int | None = None, head: int = 1 << 20, weight: float = 0.6, false_rate: float = 0.01, most_bits: int = 29) -> DataFrame:
@@ -240,10 +251,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     alone after words never seen before another. So the probabilities after each context add up to one. Every pair of
     the training texts is kept.
 
-    Levels are read from the filter. It has 2**bits bits, by default the power of two for which a missing level seems
-    held at a rate of at most false_rate. Up to 2**most_bits bits it is broadcast, beyond that its blocks are joined.
-    Counts and d of the `head` most frequent words are broadcast too, those of other words are joined. Neither most_bits
-    nor head changes a result. Words are told apart by 64-bit hashes.
+    Levels of pairs are read from the filter. It has 2**bits bits; by default each part has the power of two for which a
+    missing level seems held at a rate of at most false_rate. There are as many parts as training tokens ask for, more
+    if else one had over 2**most_bits bits. Levels of words are those of the counts that the base score takes: those of
+    the `head` most frequent words are broadcast, those of other words are joined. Neither most_bits nor head changes a
+    result. Words are told apart by 64-bit hashes, the words after one word by 40-bit ones, which adds less to the filter's
+    false hits than 2**-16 of a part's pairs.
 
     Cases: null and empty texts are one end token; rows without doc_id are neither learned from nor held out;
     repeated rows count each and score alike; an empty table gives no rows; with nothing learned, N and V are 0.
@@ -258,27 +271,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         tally = _Tally()
         for batch in batches:
             for _, w, _ in _texts(batch.column(0)):
-                every = np.concatenate([w.hash, np.full(len(w.first) - 1, _END)])
-                tally.add(every, every)
+                tally.add(np.concatenate([w.hash, np.full(len(w.first) - 1, _END)]))
                 yield from tally.batches(1 << 20)
         yield from tally.batches()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for batch in batches:
-            for _, w, _ in _texts(batch.column(0)):
-                prev = np.concatenate([_before(w), _last(w)])
-                tally.add(_pair(prev, np.concatenate([w.hash, np.full(len(w.first) - 1, _END)])), prev)
-                yield from tally.batches(1 << 20)
-        yield from tally.batches()
-
-    counts = tables.cut(train.mapInArrow(words, _COUNT).groupBy("h").agg(F.sum("c").alias("c")))
+    counts = tables.cut(train.mapInArrow(words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     n, v, kept = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(_value(F.col("c"))), F.lit(0.0))).first()
-    pair_counts = tables.cut(train.mapInArrow(pairs, _COUNT).groupBy("h", "v").agg(F.sum("c").alias("c")))
-    contexts = tables.cut(pair_counts.groupBy(F.col("v").alias("h")).agg(F.sum(_value(F.col("c"))).alias("d")))
-    words_of = counts.join(contexts.select(turned("h").alias("t"), "d"), turned("h") == F.col("t"), "left").select("h", "c", F.coalesce("d", F.lit(0.0)).alias("d"))
-    words_of = tables.cut(words_of)
-    pair_counts = pair_counts.select("h", "c")
+    mass, model_mass = n + 0.1 * (v + 1), kept + 0.1 * (v + 1)
+    special = {r["h"]: r["c"] for r in counts.where(F.col("h") == int(signed(np.array([_END]))[0])).collect()}
+    ends = next(iter(special.values()), 0)
 
     # counts fall into at most a few hundred classes; the largest classes that fit make up the head
     scale = F.floor(F.log2("c") * 8)
@@ -288,123 +289,142 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         if total > head:
             break
         lowest = r["q"]
-    top = words_of.where(scale >= lowest).toArrow()
-    keys = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    top = counts.where(scale >= lowest).toArrow()
+    keys, c = top.column("h").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(keys)
-    keys, c, d = keys[order], top.column("c").to_numpy()[order], top.column("d").to_numpy()[order]
-    special = {r["h"]: r["c"] for r in counts.where(F.col("h") == int(signed(np.array([_END]))[0])).collect()}
-    ends = next(iter(special.values()), 0)
-    started = contexts.where(F.col("h") == int(signed(np.array([_START]))[0])).first()
-    starts = started["d"] if started else 0.0
-    end_value = float(value(levels(np.array([ends])))[0]) if ends else 0.0
-    exact = tables.sent(spark, (keys, c, d))
-
-    grams = counts.unionByName(pair_counts)
-    if bits is None:
-        bits = needed_bits(grams.agg(F.coalesce(F.sum(F.length(F.bin("c"))), F.lit(0))).first()[0], false_rate)
-    by_join = bits > most_bits
-
-    def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Frequencies(bits)
-        for batch in batches:
-            own.add(batch.column(0).to_numpy().astype(np.int64).view(np.uint64), batch.column(1).to_numpy())
-        yield from tables.emit(own.words)
-
-    filled = None if by_join else tables.sent(spark, tables.merge(grams.mapInArrow(insert, "block int, cells binary"), max(1, (1 << bits) // 64), np.uint64, add=False))
-    mass, model_mass = n + 0.1 * (v + 1), kept + 0.1 * (v + 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = None if by_join else Frequencies(bits, filled.value).read
-        heads, head_counts, head_sums = exact.value
-
-        def probability(prev: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-            """log10 of the probabilities after words whose d is at hand, 0 of the others; where these are, with f and p(w)."""
-            own, place = np.unique(np.concatenate([prev, word]), return_inverse=True)
-            held = read(own)
-            held[own == _END] = end_value
+    exact = tables.sent(spark, (keys[order], c[order]))
+    complete = total <= head
+    found = counts.where(F.col("c") > n / (1 << _HOT)).select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)
+    hot = np.sort(np.append(found, [_START] if ends > n / (1 << _HOT) else []).astype(np.uint64))  # there are as many starts as ends
+    skip = int(np.ceil(np.log2(max(1, n / _PART))))
+    skip = max(skip, needed_bits(2 * n, false_rate) - most_bits)
+    skip = max(0, min(skip, _ROUTE, n.bit_length() - 8, _ROUTE if bits is None else bits - _BLOCK))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, prev, word, _ in _gathered(batches):
+            packed = _packed([(p, x) for p, x, _, _ in _dealt(prev, word, hot, skip)])
+            yield pa.RecordBatch.from_arrays([*packed.values()], [*packed])
+
+    def filled(table: pa.Table) -> pa.Table:
+        v, of, pairs, c = _unpacked(table)
+        contexts, place = np.unique(v, return_inverse=True)
+        of, pairs, order, at = _distinct(place[of], pairs)
+        c = np.add.reduceat(c[order], at)
+        own = needed_bits(int(levels(c).sum()), false_rate) if bits is None else bits - skip
+        part = Frequencies(own, skip)
+        part.add(_keys(contexts, pairs, of, hot), c)
+        sums, split = np.bincount(of, value(levels(c)), minlength=len(contexts)), _within(hot, contexts)[1]
+        return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([own], pa.int32()), "cells": pa.array([part.words.tobytes()], pa.binary()), "v": pa.array([contexts[~split].tobytes()], pa.binary()), "d": pa.array([sums[~split].tobytes()], pa.binary()), "hot": pa.array([signed(contexts[split]).tolist()], pa.list_(pa.int64())), "sums": pa.array([sums[split].tolist()], pa.list_(pa.float64()))})
+
+    parts = tables.cut(train.mapInArrow(counted, _PACKED).groupBy("part").applyInArrow(filled, "part int, bits int, cells binary, v binary, d binary, hot array<long>, sums array<double>"))
+    sums = parts.select(F.inline(F.arrays_zip("hot", "sums"))).groupBy("hot").agg(F.sum("sums").alias("d")).toArrow()
+    hot_sums = np.zeros(len(hot))
+    hot_sums[_within(hot, sums.column("hot").to_numpy().astype(np.int64).view(np.uint64))[0]] = sums.column("d").to_numpy()
+
+    turns = min(_TURNS, 1 << skip)
+
+    def sent(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        """Packed tokens of the parts of one turn. Rows are told apart within a run, which has other numbers each time."""
+        heads, head_counts = exact.value
+        for run, (rows, prev, word, of) in enumerate(_gathered(batches)):
+            size = sum(r.num_rows for r in rows)
+            own, place = np.unique(word, return_inverse=True)
             at, known = _within(heads, own)
-            sums = np.where(known, head_sums[at], 0.0) if len(heads) else np.zeros(len(own))
-            sums[own == _START], known[own == _START] = starts, True
-            of_prev, single = sums[place[: len(prev)]], (held[place[len(prev) :]] + 0.1) / model_mass
-            both, pair = np.unique(_pair(prev, word), return_inverse=True)
-            f = read(both)[pair]
-            share = np.divide(f, of_prev, out=np.zeros(len(prev)), where=of_prev > 0)
-            log = np.log10(np.minimum(np.where(of_prev > 0, weight * share + (1 - weight) * single, single), 1.0))
-            open_at = np.flatnonzero(~known[place[: len(prev)]])
-            log[open_at] = 0.0
-            return log, open_at, f[open_at], single[open_at]
+            c = np.where(known, head_counts[at] if len(heads) else 0, 0)
+            c[own == _END], known[own == _END] = ends, True
+            known |= complete
+            level = np.where(known, np.where(c > 0, levels(c), 0), _OPEN).astype(np.uint8)
+            parts = []
+            for p, columns, one, tokens in _dealt(prev, word, hot, skip):
+                if p % turns != turn:
+                    continue
+                q = level[place[one]]
+                parts.append((p, columns | {"q": q, "open": own[place[one[q == _OPEN]]], "doc": of[tokens].astype(np.uint16), "doc_high": (of[tokens] >> 16).astype(np.uint16)}))
+            packed = _packed(parts or [(turn, dict.fromkeys([*_KINDS, "q", "open", "doc", "doc_high"], level[:0]))])
+            uid, many = (turn << 60) + (TaskContext.get().partitionId() << 28) + run, len(packed["part"])
+            docs = {
+                "id": pa.concat_arrays([r.column(0) for r in rows]),
+                "dig": pa.concat_arrays([r.column(1) for r in rows]),
+                "held_out": pa.concat_arrays([r.column(2) for r in rows]),
+                "n_tokens": pa.array(np.bincount(of, minlength=size).astype(np.int64) * (turn == 0)),
+                "n_known": pa.array(np.bincount(of, (c > 0)[place], minlength=size).astype(np.int64) * (turn == 0)),
+                "base": pa.array(np.bincount(of, np.where(known, np.log10(c + 0.1), 0.0)[place], minlength=size) * (turn == 0)),
+            }
+            # the run's rows go with its first part
+            lists = {k: pa.ListArray.from_arrays(pa.array([0] + [size] * many, pa.int32()), x, mask=pa.array([i > 0 for i in range(many)])) for k, x in docs.items()}
+            columns = packed | {"uid": pa.array(np.full(many, uid))} | lists
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    names = ("id", "dig", "held_out", "n_tokens", "n_known", "base")
+    listed = "id array<long>, dig array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>"
+
+    def read(table: pa.Table, part: pa.Table) -> pa.Table:
+        held = Frequencies(part.column("bits")[0].as_py(), skip, _column(part, "cells", np.uint64)) if part.num_rows else None
+        own, own_sums = _column(part, "v", np.uint64), _column(part, "d", np.float64)
+        docs, logs, tails = [], [], []
+        for i in range(table.num_rows):
+            one = slice(i, i + 1)
+            v, of, pairs, times = _unpacked(table, one)
+            (at, there), (hot_at, split) = _within(own, v), _within(hot, v)
+            d = np.where(there, own_sums[at] if len(own) else 0.0, 0.0)
+            d[split] = hot_sums[hot_at[split]]
+            d = d[of]
+            f = held.read(_keys(v, pairs, of, hot)) if held else np.zeros(len(pairs))
+            share = np.divide(weight * f, d, out=np.full(len(d), -1.0), where=d > 0)  # below 0: nothing was seen after it
+            q, doc = _column(table, "q", np.uint8, one), _column(table, "doc", np.uint16, one) + (_column(table, "doc_high", np.uint16, one).astype(np.int64) << 16)
+            single = (value(np.where(q == _OPEN, 0, q).astype(np.int64)) + 0.1) / model_mass
+            log = np.where(q == _OPEN, 0.0, np.log10(np.minimum(np.where(d > 0, share + (1 - weight) * single, single), 1.0)))
+            model = np.bincount(doc, np.repeat(log, times)).astype(np.float64)
+            some = np.flatnonzero(model)
+            docs.append(some.astype(np.uint32).tobytes())
+            logs.append(model[some].tobytes())
+            left = np.repeat(q == _OPEN, times)
+            word = np.zeros(len(q), np.uint64)
+            word[q == _OPEN] = _column(table, "open", np.uint64, one)
+            tails.append([pa.array(doc[left].astype(np.int32)), pa.array(signed(np.repeat(word, times)[left])), pa.array(np.repeat(share, times)[left])])
+        at = pa.array(np.append(0, np.cumsum([len(x[0]) for x in tails])).astype(np.int32))
+        kinds = (pa.int32(), pa.int64(), pa.float64())
+        tail = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], kind), *(x[k] for x in tails)]) for k, kind in enumerate(kinds)], ["doc", "h", "share"]))
+        return pa.table({"uid": table.column("uid"), "docs": pa.array(docs, pa.binary()), "logs": pa.array(logs, pa.binary()), "tail": tail} | {k: table.column(k) for k in names})
+
+    scored = []
+    for turn in range(turns):
+        spark.sparkContext._jvm.System.gc()  # a step's shuffle may still be in use for a moment after it, when cut() asks for this
+        tokens = rows.mapInArrow(lambda batches, turn=turn: sent(batches, turn), f"{_PACKED}, q binary, open binary, doc binary, doc_high binary, uid long, {listed}")
+        own = parts.where(F.col("part") % turns == turn)
+        scored.append(tables.cut(tokens.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(read, f"uid long, docs binary, logs binary, tail array<struct<doc: int, h: long, share: double>>, {listed}")))
+    scored = reduce(DataFrame.unionByName, scored)
+    tables.drop(parts)
+    exact.destroy()
 
-        for batch in batches:
-            size = len(batch.column(0))
-            n_tokens, n_known, base, model = np.ones(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-            docs_of, tails, times, shares, singles = [], [], [], [], []
-            for i, w, of in _texts(batch.column(3)):
-                m = len(w.first) - 1
-                own, place = np.unique(w.hash, return_inverse=True)
-                at, found = _within(heads, own)
-                value = np.where(found, np.log10(np.where(found, head_counts[at] if len(heads) else 0, 0) + 0.1), 0.0)
-                n_tokens[i : i + m] += np.diff(w.first)
-                n_known[i : i + m] = np.bincount(of, found[place], minlength=m).astype(np.int64) + (ends > 0)
-                base[i : i + m] = np.bincount(of, value[place], minlength=m) + np.log10(ends + 0.1)
-                rest = np.flatnonzero(~found[place]) if len(own) else np.zeros(0, np.int64)
-                if len(rest):
-                    # text and word packed, as positions below 2**32 of this run
-                    packed, k = np.unique((of[rest].astype(np.int64) << 32) | place[rest], return_counts=True)
-                    docs_of.append(i + (packed >> 32))
-                    tails.append(own[packed & 0xFFFFFFFF])
-                    times.append(k)
-                    shares.append(np.zeros(len(k)))
-                    singles.append(np.full(len(k), np.nan))
-                if not by_join:
-                    for prev, word, text in ((_before(w), w.hash, of), (_last(w), np.full(m, _END), np.arange(m))):
-                        log, at, f, single = probability(prev, word)
-                        model[i : i + m] += np.bincount(text, log, minlength=m)
-                        docs_of.append(i + text[at])
-                        tails.append(prev[at])
-                        times.append(np.zeros(len(at), np.int64))
-                        shares.append(f)
-                        singles.append(single)
-            of = np.concatenate([np.arange(size), *docs_of])
-            own_row = np.arange(len(of)) < size
-            digs = batch.column(1).to_numpy()
-            word = np.concatenate([digs, *[signed(x) for x in tails]])
-            tf = np.concatenate([np.zeros(size, np.int64), *times]).astype(np.int64)
-            zero = np.zeros(len(of) - size)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(of)),
-                    pa.array(digs[of]),
-                    batch.column(2).take(pa.array(of)),
-                    pa.array(word),
-                    pa.array(tf),
-                    pa.array(own_row.astype(np.int64)),
-                    pa.array(np.concatenate([n_tokens, zero.astype(np.int64)])),
-                    pa.array(np.concatenate([n_known, zero.astype(np.int64)])),
-                    pa.array(np.concatenate([base, zero])),
-                    pa.array(np.concatenate([model, zero])),
-                    pa.array(np.concatenate([np.zeros(size), *shares])),
-                    pa.array(np.concatenate([np.full(size, np.nan), *singles]), from_pandas=True),
-                ],
-                ["id", "dig", "held_out", "h", "tf", "own", "n_tokens", "n_known", "base", "model", "f", "single"],
-            )
-
-    scored = rows.mapInArrow(score, "id long, dig long, held_out boolean, h long, tf long, own long, n_tokens long, n_known long, base double, model double, f double, single double")
-    joined = scored.join(words_of.select(turned("h").alias("t"), "c", "d"), turned("h") == F.col("t"), "left")
-    tail = F.col("own") == 0
     c = F.coalesce("c", F.lit(0))
-    joined = joined.select("id", "dig", "held_out", "own", "n_tokens", F.when(tail, F.when(c > 0, F.col("tf")).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"), F.when(tail, F.col("tf") * F.log10(c + 0.1)).otherwise(F.col("base")).alias("base"), F.when(F.col("single").isNotNull(), _log_p(F.col("f"), F.col("d"), F.col("single"), weight)).otherwise(F.col("model")).alias("model"))
-    if by_join:
-        joined = joined.unionByName(_joined(rows, tables.cut(_blocks(grams, bits)), bits, contexts, end_value, model_mass, weight))
-    out = joined.groupBy("id", "dig", "held_out").agg(*[F.sum(x).alias(x) for x in ("own", "n_tokens", "n_known", "base", "model")])
+    tail = scored.where(F.size("tail") > 0).select(F.col("uid").alias("u"), F.inline("tail")).join(counts.select(turned("h").alias("t"), "c"), turned("h") == F.col("t"), "left")
+    single = (_value(c) + 0.1) / F.lit(float(model_mass))
+    log = F.log10(F.least(F.when(F.col("share") < 0, single).otherwise(F.col("share") + (1 - weight) * single), F.lit(1.0)))
+    tail = tail.groupBy("u", "doc").agg(F.sum((c > 0).cast("long")).alias("known"), F.sum(F.log10(c + 0.1)).alias("base"), F.sum(log).alias("model"))
+
+    def summed(table: pa.Table, tail: pa.Table) -> pa.Table:
+        docs = table.filter(table.column("id").is_valid()).combine_chunks()
+        out = {k: docs.column(k).combine_chunks().flatten() for k in names}
+        known, base = out["n_known"].to_numpy().copy(), out["base"].to_numpy().copy()
+        model = np.bincount(_column(table, "docs", np.uint32), _column(table, "logs", np.float64), minlength=len(base)).astype(np.float64)  # whole numbers where all are empty
+        at = tail.column("doc").to_numpy()
+        known[at] += tail.column("known").to_numpy().astype(np.int64)
+        base[at] += tail.column("base").to_numpy()
+        model[at] += tail.column("model").to_numpy()
+        return pa.table(out | {"n_known": pa.array(known), "base": pa.array(base), "model": pa.array(model)})
+
+    out = scored.drop("tail").groupBy("uid").cogroup(tail.groupBy("u")).applyInArrow(summed, "id long, dig long, held_out boolean, n_tokens long, n_known long, base double, model double")
+    own = F.sum((F.col("n_tokens") > 0).cast("int")).alias("own")
+    out = out.groupBy("id", "dig", "held_out").agg(own, *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "model")])
     out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias("_"))  # repeated rows were summed together
     each = lambda x: (F.col(x) / F.col("own"))
-    total = F.lit(float(np.log10(mass)))
     return out.select(
         F.col("id").alias("doc_id"),
         "held_out",
         each("n_tokens").cast("long").alias("n_tokens"),
         each("n_known").cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (each("base") - each("n_tokens") * total).alias("base_score"),
+        (each("base") - each("n_tokens") * F.lit(float(np.log10(mass)))).alias("base_score"),
         each("model").alias("score"),
     )

@@ -1,10 +1,13 @@
 from collections import Counter
 from math import log10
 import re
+import zlib
 from zlib import crc32
 
+import numpy as np
 import pytest
 
+from lexarray.llm import lm
 from lexarray.llm.lm import lm_scores, needed_bits
 
 
@@ -116,3 +119,26 @@ def test_what_is_broadcast_changes_no_result(spark):
     sent = scores(df, bits=12)
     for other in (scores(df, bits=12, head=3), scores(df, bits=12, most_bits=1)):
         assert all(a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) for a, b in zip(sent, other, strict=True))
+
+
+def test_parts_of_the_filter_change_no_result(spark, monkeypatch):
+    # many parts, runs of few texts, contexts that are dealt by their pairs or not, words that are joined or not
+    rows = [(i, f"the cat {i % 7} sat on mat {i} of {i * i % 91}") for i in range(200)] + [(None, "cat"), (300, None), (301, "never seen words"), (7, "the cat 0 sat on mat 7 of 49")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, full = scores(df, bits=20), scores(df, bits=12)
+    monkeypatch.setattr(lm, "_PART", 128)
+    monkeypatch.setattr(lm, "_GATHER", 30)  # so that some runs have nothing for a turn
+    for options in ({}, {"head": 3}):
+        assert all(a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) for a, b in zip(full, scores(df, bits=12, **options), strict=True))
+    monkeypatch.setattr(lm, "_HOT", 5)
+    assert all(a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-6) for a, b in zip(whole, scores(df, bits=20, head=3), strict=True))
+
+
+def test_tokens_travel_packed():
+    # 8 bytes a context, 5 a pair and counts that compress, not three numbers of 8 bytes a pair
+    rng = np.random.default_rng(1)
+    prev, word = (np.minimum(rng.zipf(1.3, 200_000), 50_000).astype(np.uint64) for _ in range(2))
+    pairs, contexts = len(np.unique(prev << np.uint64(32) | word)), len(np.unique(prev))
+    dealt = list(lm._dealt(prev, word, np.array([1, 2], np.uint64), 3))
+    assert {p for p, *_ in dealt} == set(range(8)) and sum(len(t) for *_, t in dealt) == 200_000
+    assert sum(len(zlib.compress(x.tobytes(), 1)) for _, c, _, _ in dealt for x in c.values()) < 8 * pairs + 10 * (contexts + 14)
